@@ -132,9 +132,9 @@ def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "
     shared = table(postings.join(heads, "token").dropDuplicates(["token", "cls"]), "ngram-shared")
 
     def near(na, nb, i, j):
-        """Length and positional filters, for a shared shingle at positions i and j of sets of na and nb."""
+        """Length and positional filters, and the pair's own prefix, for a shared shingle at positions i and j of sets of na and nb."""
         need = F.floor((pct * (na + nb) + 99 + pct) / (100 + pct))
-        return (F.least(na, nb) >= need) & (F.least(i, j) + F.least(na - i, nb - j) >= need)
+        return (F.least(na, nb) >= need) & (i <= na - need) & (j <= nb - need) & (F.least(i, j) + F.least(na - i, nb - j) >= need)
 
     star = None
     for h in ("h1", "h2"):

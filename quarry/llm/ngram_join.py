@@ -2,8 +2,8 @@
 
 Documents with the same shingle set form one class. Shingles are ordered by how often their hash bucket occurs in the
 whole corpus, rarest first; each class posts the first n - ceil(t n) + 1 of them. Candidates share a posted shingle.
-Within a posted shingle every class is first compared with two heads only, which settles groups of near copies in linear
-work; then all remaining candidates whose classes are still in different components are compared, so no link is lost.
+Within a posted shingle every class is first compared with two heads only, the class for which the shingle comes earliest
+and the smallest class, which settles groups of near copies in linear work; then all remaining candidates whose classes are still in different components are compared, so no link is lost.
 
 Defined results: null or empty text, or text without words: n_shingles 0, its own component. Repeated rows, ties: the
 smallest id of a group names it. Columns besides the id and the text are ignored. Shingles and sets are held as 64-bit
@@ -127,8 +127,8 @@ def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "
                 yield pd.DataFrame(dict(zip(("token", "cls", "n", "pos"), map(np.concatenate, cols), strict=True)))
 
     postings = table(docs.mapInPandas(post, "token long, cls long, n int, pos int"), "ngram-postings")
-    me = F.struct("cls", "n", "pos")
-    heads = postings.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min(me).alias("h1"), F.max(me).alias("h2")).filter("lo <> hi").drop("lo", "hi")
+    #: the class with fewest rarer shingles is the likeliest common source of near copies; the smallest class joins what that one misses
+    heads = postings.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min(F.struct("pos", "cls", "n")).alias("h1"), F.min(F.struct("cls", "n", "pos")).alias("h2")).filter("lo <> hi").drop("lo", "hi")
     shared = table(postings.join(heads, "token").dropDuplicates(["token", "cls"]), "ngram-shared")
 
     def near(na, nb, i, j):

@@ -3,7 +3,8 @@
 Documents with the same shingle set form one class. Shingles are ordered by how often their hash bucket occurs in the
 whole corpus, rarest first; each class posts the first n - ceil(t n) + 1 of them. Candidates share a posted shingle.
 Within a posted shingle every class is first compared with two heads only, the class for which the shingle comes earliest
-and the smallest class, which settles groups of near copies in linear work; then all remaining candidates whose classes are still in different components are compared, so no link is lost.
+and the smallest class, which settles groups of near copies in linear work; then all remaining candidates whose classes
+are still in different components are compared, so no link is lost.
 
 Defined results: null or empty text, or text without words: n_shingles 0, its own component. Repeated rows, ties: the
 smallest id of a group names it. Columns besides the id and the text are ignored. Shingles and sets are held as 64-bit

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quarry.plans import catalog
+from quarry.plans import catalog, scope  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

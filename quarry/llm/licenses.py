@@ -2,8 +2,9 @@
 
 Templates are a fixed list of notices. Their words have numbers; a document's words are looked up, and three-word runs of
 known words have fingerprints, of which winnowing keeps the least of every two neighbours. The inverted index gives a
-template and a diagonal for each kept fingerprint; around the diagonals that lie close together, a banded local alignment
-finds the template's words that the document has in order. Of overlapping matches the one with most words stays.
+template and a diagonal for each kept fingerprint; around each bucket of diagonals, a banded local alignment finds the
+template's words that the document has in order, then aligns again left and right of what it found. Of overlapping matches
+the one with most words stays.
 
 Defined results: null, empty and wordless texts have no match; a notice that occurs twice is reported twice; ties go to
 the first template by name. Positions are code points, ends exclusive.
@@ -78,12 +79,12 @@ def winnow(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(keep & (h != NONE))
 
 
-def align(template: np.ndarray, doc: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """Matched words, first and last document word of the best local alignment within the band."""
+def align(template: np.ndarray, doc: np.ndarray, diagonal: int, lo: int, hi: int) -> tuple[int, int, int]:
+    """Matched words, first and last document word of the best local alignment within the band and the words lo to hi."""
     best, prev = (0, 0, -1, -1), {}
     for i in range(len(template)):
         cur = {}
-        for j in range(max(0, i + diagonal - BAND), min(len(doc), i + diagonal + BAND + 1)):
+        for j in range(max(lo, i + diagonal - BAND), min(hi, i + diagonal + BAND + 1)):
             same = template[i] == doc[j]
             s, m, a = prev.get(j - 1, (0, 0, j))
             options = [(s + (1 if same else -1), m + same, a if m else j)]
@@ -98,6 +99,20 @@ def align(template: np.ndarray, doc: np.ndarray, diagonal: int) -> tuple[int, in
     return best[1], best[2], best[3]
 
 
+def alignments(template: np.ndarray, doc: np.ndarray, diagonal: int, least: float) -> Iterator[tuple[int, int, int]]:
+    """All alignments within the band that cover enough of the template, apart from each other: the best, then what lies left and right of it."""
+    parts = [(max(0, diagonal - BAND), min(len(doc), diagonal + BAND + len(template)))]
+    while parts:
+        lo, hi = parts.pop()
+        if hi - lo < least * len(template):
+            continue
+        m, a, b = align(template, doc, diagonal, lo, hi)
+        if m:
+            parts += [(lo, a), (b + 1, hi)]
+            if m >= least * len(template):
+                yield m, a, b
+
+
 def scan(text: str | None, templates: tuple[tuple[str, str], ...], least: float) -> list[tuple[str, float, int, int]]:
     """(name, coverage, start, end) of each notice."""
     ids, seqs, inverted = index(templates)
@@ -109,23 +124,20 @@ def scan(text: str | None, templates: tuple[tuple[str, str], ...], least: float)
     for p in winnow(h).tolist():
         for t, q in inverted.get(int(h[p]), ()):
             diagonals[t].add((p - q) // BAND)
-    found = []
+    found = set()
     for t, ds in diagonals.items():
         name, seq = seqs[t]
-        for d in sorted(ds):
-            if d - 1 in ds and any(f[0] == name and f[4] >= d - 1 for f in found):
-                continue
-            m, a, b = align(seq, doc, d * BAND + BAND // 2)
-            if m >= least * len(seq):
-                found.append((name, m / len(seq), a, b, d, m))
+        for d in ds:
+            found.update((name, m / len(seq), a, b, m) for m, a, b in alignments(seq, doc, d * BAND + BAND // 2, least))
     if not found:
         return []
     at = [(m.start(), m.end()) for m in WORD.finditer(text if len(low) == len(text) else low)]
-    out: list[tuple] = []
-    for f in sorted(found, key=lambda f: (-f[5], -f[1], f[0])):
-        if all(f[3] < g[2] or g[3] < f[2] for g in out):
+    out, taken = [], np.zeros(len(doc), bool)
+    for f in sorted(found, key=lambda f: (-f[4], -f[1], f[0], f[3] - f[2], f[2])):
+        if not taken[f[2] : f[3] + 1].any():
+            taken[f[2] : f[3] + 1] = True
             out.append(f)
-    return sorted(((n, c, at[a][0], at[b][1]) for n, c, a, b, _, _ in out), key=lambda x: x[2])
+    return sorted(((n, c, at[a][0], at[b][1]) for n, c, a, b, _ in out), key=lambda x: x[2])
 
 
 def find(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -157,6 +157,27 @@ def test_licenses(spark):
     assert [g[:2] for g in got] == [(0, "mit"), (1, "gpl-2"), (5, "mit-grant")] and got[0][2] == "Released under the MIT License"
 
 
+@pytest.mark.parametrize("gap", [*range(14), 40])
+def test_licenses_repeated(gap):
+    """Copies of a notice with `gap` other words between them are all reported, each at its place."""
+    for name, notice in licenses.TEMPLATES.items():
+        text, want = "Foo. ", []
+        for _ in range(7):
+            body = notice.rstrip(".")
+            want.append((name, 1.0, len(text), len(text) + len(body)))
+            text += body + ". " + "foo " * gap
+        assert licenses.scan(text, tuple(sorted(licenses.TEMPLATES.items())), 0.8) == want
+    mixed = [n for _ in range(3) for n in ("mit", "cc-by-4.0", "cc-by-4.0", "gpl-2", "mit", "mit")]
+    text = " ".join(licenses.TEMPLATES[n] + " foo" * gap for n in mixed)
+    assert [x[0] for x in licenses.scan(text, tuple(sorted(licenses.TEMPLATES.items())), 0.8)] == mixed
+
+
+def test_licenses_damaged_copies():
+    text = "Licensed under CC BY 4. " * 2 + "Licensed under CC BY 4.0. " * 2 + "under CC BY 4.0. " * 2
+    got = licenses.scan(text, tuple(sorted(licenses.TEMPLATES.items())), 0.8)
+    assert [round(c * 6) for _, c, _, _ in got] == [5, 5, 6, 6, 5, 5]
+
+
 def test_toxicity(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2

@@ -1,9 +1,10 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
 A word is a lower-case run of letters and digits. Fixed masks over a window of 12 words pick nine positions each and
-ignore three. Every window of a benchmark item is hashed, and every third window of a document, so any stretch of 15
-words in common meets all masks. Hits give a document, an item and a diagonal; there the item's words are compared with
-the document's one by one, whatever was substituted between hits.
+ignore three. Every window of a benchmark item and of a document is hashed, so a stretch of 12 equal words is always
+found, and so is one with a single other word among 13 or more; with two other words or more a share of short stretches
+meets no mask (the README has the figures). Hits give a document, an item and a diagonal; there the item's words are
+compared with the document's one by one, whatever was substituted between hits.
 
 Defined results: null, empty or short texts have no match; items under 12 words cannot match; repeated rows are matched
 singly by id; a document's best item is the one with most equal words, then the smallest item_id.
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import bounded, table
 
-SPAN, STRIDE = 12, 3
+SPAN, STRIDE = 12, 1
 #: Positions that each mask reads (fixed values).
 MASKS = ((0, 1, 2, 4, 5, 6, 8, 9, 11), (0, 1, 3, 4, 6, 7, 9, 10, 11), (0, 2, 3, 5, 6, 7, 8, 10, 11))
 
@@ -47,7 +48,7 @@ def _seeded(df: DataFrame, id_col: str, stride: int) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: int = 12) -> DataFrame:
     """doc_id, item_id, diagonal, equal_words, item_words: verified overlaps of at least `least` equal words."""
-    index = table(_seeded(benchmark, "item_id", 1).select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "seeds")
+    index = table(_seeded(benchmark, "item_id", STRIDE).select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "seeds")
     hits = _seeded(docs, "doc_id", STRIDE).join(bounded(index, index.count()), "seed")
     diagonals = table(hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.count("*").alias("hits")), "diagonals")
     n = diagonals.count()

@@ -92,6 +92,27 @@ def test_decontamination(spark):
     assert set(found) == {1, 2} and found[1]["coverage"] == 1.0 and found[2]["item_id"] == rows[0]["item_id"]
 
 
+def test_decontamination_offsets(spark):
+    """Items of 12 to 17 words, verbatim or with one other word in any place, at any offset in a document."""
+    items = {n: [f"w{n}x{j}" for j in range(n)] for n in range(12, 18)}
+    texts = []
+    for n, item in items.items():
+        for at in range(4):
+            for bad in [None, *range(n)]:
+                texts.append(["pre"] * at + [f"other{j}" if j == bad else w for j, w in enumerate(item)] + ["post"] * 3)
+    texts += [["pre"] * at + items[17][2:15] for at in range(3)] + [items[17][:11] + ["post"] * 9]
+    want = set()
+    for i, w in enumerate(texts):
+        for n, item in items.items():
+            for d in range(-n + 1, len(w)):
+                equal = sum(w[j + d] == item[j] for j in range(max(0, -d), min(n, len(w) - d)))
+                if equal >= 12:
+                    want.add((i, n, d, equal))
+    benchmark = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    found = decontaminate.matches(docs(spark, [" ".join(w) for w in texts]), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"], r["diagonal"], r["equal_words"]) for r in found} == want and len(found) == len(want)
+
+
 def test_language(spark, sample):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0

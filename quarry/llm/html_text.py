@@ -4,8 +4,8 @@ The standard library's parser streams events; each block element starts a line w
 Lines inside elements that never hold an article (navigation, header, footer, aside, form, script, style, ... and
 elements whose class, id or role names an advert, a menu, comments and the like) are boilerplate whatever their ratio.
 The others have the ratio of characters to tags, smoothed with a Gaussian; those over a share of the deviation form the
-content cluster. Where the page marks an article or main region, lines outside it need more than the threshold, and lines
-inside it stay with any ratio.
+content cluster. Where the page marks an article or main region that holds at least half of the text left, lines outside it
+need the threshold times a weight, and lines inside it stay with any ratio. Smaller regions (teasers, cards) change nothing.
 
 Defined results: null or empty html gives an empty text; repeated rows are answered singly; unclosed and stray tags are
 tolerated; white space inside a block is one space, blocks are joined by one space in page order.
@@ -85,7 +85,7 @@ def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(x, r, mode="edge"), k / k.sum(), "valid")
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.25) -> str:
+def main_text(html: str | None, sigma: float = 1.0, share: float = 0.25, weight: float = 4.0) -> str:
     if not html:
         return ""
     p = Lines()
@@ -96,9 +96,11 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.25) -> str:
     if not lines:
         return ""
     ratio = smoothed(np.array([len(t) / max(1, n) for t, n, _, _ in lines]), sigma)
-    content = ratio >= share * ratio.std()
-    marked = any(x[3] for x in lines)
-    return " ".join(t for (t, _, _, inside), ok in zip(lines, content, strict=True) if (inside if marked else ok))
+    inside, size = np.array([x[3] for x in lines]), np.array([len(x[0]) for x in lines])
+    need = np.full(len(lines), share * ratio.std())
+    if 2 * size[inside].sum() >= size.sum():
+        need = np.where(inside, -np.inf, need * weight)
+    return " ".join(x[0] for x, ok in zip(lines, ratio >= need, strict=True) if ok)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -152,6 +152,22 @@ def test_html():
     assert "long plain text" in html_text.main_text("<body><div>" + "long plain text " * 20 + "</div></body>")
 
 
+def test_html_regions():
+    """Pages without a region, with teasers as small regions, and with one that holds most of the text."""
+    body = ["Long sentence of the body text with many words in it, number %d. " % i * 4 for i in range(6)]
+    paras = "".join(f"<p>{x}</p>" for x in body)
+    want = " ".join(" ".join(x.split()) for x in body)
+    links = "<div>" + "".join(f"<p><b><i><a><u>{i}</u></a></i></b></p>" for i in range(12)) + "</div>"
+    teasers = "".join("<article><b><i><a><u>t</u></a></i></b></article>" for _ in range(12))
+    assert html_text.main_text(f"<body>{links}<div>{paras}</div></body>").endswith(want)
+    assert "5 6 7" not in html_text.main_text(f"<body>{links}<div>{paras}</div></body>")
+    teased = html_text.main_text(f"<body><div>{paras}</div>{teasers}</body>")
+    assert teased.startswith(want) and "t t" not in teased
+    assert html_text.main_text(f"<body>{links}<article><h2>Short</h2>{paras}</article>{links}</body>") == "Short " + want
+    outside = "<p>" + "And a long closing paragraph that stands after the end of the article. " * 9 + "</p>"
+    assert html_text.main_text(f"<body><article>{paras}</article>{outside}{links}</body>").startswith(want + " And a long closing")
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "u", "x" * 200), (2, None, "x" * 200), (3, "u\n", "s"), (4, "u", "s"), (5, "u", None), (6, "u", "é" * 300)], "page_id long, url string, html string")
     back = {r["record_id"]: r for r in warc.records(warc.archives(pages)).collect()}

@@ -15,7 +15,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter have no language and go; the others stay, whatever their language."""
-    return langid.identify(docs.select(COLUMNS), F.lit(True)).filter(F.col("lang_pred") != "und").select(COLUMNS)
+    return langid.identify(docs.select(COLUMNS), F.lit(True)).filter(~F.col("lang_pred").eqNullSafe("und")).select(COLUMNS)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

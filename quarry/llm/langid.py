@@ -5,9 +5,10 @@ of two texts is the size of the common set over the geometric mean of the sizes.
 language; ridge regression works on the kernels with them, so that scoring is a product of a 0/1 matrix of a batch of
 texts with the landmarks' matrix, then with the weights.
 
-Fitted on at most `per_lang` labelled texts of at most `max_chars` characters a language (the sample's bound). Defined
-results: `und` with score 0 for null, empty or letterless texts, or when nothing was learned; ties go to the first
-language by name; rows without a language are not learned from.
+Fitted on some `per_lang` labelled texts a language, of which the first `max_chars` characters are taken, in at most
+`max_langs` languages, those with most texts (the sample's bounds). Defined results: `und` with score 0 for null, empty or
+letterless texts; null with score 0 for texts with letters when nothing was learned; ties go to the first language by name;
+rows without a language are not learned from.
 """
 
 from __future__ import annotations
@@ -78,15 +79,15 @@ def kernels(model: dict, sets: list[np.ndarray]) -> np.ndarray:
     return x @ model["marks"]
 
 
-def training_sample(docs: DataFrame, train: Column, per_lang: int, max_chars: int) -> list[tuple[str, str]]:
-    """At most some per_lang texts of each language, by a hash of the id."""
-    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    counts = known.groupBy("lang").count().orderBy("lang").limit(200).collect()
+def training_sample(docs: DataFrame, train: Column, per_lang: int, max_chars: int, max_langs: int = 200) -> list[tuple[str, str]]:
+    """Some per_lang texts of each of the most frequent languages, by a hash of the id; of long texts the beginning."""
+    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = F.lit(False)
     for r in counts:
         chosen = chosen | ((F.col("lang") == r["lang"]) & (draw < min(1.0, per_lang / r["count"])))
-    return [(r["lang"], r["text"]) for r in known.filter(chosen).select("lang", "text").limit(2 * per_lang * max(1, len(counts))).collect()]
+    return [(r["lang"], r["text"]) for r in known.filter(chosen).select("lang", F.substring("text", 1, max_chars).alias("text")).limit(2 * per_lang * max(1, len(counts))).collect()]
 
 
 def identify(docs: DataFrame, train: Column, per_lang: int = 200, max_chars: int = 6000) -> DataFrame:
@@ -98,6 +99,8 @@ def identify(docs: DataFrame, train: Column, per_lang: int = 200, max_chars: int
         m = held.value
         for b in batches:
             lang, best = np.full(len(b), "und", object), np.zeros(len(b))
+            if m is None:
+                lang = np.array([None if len(grams(t)) else "und" for t in b["text"]], object)
             for i in range(0, len(b) if m else 0, BATCH):
                 sets = [grams(t) for t in b["text"].iloc[i : i + BATCH]]
                 f = kernels(m, sets) @ m["weights"]
@@ -108,4 +111,4 @@ def identify(docs: DataFrame, train: Column, per_lang: int = 200, max_chars: int
             yield b.assign(lang_pred=lang, score=best)
 
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(names).mapInPandas(score, docs.select(names).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return docs.select(names).mapInPandas(score, docs.select(names).schema.add("lang_pred", "string").add("score", "double"))

@@ -122,6 +122,16 @@ def test_language(spark, sample):
     assert [x["lang_pred"] for x in langid.identify(odd, F.lit(True)).orderBy("doc_id").collect()] == ["und"] * 3 + ["en"]
 
 
+def test_language_bounds(spark):
+    """Nothing learned, languages with long texts only, more languages than the bound."""
+    rows = docs(spark, ["plain words", "12 -- 3", None]).select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
+    assert [x["lang_pred"] for x in langid.identify(rows, F.lit(True)).orderBy("doc_id").collect()] == [None, "und", "und"]
+    long = spark.createDataFrame([(1, "the house and the garden " * 400, "en"), (2, "la maison et le jardin " * 400, "fr"), (3, "le jardin", None)], "doc_id long, text string, lang string")
+    assert [x["lang_pred"] for x in langid.identify(long, F.lit(True)).orderBy("doc_id").collect()] == ["en", "fr", "fr"]
+    many = spark.createDataFrame([(i, "some text", "zz" if i < 2 else f"l{i:03}") for i in range(204)], "doc_id long, text string, lang string")
+    assert "zz" in {lang for lang, _ in langid.training_sample(many, F.lit(True), 200, 6000)}
+
+
 def test_packing(spark, sample):
     from tokenizers import Tokenizer
 

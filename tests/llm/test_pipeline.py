@@ -90,3 +90,9 @@ def test_pipeline(spark, sf):
         covered[r["doc_id"]] += r["length"]
         used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
     assert covered == {i: len(x) for i, x in ids.items()} and max(used.values()) <= 1024
+
+
+def test_language_without_model(spark, tmp_path):
+    """Documents with letters stay when no row has a language."""
+    docs = spark.createDataFrame([(1, "some words", None, "x", 1), (2, "1 2", None, "x", 1), (3, None, None, "x", 1)], SCHEMA)
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()] == [1]

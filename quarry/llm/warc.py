@@ -5,7 +5,7 @@ binaryFile source gives for files. The reader checks each member, header, length
 for the next gzip member or version line that holds a valid record, goes on there, and logs the bytes between as a gap.
 
 Defined results: null html is an empty payload; null url is left out; of repeated rows with the smallest id all are
-responses; an empty table gives no archive; bytes that hold no record are one gap.
+responses; urls and headers may be of any length; an empty table gives no archive; bytes that hold no record are one gap.
 """
 
 from __future__ import annotations
@@ -78,14 +78,13 @@ def inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
     return (b"".join(out), pos - len(d.unused_data)) if d.eof else None
 
 
-def parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int] | None:
+def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     """Header fields, block and end of the record at a position; None if any check fails."""
-    head = bytes(data[at : at + 65536])
-    stop = head.find(END)
-    if not head.startswith(VERSION) or stop < 0:
+    stop = data.find(END, at) if data.startswith(VERSION, at) else -1
+    if stop < 0:
         return None
     fields = {}
-    for line in head[:stop].split(b"\r\n")[1:]:
+    for line in data[at:stop].split(b"\r\n")[1:]:
         k, sep, v = line.partition(b":")
         if not sep:
             return None
@@ -93,9 +92,9 @@ def parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int
     n = fields.get("content-length", "")
     if not n.isdigit():
         return None
-    first = at + stop + 4
-    block = bytes(data[first : first + int(n)])
-    if len(block) != int(n) or bytes(data[first + int(n) : first + int(n) + 4]) != END:
+    first = stop + 4
+    block = data[first : first + int(n)]
+    if len(block) != int(n) or data[first + int(n) : first + int(n) + 4] != END:
         return None
     digest = fields.get("warc-block-digest", "")
     if digest.startswith("sha256:") and digest[7:] != hashlib.sha256(block).hexdigest():
@@ -113,7 +112,7 @@ def salvage(content: bytes) -> Iterator[tuple[str, int, int, dict[str, str], byt
                 got, end = parse(member[0], 0), member[1]
                 if got and got[2] != len(member[0]):
                     got = None
-        elif content[at : at + 7] == VERSION and (got := parse(data, at)):
+        elif content[at : at + 7] == VERSION and (got := parse(content, at)):
             end = got[2]
         if got:
             if gap is not None:

@@ -186,6 +186,16 @@ def test_warc(spark):
     assert warc.archives(pages.limit(0)).count() == 0
 
 
+def test_warc_long_header(spark):
+    """A url longer than any fixed bound on the header, zipped and plain."""
+    url = "data:text/html," + "a" * 3_000_000
+    pages = spark.createDataFrame([(1, "u", "x"), (2, url[:70_000], "y"), (3, url, "z"), (4, "u", "w")], "page_id long, url string, html string")
+    back = {r["record_id"]: r for r in warc.records(warc.archives(pages)).collect()}
+    assert set(back) == {f"<urn:page:{i}>" for i in range(1, 5)} and back["<urn:page:3>"]["target_uri"] == url
+    plain = b"".join(warc.record(i, u, b"body", "d", None) for i, u in enumerate(("u", url, "v")))
+    assert [x[0] for x in warc.salvage(plain)] == ["record"] * 3
+
+
 def test_salvage():
     recs = [warc.record(i, "u", b"body%d" % i * 50, "d", None) for i in range(4)]
     zipped = [gzip.compress(r) for r in recs]

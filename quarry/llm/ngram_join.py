@@ -4,7 +4,8 @@ Documents with the same shingle set form one class. Shingles are ordered by how
 whole corpus, rarest first; each class posts the first n - ceil(t n) + 1 of them. Candidates share a posted shingle.
 Within a posted shingle every class is first compared with two heads only, the class for which the shingle comes earliest
 and the smallest class, which settles groups of near copies in linear work; then all remaining candidates whose classes
-are still in different components are compared, so no link is lost.
+are still in different components are compared, so no component is lost. Components alone skip links inside a group;
+ngram_links compares all candidates and returns every link.
 
 Defined results: null or empty text, or text without words: n_shingles 0, its own component. Repeated rows, ties: the
 smallest id of a group names it. Columns besides the id and the text are ignored. Shingles and sets are held as 64-bit
@@ -74,6 +75,19 @@ def linked(a: np.ndarray, b: np.ndarray, pct: int) -> bool:
 
 def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, n_shingles and component_id, for links with Jaccard >= pct / 100 on k-word shingles."""
+    return _join(docs, k, pct, id_col, text_col, False)
+
+
+def ngram_links(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every link once, as pairs of classes of equal sets: a_id, b_id (the smallest ids), a_copies, b_copies, n_links.
+
+    A class of two documents or more is linked with itself (a_id = b_id), by copies * (copies - 1) / 2 links of documents;
+    two linked classes by a_copies * b_copies. The sum of n_links is the number of linked pairs of documents.
+    """
+    return _join(docs, k, pct, id_col, text_col, True)
+
+
+def _join(docs: DataFrame, k: int, pct: int, id_col: str, text_col: str, all_links: bool) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -162,6 +176,17 @@ def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "
         both = pairs.join(held.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
         return table(both.mapInPandas(verify, "a long, b long"), "ngram-links")
 
+    if all_links:
+        p = shared.select("token", "cls", "n", "pos")
+        x, y = (p.select("token", *[F.col(c).alias(f"{c}_{e}") for c in ("cls", "n", "pos")]) for e in "xy")
+        pairs = x.join(y, "token").filter((F.col("cls_x") < F.col("cls_y")) & near(F.col("n_x"), F.col("n_y"), F.col("pos_x"), F.col("pos_y")))
+        found = check(table(pairs.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct(), "ngram-pairs"))
+        size = table(facts.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "ngram-sizes")
+        a, b = (size.select(F.col("cls").alias(e), F.col("id").alias(f"{e}_id"), F.col("copies").alias(f"{e}_copies")) for e in "ab")
+        two = found.join(a, "a").join(b, "b").withColumn("swap", F.col("a_id") > F.col("b_id"))
+        two = two.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), F.when(F.col("swap"), F.col("b_copies")).otherwise(F.col("a_copies")).alias("a_copies"), F.when(F.col("swap"), F.col("a_copies")).otherwise(F.col("b_copies")).alias("b_copies"), (F.col("a_copies") * F.col("b_copies")).alias("n_links"))
+        one = size.filter("copies > 1").selectExpr("id AS a_id", "id AS b_id", "copies AS a_copies", "copies AS b_copies", "copies * (copies - 1) div 2 AS n_links")
+        return two.union(one)
     star = table(star.distinct(), "ngram-star")
     found = check(star)
     settled = components(found)

@@ -19,6 +19,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read(spark, sf_dir, "documents"), k=3, pct=90)
 
 
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_links(read(spark, sf_dir, "documents"), k=3, pct=90)
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -81,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_html, op3_toxicity, op4_pii, op5_decontaminate, op6_licenses, op7_exact_dedup, op8_language, op9_warc, op10_packing, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op1_ngram_links, op2_html, op3_toxicity, op4_pii, op5_decontaminate, op6_licenses, op7_exact_dedup, op8_language, op9_warc, op10_packing, pipeline)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": r"""

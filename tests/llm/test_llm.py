@@ -49,6 +49,28 @@ def test_ngram_components(spark, sample):
     assert ngram_join.ngram_components(docs(spark, ["x"]).limit(0), 3, 90).count() == 0
 
 
+def test_ngram_links(spark, sample):
+    """All links inside groups of near copies, by class, against all pairs of documents."""
+    base = [f"w{i}" for i in range(120)]
+    texts = [*sample, *(" ".join(base[: 120 - i]) for i in range(6)), " ".join(base), " ".join(base[2:])]
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset())
+    first, copies, want = {}, {}, {}
+    for i, x in enumerate(sets):
+        first.setdefault(x, i)
+        copies[first[x]] = copies.get(first[x], 0) + 1
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 10 * min(len(a), len(b)) >= 9 * max(len(a), len(b)) and 100 * len(a & b) >= 90 * len(a | b):
+                key = tuple(sorted((first[a], first[b])))
+                want[key] = want.get(key, 0) + 1
+    rows = ngram_join.ngram_links(docs(spark, texts), 3, 90).collect()
+    assert {(r["a_id"], r["b_id"]): r["n_links"] for r in rows} == want and len(rows) == len(want)
+    assert all((r["a_copies"], r["b_copies"]) == (copies[r["a_id"]], copies[r["b_id"]]) for r in rows)
+
+
 def test_exact_dedup(spark, sample):
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in sample]
     got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(docs(spark, sample), F.col("doc_id") % 2 == 0).collect()}

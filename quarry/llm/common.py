@@ -12,9 +12,14 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests).
+
+    A machine-local folder serves a local master only; on a cluster the setting is required.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -28,6 +33,14 @@ def table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(written: DataFrame) -> None:
+    """Delete a table that table() has written and that no later step reads."""
+    spark = written.sparkSession
+    for path in {f.rpartition("/")[0] for f in written.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows stay under the limit; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df
@@ -44,12 +57,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = table(both.distinct(), "edges")
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"), F.lit(True).alias("changed"))
-    labels = table(labels, "labels")
+    first = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+    labels = table(first.select("node", F.least("node", "m").alias("component"), F.lit(True).alias("changed")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        other = labels.select(F.col("node").alias("b"), "component")
+        near = edges.join(other, "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         hop = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("hop"))
         up = labels.select(F.col("node").alias("hop"), F.col("component").alias("jump"))
-        labels = table(hop.join(up, "hop").select("node", F.least("hop", "jump").alias("component"), (F.least("hop", "jump") < F.col("old")).alias("changed")), "labels")
+        to = F.least("hop", "jump")
+        following = table(hop.join(up, "hop").select("node", to.alias("component"), (to < F.col("old")).alias("changed")), "labels")
+        drop(labels)
+        labels = following
         if labels.filter("changed").isEmpty():
+            drop(edges)
             return labels.select("node", "component")

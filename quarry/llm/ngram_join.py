@@ -1,11 +1,15 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 Documents with the same shingle set form one class. Shingles are ordered by how often their hash bucket occurs in the
-whole corpus, rarest first; each class posts the first n - ceil(t n) + 1 of them. Candidates share a posted shingle.
-Within a posted shingle every class is first compared with two heads only, the class for which the shingle comes earliest
-and the smallest class, which settles groups of near copies in linear work; then all remaining candidates whose classes
-are still in different components are compared, so no component is lost. Components alone skip links inside a group;
-ngram_links compares all candidates and returns every link.
+whole corpus, rarest first; each class posts the first n - ceil(t n) + 1 of them. Candidates share a posted shingle and
+pass the length and positional filters. Within a posted shingle every class is first compared with two heads only, the
+class for which the shingle comes earliest and the smallest class, which settles groups of near copies in linear work;
+then all remaining candidates whose classes are still in different components are compared, so no component is lost.
+Components alone skip links inside a group; ngram_links compares all candidates and returns every link.
+
+Postings of shingles whose bucket is hot are dealt over salts, and their heads are merged. Before any text is shipped,
+the suffix filter drops pairs whose histograms over ranges of the shingle order differ too much. Then one text of each
+pair travels to the other's block, where each side's set is built once and the pair is verified once.
 
 Defined results: null or empty text, or text without words: n_shingles 0, its own component. Repeated rows, ties: the
 smallest id of a group names it. Columns besides the id and the text are ignored. Shingles and sets are held as 64-bit
@@ -15,16 +19,19 @@ hashes: two different sets meet with a chance of about 1 in 10^19 for each pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import bounded, components, table
 
 #: Buckets of the frequency order: a fixed size, whatever the corpus.
 BUCKETS, SEGMENTS = 1 << 18, 64
+#: Ranges of the suffix filter's histogram; partners of one class that a block holds.
+RANGES, BLOCK = 64, 512
 _ONE, _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -52,22 +59,21 @@ def _least_overlap(a, b, pct: int):
     return (pct * (a + b) + 99 + pct) // (100 + pct)
 
 
-def _far_apart(a: np.ndarray, b: np.ndarray, allowed: int, depth: int = 3) -> bool:
-    """Suffix filter: split both sorted sets at a's middle again and again; the sizes of the parts bound the difference."""
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles fall into each range of the hash order, up to 255."""
+    counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
-    def least(x: np.ndarray, y: np.ndarray, left: int) -> int:
-        if not left or len(x) < 4 or len(y) < 4:
-            return abs(len(x) - len(y))
-        m = len(x) // 2
-        c = int(np.searchsorted(y, x[m]))
-        return least(x[:m], y[:c], left - 1) + least(x[m:], y[c:], left - 1)
 
-    return least(a, b, depth) > allowed
+def may_link(na: np.ndarray, nb: np.ndarray, a: list[bytes], b: list[bytes], pct: int) -> np.ndarray:
+    """Suffix filter: the sets' parts differ at least by the differences of their sizes, which must leave the overlap."""
+    x, y = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, RANGES).astype(np.int16) for z in (a, b))
+    return np.abs(x - y).sum(1) <= na + nb - 2 * _least_overlap(na, nb, pct)
 
 
 def linked(a: np.ndarray, b: np.ndarray, pct: int) -> bool:
     need = _least_overlap(len(a), len(b), pct)
-    if min(len(a), len(b)) < need or _far_apart(a, b, len(a) + len(b) - 2 * need):
+    if min(len(a), len(b)) < need:
         return False
     same = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * same >= pct * (len(a) + len(b) - same)
@@ -87,45 +93,51 @@ def ngram_links(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "doc_i
     return _join(docs, k, pct, id_col, text_col, True)
 
 
-def _join(docs: DataFrame, k: int, pct: int, id_col: str, text_col: str, all_links: bool) -> DataFrame:
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            n, cls = [], []
-            for t in b["text"]:
-                s = shingle_set(t, k)
-                counts += np.bincount((s >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
-                n.append(len(s))
-                cls.append(_class_of(s) if len(s) else 0)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "cls": cls, "segment": -1, "counts": b""})
-        if counts.any():
-            yield pd.DataFrame({"doc_id": 0, "n": 0, "cls": 0, "segment": range(SEGMENTS), "counts": [x.tobytes() for x in np.split(counts, SEGMENTS)]})
-
-    facts = table(docs.mapInPandas(summarise, "doc_id long, n int, cls long, segment int, counts binary"), "ngram-facts")
+def _frequencies(facts: DataFrame) -> np.ndarray:
+    """The corpus count of each bucket, from the tasks' vectors: added up over groups of tasks, then groups of groups."""
 
     def add(b: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BUCKETS // SEGMENTS, np.int64)
         for x in b["counts"]:
             total += np.frombuffer(x, np.int64)
-        return pd.DataFrame({"segment": b["segment"].iloc[:1], "counts": [total.tobytes()]})
-
-    #: partial sums by groups of tasks first, so that no task adds the vectors of a whole corpus
-    parts = facts.filter("segment >= 0").select((F.col("segment") + SEGMENTS * F.pmod(F.monotonically_increasing_id() / F.lit(1 << 33), F.lit(64)).cast("int")).alias("segment"), "counts")
-    sums = parts.groupBy("segment").applyInPandas(add, "segment int, counts binary").withColumn("segment", F.col("segment") % SEGMENTS)
-    freq = np.zeros(BUCKETS, np.int64)
-    for r in sums.groupBy("segment").applyInPandas(add, "segment int, counts binary").collect():  # SEGMENTS rows of a fixed size
-        freq[r["segment"] * (BUCKETS // SEGMENTS) : (r["segment"] + 1) * (BUCKETS // SEGMENTS)] = np.frombuffer(r["counts"], np.int64)
-    rank = spark.sparkContext.broadcast(np.argsort(np.argsort(freq, kind="stable"), kind="stable").astype(np.uint32))
-    facts = facts.filter("segment < 0")
+        return b[["segment", "part"]].iloc[:1].assign(counts=[total.tobytes()])
+
+    sums = facts.filter("segment >= 0").select("segment", F.spark_partition_id().alias("part"), "counts")
+    for _ in range(3):
+        sums = sums.withColumn("part", F.shiftright("part", 6))
+        sums = sums.groupBy("segment", "part").applyInPandas(add, "segment int, part int, counts binary")
+    out = np.zeros((SEGMENTS, BUCKETS // SEGMENTS), np.int64)
+    for r in sums.collect():  # SEGMENTS rows of a fixed size for each 2^18 tasks
+        out[r["segment"]] += np.frombuffer(r["counts"], np.int64)
+    return out.ravel()
+
+
+def _near(na, nb, i, j, pct: int, least=np.minimum):
+    """Length and positional filters, and the pair's own prefix, for a shared shingle at positions i and j of sets of na and nb."""
+    need = _least_overlap(na, nb, pct)
+    return (least(na, nb) >= need) & (i <= na - need) & (j <= nb - need) & (least(i, j) + least(na - i, nb - j) >= need)
+
+
+def _near_columns(a: str, b: str, pct: int) -> Column:
+    """_near for two structs or prefixes of columns n and pos."""
+    na, nb, i, j = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
+    need = F.floor((pct * (na + nb) + 99 + pct) / (100 + pct))
+    over = F.least(i, j) + F.least(na - i, nb - j) >= need
+    return (F.least(na, nb) >= need) & (i <= na - need) & (j <= nb - need) & over
+
+
+def _postings(docs: DataFrame, freq: np.ndarray, k: int, pct: int) -> DataFrame:
+    """token, cls, n, pos, salt, salts: the prefix of every class, rarest shingles first."""
+    sc = docs.sparkSession.sparkContext
+    rank = sc.broadcast(np.argsort(np.argsort(freq, kind="stable"), kind="stable").astype(np.uint32))
+    #: a bucket far above the mean may hold a shingle of a large group
+    spread = sc.broadcast(np.maximum(1, -(-freq // max(2000, int(64 * freq.mean())))).astype(np.int32))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # a class is posted once a task, as far as memory is sure to last
-        order = rank.value
+        order, salts = rank.value, spread.value
         for b in batches:
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[] for _ in range(6)]
             for t in b["text"]:
                 s = shingle_set(t, k)
                 if not len(s) or (c := _class_of(s)) in seen:
@@ -136,68 +148,180 @@ def _join(docs: DataFrame, k: int, pct: int, id_col: str, text_col: str, all_lin
                 key = (order[(s >> np.uint64(46)).astype(np.int64)].astype(np.uint64) << np.uint64(46)) | (s & np.uint64((1 << 46) - 1))
                 first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
                 first = first[np.argsort(key[first])]
-                for col, x in zip(cols, (s[first].view(np.int64), np.full(p, c, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)), strict=True):
+                many = salts[(s[first] >> np.uint64(46)).astype(np.int64)]
+                made = (s[first].view(np.int64), np.full(p, c, np.int64), np.full(p, len(s)), np.arange(p), np.int64(c) % many, many)
+                for col, x in zip(cols, made, strict=True):
                     col.append(x)
             if cols[0]:
-                yield pd.DataFrame(dict(zip(("token", "cls", "n", "pos"), map(np.concatenate, cols), strict=True)))
+                names = ("token", "cls", "n", "pos", "salt", "salts")
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, cols), strict=True)))
+
+    return docs.mapInPandas(post, "token long, cls long, n long, pos long, salt int, salts int")
 
-    postings = table(docs.mapInPandas(post, "token long, cls long, n int, pos int"), "ngram-postings")
-    #: the class with fewest rarer shingles is the likeliest common source of near copies; the smallest class joins what that one misses
-    heads = postings.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min(F.struct("pos", "cls", "n")).alias("h1"), F.min(F.struct("cls", "n", "pos")).alias("h2")).filter("lo <> hi").drop("lo", "hi")
-    shared = table(postings.join(heads, "token").dropDuplicates(["token", "cls"]), "ngram-shared")
 
-    def near(na, nb, i, j):
-        """Length and positional filters, and the pair's own prefix, for a shared shingle at positions i and j of sets of na and nb."""
-        need = F.floor((pct * (na + nb) + 99 + pct) / (100 + pct))
-        return (F.least(na, nb) >= need) & (i <= na - need) & (j <= nb - need) & (F.least(i, j) + F.least(na - i, nb - j) >= need)
+def _shared(postings: DataFrame, pct: int) -> DataFrame:
+    """token, cls, n, pos, hot, h1, h2: postings whose token another class has (or may have, where hot).
 
-    star = None
+    h1 and h2 are the heads that pass the filters with the row; those of hot tokens are found later, over all salts.
+    """
+
+    def mark(b: pd.DataFrame) -> pd.DataFrame:
+        token, cls = b["token"].to_numpy(), b["cls"].to_numpy()
+        once = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]  # several tasks may have posted a class
+        token, salt, cls, n, pos, salts = (b[c].to_numpy()[once] for c in ("token", "salt", "cls", "n", "pos", "salts"))
+        start = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
+        size = np.diff(np.r_[start, len(token)])
+        lowest = np.flatnonzero(cls == np.repeat(np.minimum.reduceat(cls, start), size))
+        hot = salts > 1
+        out = {"token": token, "cls": cls, "n": n, "pos": pos, "hot": hot}
+        for name, at in (("h1", start), ("h2", lowest)):
+            at = np.repeat(at, size)
+            fits = ~hot & (cls != cls[at]) & _near(n, n[at], pos, pos[at], pct)
+            out[name] = pd.arrays.IntegerArray(cls[at], ~fits)
+        return pd.DataFrame(out)[hot | (np.repeat(size, size) > 1)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the rows of the last token so far
+        for b in batches:
+            if b.empty:
+                continue
+            keys = b[["token", "salt"]].to_numpy()
+            other = np.flatnonzero((keys != keys[-1]).any(1))
+            cut = other[-1] + 1 if len(other) else 0
+            if cut or (held and (held[-1][["token", "salt"]].to_numpy()[-1] != keys[-1]).any()):
+                yield mark(pd.concat([*held, b.iloc[:cut]]))
+                held = []
+            held.append(b.iloc[cut:])
+        if held:
+            yield mark(pd.concat(held))
+
+    dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "pos", "cls")
+    return dealt.mapInPandas(run, "token long, cls long, n long, pos long, hot boolean, h1 long, h2 long")
+
+
+def _star(shared: DataFrame, pct: int) -> DataFrame:
+    """home, member: each class with the heads of its tokens, once."""
+    pairs = [shared.filter(F.col(h).isNotNull()).select(F.col(h).alias("home"), "cls") for h in ("h1", "h2")]
+    hot = shared.filter("hot").select("token", "cls", "n", "pos")
+    ends = [F.min("cls").alias("lo"), F.max("cls").alias("hi")]
+    heads = [F.min(F.struct("pos", "cls", "n")).alias("h1"), F.min(F.struct("cls", "n", "pos")).alias("h2")]
+    tops = table(hot.groupBy("token").agg(*ends, *heads).filter("lo <> hi").select("token", "h1", "h2"), "ngram-tops")
+    both = hot.join(bounded(tops, tops.count()), "token").select("h1", "h2", F.struct("cls", "n", "pos").alias("x"))
     for h in ("h1", "h2"):
-        one = shared.filter((F.col("cls") != F.col(f"{h}.cls")) & near(F.col("n"), F.col(f"{h}.n"), F.col("pos"), F.col(f"{h}.pos"))).select(F.least("cls", f"{h}.cls").alias("a"), F.greatest("cls", f"{h}.cls").alias("b"))
-        star = one if star is None else star.union(one)
-    reps = table(facts.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "ngram-reps")
+        fits = (F.col(f"{h}.cls") != F.col("x.cls")) & _near_columns("x.", f"{h}.", pct)
+        pairs.append(both.filter(fits).select(F.col(f"{h}.cls").alias("home"), F.col("x.cls").alias("cls")))
+    return _once(reduce(DataFrame.union, pairs))
 
-    def check(pairs: DataFrame) -> DataFrame:
-        """The pairs of classes (a, b) that link, each verified once."""
-        wanted = table(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(reps, "cls"), "ngram-wanted")
 
-        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame({"cls": b["cls"], "s": [shingle_set(t, k).tobytes() for t in b["text"]]})
+def _once(pairs: DataFrame) -> DataFrame:
+    """pairs(home, cls), in either order and many times -> home, member."""
+    both = pairs.select(F.least("home", "cls").alias("a"), F.greatest("home", "cls").alias("b"), (F.col("home") < F.col("cls")).alias("first"))
+    one = both.groupBy("a", "b").agg(F.max("first").alias("first"))
+    home, member = F.when(F.col("first"), F.col("a")), F.when(F.col("first"), F.col("b"))
+    return one.select(home.otherwise(F.col("b")).alias("home"), member.otherwise(F.col("a")).alias("member"))
 
-        texts = docs.join(bounded(wanted.withColumnRenamed("rep", "doc_id"), wanted.count()), "doc_id").select("cls", "text")
-        held = table(texts.mapInPandas(sets, "cls long, s binary"), "ngram-sets").dropDuplicates(["cls"])
 
-        def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), pct) for x, y in zip(b["sa"], b["sb"], strict=True)]
-                yield b.loc[ok, ["a", "b"]]
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, pct: int) -> DataFrame:
+    """The pairs (home, member) of classes that link, each verified once."""
+
+    def suffix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b[may_link(b["n"].to_numpy(), b["n2"].to_numpy(), list(b["sketch"]), list(b["sketch2"]), pct)][["home", "member", "home_id", "member_id"]]
+
+    own = reps.select(F.col("cls").alias("home"), F.col("rep").alias("home_id"), "n", "sketch")
+    other = reps.select(F.col("cls").alias("member"), F.col("rep").alias("member_id"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
+    wanted = pairs.join(own, "home").join(other, "member").mapInPandas(suffix, "home long, member long, home_id long, member_id long")
+    wanted = table(wanted, "ngram-wanted")
+    many = table(wanted.groupBy("home").agg(F.count("*").alias("many")).filter(F.col("many") > BLOCK), "ngram-many")
+    blocks = F.coalesce(F.ceil(F.col("many") / BLOCK), F.lit(1))
+    placed = wanted.join(bounded(many, many.count()), "home", "left").withColumn("block", F.pmod(F.xxhash64("member"), blocks))
+    guests = placed.select(F.col("member_id").alias("doc_id"), "home", "block", F.lit(1).alias("guest"), F.col("member").alias("cls"))
+    hosts = placed.select(F.col("home_id").alias("doc_id"), "home", "block", F.lit(0).alias("guest"), F.col("home").alias("cls")).distinct()
+    sent = table(guests.union(hosts), "ngram-sent")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        home, own = None, None
+        for b in batches:
+            found = []
+            for h, guest, c, t in zip(b["home"], b["guest"], b["cls"], b["text"], strict=True):
+                s = shingle_set(t, k)
+                if not len(s) or _class_of(s) != c:
+                    continue  # another text under the same id
+                if not guest:
+                    home, own = h, s
+                elif h == home and linked(own, s, pct):
+                    found.append((h, c))
+            yield pd.DataFrame(found, columns=["home", "member"], dtype="int64")
+
+    texts = docs.join(bounded(sent, sent.count()), "doc_id").repartition("home", "block").sortWithinPartitions("home", "block", "guest")
+    return table(texts.select("home", "guest", "cls", "text").mapInPandas(verify, "home long, member long"), "ngram-links")
+
+
+def _join(docs: DataFrame, k: int, pct: int, id_col: str, text_col: str, all_links: bool) -> DataFrame:
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-        both = pairs.join(held.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-        return table(both.mapInPandas(verify, "a long, b long"), "ngram-links")
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            n, cls, form = [], [], []
+            for t in b["text"]:
+                s = shingle_set(t, k)
+                counts += np.bincount((s >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
+                n.append(len(s))
+                cls.append(_class_of(s) if len(s) else 0)
+                form.append(sketch(s))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "cls": cls, "sketch": form, "segment": -1, "counts": b""})
+        if counts.any():
+            vectors = [x.tobytes() for x in np.split(counts, SEGMENTS)]
+            yield pd.DataFrame({"doc_id": 0, "n": 0, "cls": 0, "sketch": b"", "segment": range(SEGMENTS), "counts": vectors})
 
+    facts = table(docs.mapInPandas(summarise, "doc_id long, n long, cls long, sketch binary, segment int, counts binary"), "ngram-facts")
+    freq = _frequencies(facts)
+    facts = facts.filter("segment < 0")
+    reps = facts.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = table(reps, "ngram-reps")
+    shared = table(_shared(_postings(docs, freq, k, pct), pct), "ngram-shared")
     if all_links:
-        p = shared.select("token", "cls", "n", "pos")
-        x, y = (p.select("token", *[F.col(c).alias(f"{c}_{e}") for c in ("cls", "n", "pos")]) for e in "xy")
-        pairs = x.join(y, "token").filter((F.col("cls_x") < F.col("cls_y")) & near(F.col("n_x"), F.col("n_y"), F.col("pos_x"), F.col("pos_y")))
-        found = check(table(pairs.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct(), "ngram-pairs"))
-        size = table(facts.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "ngram-sizes")
-        a, b = (size.select(F.col("cls").alias(e), F.col("id").alias(f"{e}_id"), F.col("copies").alias(f"{e}_copies")) for e in "ab")
-        two = found.join(a, "a").join(b, "b").withColumn("swap", F.col("a_id") > F.col("b_id"))
-        two = two.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), F.when(F.col("swap"), F.col("b_copies")).otherwise(F.col("a_copies")).alias("a_copies"), F.when(F.col("swap"), F.col("a_copies")).otherwise(F.col("b_copies")).alias("b_copies"), (F.col("a_copies") * F.col("b_copies")).alias("n_links"))
-        one = size.filter("copies > 1").selectExpr("id AS a_id", "id AS b_id", "copies AS a_copies", "copies AS b_copies", "copies * (copies - 1) div 2 AS n_links")
-        return two.union(one)
-    star = table(star.distinct(), "ngram-star")
-    found = check(star)
-    settled = components(found)
-    left = shared.select("token", "cls", "n", "pos").join(settled.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    open_ = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    left = table(left.join(open_, "token", "left_semi"), "ngram-open")
-    x, y = left.select([F.col(c).alias(f"{c}_x") if c != "token" else F.col(c) for c in left.columns]), left.select([F.col(c).alias(f"{c}_y") if c != "token" else F.col(c) for c in left.columns])
-    rest = x.join(y, "token").filter((F.col("component_x") != F.col("component_y")) & (F.col("cls_x") < F.col("cls_y")) & near(F.col("n_x"), F.col("n_y"), F.col("pos_x"), F.col("pos_y")))
-    rest = table(rest.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "ngram-rest")
-    links = found if rest.isEmpty() else found.union(check(rest))
-    ids = links.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    grouped = reps.join(components(ids).withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
-    out = facts.join(grouped, "cls", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        return _all_links(_verified(_all_pairs(shared, pct), docs, reps, k, pct), reps)
+    star = table(_star(shared, pct), "ngram-star")
+    found = _verified(star, docs, reps, k, pct)
+    labels = components(found.toDF("a", "b"))
+    rest = _left_over(shared, labels, pct)
+    if not rest.isEmpty():
+        rest = table(rest.join(star, ["home", "member"], "left_anti").join(star.toDF("member", "home"), ["home", "member"], "left_anti"), "ngram-rest")
+        found = found.union(_verified(rest, docs, reps, k, pct))
+        labels = components(found.toDF("a", "b"))
+    named = reps.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = table(named.select("cls", "component", "rep"), "ngram-named")
+    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    out = facts.join(named.join(lowest, "component").select("cls", "component_id"), "cls", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _all_pairs(shared: DataFrame, pct: int, apart: Column | None = None) -> DataFrame:
+    """home, member: all pairs of classes with a common token that pass the filters, once."""
+    x, y = (shared.select("token", *[F.col(c).alias(f"{e}_{c}") for c in shared.columns if c != "token"]) for e in "xy")
+    fits = (F.col("x_cls") < F.col("y_cls")) & _near_columns("x_", "y_", pct)
+    pairs = x.join(y, "token").filter(fits if apart is None else fits & apart)
+    return table(pairs.select(F.col("x_cls").alias("home"), F.col("y_cls").alias("member")).distinct(), "ngram-pairs")
+
+
+def _left_over(shared: DataFrame, labels: DataFrame, pct: int) -> DataFrame:
+    """Candidates whose classes the links found so far leave in different components; a class without links is its own."""
+    labels = labels.withColumnRenamed("node", "cls")
+    left = shared.select("token", "cls", "n", "pos").join(bounded(labels, labels.count()), "cls", "left")
+    left = left.withColumn("component", F.coalesce("component", "cls"))
+    ends = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    open_ = table(ends.filter("lo <> hi").select("token"), "ngram-open")
+    left = left.join(bounded(open_, open_.count()), "token", "left_semi")
+    return _all_pairs(table(left, "ngram-left"), pct, F.col("x_component") != F.col("y_component"))
+
+
+def _all_links(found: DataFrame, reps: DataFrame) -> DataFrame:
+    x, y = (reps.select(F.col("cls").alias(c), F.struct(F.col("rep").alias("id"), "copies").alias(e)) for c, e in (("home", "x"), ("member", "y")))
+    two = found.join(x, "home").join(y, "member").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    two = two.selectExpr("a.id AS a_id", "b.id AS b_id", "a.copies AS a_copies", "b.copies AS b_copies", "a.copies * b.copies AS n_links")
+    one = reps.filter("copies > 1").selectExpr("rep AS a_id", "rep AS b_id", "copies AS a_copies", "copies AS b_copies", "copies * (copies - 1) div 2 AS n_links")
+    return two.union(one)

@@ -31,7 +31,7 @@ from .common import bounded, components, table
 #: Buckets of the frequency order: a fixed size, whatever the corpus.
 BUCKETS, SEGMENTS = 1 << 18, 64
 #: Ranges of the suffix filter's histogram; partners of one class that a block holds.
-RANGES, BLOCK = 64, 512
+RANGES, BLOCK = 64, 128
 _ONE, _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 

@@ -1,9 +1,9 @@
 """PII by weak supervision, in DataFrame functions only.
 
-Base spans come from strict patterns (email, ip, card, phone). Wider patterns propose further candidates: e-mail addresses
-written out with "at" and "dot", and phone numbers without a plus sign. On every span, base or proposed, three labelers
-vote yes, no or nothing: a pattern labeler, a gazetteer (top-level domains, issuer digits, reserved ranges) and the words
-before the span. Expectation-maximisation on the table of vote patterns, whose size doesn't depend on the corpus,
+Base spans come from strict patterns (email, ip, card, phone). Wider patterns propose further candidates: addresses written
+out with "at" and "dot", ip addresses with bracketed dots, card numbers in groups with other separators, phone numbers
+without a plus sign. On every span, base or proposed, three labelers vote yes, no or nothing: a pattern labeler (strict form
+or check digits), a gazetteer (top-level domains, issuer digits, reserved ranges) and the words before the span. Expectation-maximisation on the table of vote patterns, whose size doesn't depend on the corpus,
 estimates how reliable each labeler is for each kind; a naive Bayes span classifier is then trained on the patterns with
 the posteriors as soft labels, votes and length as features. Candidates that it finds likelier than `accept` are added.
 
@@ -29,6 +29,8 @@ BASE = {
 }
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]{1,63}\x20?[\[({.](?:dot[\])}])?\x20?[A-Za-z]{2,24}(?![A-Za-z])",
+    "ip": r"(?<![0-9])[0-9]{1,3}(?:\[\.\]|\(dot\)|\[dot\])[0-9]{1,3}(?:\.|\[\.\]|\(dot\)|\[dot\])[0-9]{1,3}(?:\.|\[\.\]|\(dot\)|\[dot\])[0-9]{1,3}(?![0-9])",
+    "card": r"(?<![0-9._/-])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9._/-])",
     "phone": r"(?<![0-9.+()-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
 }
 #: Gazetteers and cue words (fixed values).
@@ -66,29 +68,57 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+NONE = "array<struct<s:int,e:int,m:string>>"
+
+
 def _found(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>> of the pattern's leftmost matches, from the matches and the gaps between them."""
+    """array<struct<s, e, m>> of the pattern's leftmost matches, from the matches and the gaps between them.
+
+    Lengths add up within blocks of some sqrt(n) matches and then over the blocks, so that the work grows with n ** 1.5.
+    """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["g"])
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))).alias("out"))
 
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def placed(pairs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(pairs))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(pairs), width)
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("out"))
+        blocks = F.transform(starts, lambda i: F.aggregate(F.slice(pairs, i, width), empty, step))
+
+        def join(acc: Column, x: Column) -> Column:
+            moved = F.transform(x["out"], lambda y: F.struct((acc["at"] + y["s"]).alias("s"), (acc["at"] + y["e"]).alias("e"), y["m"].alias("m")))
+            return F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["out"], moved).alias("out"))
 
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{NONE}>").alias("out"))
+        return F.aggregate(blocks, first, join, lambda acc: F.flatten(acc["out"]))
 
-GUARDS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike("[0-9][ -]?[0-9]"), "phone": lambda t: t.contains("+")}
-WIDE_GUARDS = {"email": lambda t: t.rlike(r"[\[({]at[\])}]"), "phone": lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}")}
+    # one transform binds the pairs, so that they are made once
+    return F.flatten(F.transform(F.array(pairs), lambda p: F.when(F.size(p) > 0, placed(p)).otherwise(F.array().cast(NONE))))
+
+
+GUARDS = {
+    "email": lambda t: t.contains("@"),
+    "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
+    "card": lambda t: t.rlike("[0-9][ -]?[0-9]"),
+    "phone": lambda t: t.contains("+"),
+}
+WIDE_GUARDS = {
+    "email": lambda t: t.rlike(r"[\[({]at[\])}]"),
+    "ip": lambda t: t.rlike(r"[0-9][\[(](?:\.|dot)[\])]"),
+    "card": lambda t: t.rlike(r"[0-9]{4}[._/][0-9]{4}[._/]"),
+    "phone": lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"),
+}
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans array<struct<kind, s, e, m, before, base>>: base spans and candidates; one row per document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    none = F.array().cast(NONE)
     cols = [F.when(GUARDS[k](F.col("t")), _found(F.col("t"), BASE[k])).otherwise(none).alias(f"b_{k}") for k in KINDS]
     cols += [F.when(WIDE_GUARDS[k](F.col("t")), _found(F.col("t"), WIDE[k])).otherwise(none).alias(f"w_{k}") for k in WIDE]
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).select("doc_id", "t", *cols)
@@ -102,17 +132,35 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     raw = raw.select("doc_id", "t", *[kept(k).alias(f"b_{k}") for k in KINDS], *[f"w_{k}" for k in WIDE])
 
+    def sides(k: str) -> Column:
+        """Base and wide spans of a kind by position; a valid base span can't hold a wide one and part of another."""
+        tagged = lambda arr, base: F.transform(arr, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(base).alias("base")))
+        return F.when(F.size(f"w_{k}") > 0, F.array_sort(F.concat(tagged(F.col(f"b_{k}"), True), tagged(F.col(f"w_{k}"), False))))
+
+    raw = raw.select("*", *[sides(k).alias(f"a_{k}") for k in WIDE])
+
     def apart(k: str) -> Column:
-        return F.filter(F.col(f"w_{k}"), lambda x: ~F.exists(F.col(f"b_{k}"), lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
+        """The wide spans that meet neither the span before nor the one after, where that is a base span."""
+        near = F.transform(F.col(f"a_{k}"), lambda x, i: F.struct(x.alias("x"), F.get(F.col(f"a_{k}"), i - 1).alias("l"), F.get(F.col(f"a_{k}"), i + 1).alias("r")))
+        meets = lambda y, x: F.coalesce(y["base"] & (x["s"] < y["e"]) & (y["s"] < x["e"]), F.lit(False))
+        kept = F.filter(near, lambda z: ~z["x"]["base"] & ~meets(z["l"], z["x"]) & ~meets(z["r"], z["x"]))
+        return F.coalesce(F.transform(kept, lambda z: F.struct(z["x"]["s"].alias("s"), z["x"]["e"].alias("e"), z["x"]["m"].alias("m"))), F.array().cast(NONE))
 
-    return raw.select("doc_id", F.concat(*[full(k, F.col(f"b_{k}"), True) for k in KINDS], *[full(k, apart(k), False) for k in WIDE]).alias("spans"))
+    base, wide = [full(k, F.col(f"b_{k}"), True) for k in KINDS], [full(k, apart(k), False) for k in WIDE]
+    return raw.select("doc_id", F.concat(*base, *wide).alias("spans"))
 
 
 def votes(found: DataFrame) -> DataFrame:
     """One row per span with the votes (1 yes, -1 no, 0 nothing) and a length class."""
     one = found.select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.*")
     kind, m = F.col("kind"), F.col("m")
-    pattern = F.when(F.col("base"), 1).otherwise(0)
+    form = (
+        F.when(kind == "email", m.rlike(r"[\[({]dot[\])}]"))
+        .when(kind == "ip", _valid("ip", F.regexp_replace(m, r"[\[(](?:\.|dot)[\])]", ".")))
+        .when(kind == "card", _luhn(m))
+        .otherwise(m.rlike(r"^(?:\([0-9]{3}\)[\x20-][0-9]{3}[\x20-]|[0-9]{3}([\x20.-])[0-9]{3}\1)[0-9]{4}$"))
+    )
+    pattern = F.when(F.col("base") | form, 1).otherwise(-1)
     gazetteer = (
         F.when(kind == "email", F.when(m.rlike(DOMAINS), 1).otherwise(-1))
         .when(kind == "ip", F.when(m.rlike(r"^(?:0|127|255)\."), -1).otherwise(1))

@@ -5,7 +5,8 @@ binaryFile source gives for files. The reader checks each member, header, length
 for the next gzip member or version line that holds a valid record, goes on there, and logs the bytes between as a gap.
 
 Defined results: null html is an empty payload; null url is left out; of repeated rows with the smallest id all are
-responses; urls and headers may be of any length; an empty table gives no archive; bytes that hold no record are one gap.
+responses; urls and headers may be of any length; an empty table gives no archive; bytes that hold no record are one gap;
+other columns of the pages are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import bounded, table
+
 VERSION, MEMBER, END = b"WARC/1.", b"\x1f\x8b\x08", b"\r\n\r\n"
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 FIELDS = "archive string, at long, size long, kind string, record_type string, record_id string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary"
@@ -44,8 +47,12 @@ def with_refers(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, payload, digest, refers_to (null: a response)."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
-    many = p.filter(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return p.join(many, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    big = p.filter(F.octet_length("payload") >= LEAST).select("page_id", "digest")
+    many = table(big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "warc-first")
+    # only ids and digests meet here; the payloads stay where they are, or travel by page, however many copies one has
+    revisits = big.join(bounded(many, many.count()), "digest").filter("first < page_id").distinct()
+    revisits = table(revisits, "warc-revisits")
+    return p.join(bounded(revisits, revisits.count()), ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", F.col("first").alias("refers_to"))
 
 
 def archives(pages: DataFrame) -> DataFrame:
@@ -149,3 +156,8 @@ def records(blobs: DataFrame, payloads: bool = True) -> DataFrame:
                     yield pd.DataFrame(rows, columns=names).astype({"payload_bytes": "Int64"})
 
     return blobs.select("archive", "content").mapInPandas(run, FIELDS)
+
+
+def quarantine(read: DataFrame) -> DataFrame:
+    """The gap log of records(): archive, at, size of each run of bytes that held no valid record."""
+    return read.filter("kind = 'gap'").select("archive", "at", "size")

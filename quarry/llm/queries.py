@@ -67,9 +67,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives are written to the shared folder and read back; every column comes from the records read."""
+    """Archives are written to the shared folder and read back; every column comes from the records read.
+
+    Gaps are written to a log of their own; the archives are fresh here, so a gap means lost pages and ends the query.
+    """
     blobs = table(warc.archives(read(spark, sf_dir, "pages")), "warc")
-    back = warc.records(blobs, payloads=False).filter("kind = 'record'")
+    back = table(warc.records(blobs, payloads=False), "warc-records")
+    gaps = table(warc.quarantine(back), "warc-gaps")
+    if lost := gaps.count():
+        raise ValueError(f"{lost} gaps in the archives, logged in {gaps.inputFiles()}")
+    back = back.filter("kind = 'record'")
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
     refers = F.when(F.col("refers_to").isNotNull(), page("refers_to"))
     return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", refers.alias("refers_to"))

@@ -1,19 +1,21 @@
 """Exact dedup: binary-fuse filters of immutable snapshots screen a new batch's digests; positives meet the exact buckets.
 
-A snapshot holds one row per distinct text: digest, text, keep_id, group_size. Its filters are one binary-fuse filter
-(three 16-bit fingerprints a key) per shard of the digest. The new batch is grouped by digest first, so that copies
-within it, however many, are one row with a count when they meet the filter. Only digests that the filter lets pass are
-joined with the snapshot's bucket, where the texts themselves are compared.
+A snapshot holds one row per distinct text: digest, keep_id, group_size. Its filters are one binary-fuse filter (three
+16-bit fingerprints a key) per shard of the digest; they depend on the snapshot alone, so save_filters() keeps them with it
+and later batches read them. Any number of snapshots may be screened one after the other. The new batch is grouped by
+digest first, so that copies within it, however many, are one row with a count when they meet the filter. Only digests that
+a filter lets pass are joined with the snapshot's bucket, where the texts themselves are compared.
 
 Defined results: null counts as empty text; all empty texts are one group; the smallest id stays; repeated rows count
-singly; an empty snapshot or batch gives the other's groups.
+singly; an empty snapshot or batch gives the other's groups. Where the byte check finds two texts under one digest, the
+snapshot's and the batch's rows are two groups.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import bounded, table
 
@@ -111,6 +113,17 @@ def screen(batch: DataFrame, snapshot_filters: DataFrame, shards: int) -> DataFr
     return keyed.groupBy("shard").cogroup(snapshot_filters.groupBy("shard")).applyInPandas(test, batch.withColumn("hit", F.lit(True)).schema)
 
 
+def save_filters(digests: DataFrame, shards: int, path: str) -> None:
+    """Keep a snapshot's filters beside it: a snapshot never changes, so they are built once."""
+    filters(digests, shards).withColumn("shards", F.lit(shards)).write.parquet(path)
+
+
+def load_filters(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The filters that save_filters() has written, and their number of shards."""
+    kept = spark.read.parquet(path)
+    return kept.drop("shards"), kept.agg(F.coalesce(F.max("shards"), F.lit(1))).first()[0]
+
+
 def groups(digests: DataFrame) -> DataFrame:
     """digests(digest, doc_id) -> one row a digest: the id that stays and the number of rows."""
     return digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -124,7 +137,7 @@ def exact_dedup(docs: DataFrame, snapshot: Column, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"), F.coalesce(snapshot, F.lit(False)).alias("old"))
     rows = table(rows, "dedup-digests")
     old, new = table(groups(rows.filter("old")), "dedup-old"), table(groups(rows.filter("not old")), "dedup-new")
-    shards = max(64, -(-old.count() // SHARD_KEYS))
+    shards = max(64, -(-max(old.count(), new.count()) // SHARD_KEYS))
     tested = table(screen(new, filters(old.select("digest"), shards), shards), "dedup-tested")
     met = tested.filter("hit").join(old.select("digest", F.col("keep_id").alias("old_id"), F.col("group_size").alias("old_size")), "digest")
     met = table(met, "dedup-met")
@@ -133,8 +146,11 @@ def exact_dedup(docs: DataFrame, snapshot: Column, id_col: str = "doc_id", text_
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = plain.join(bounded(ids, 2 * met.count()), "doc_id").select("digest", normalised(F.col("text")).alias("text"))
     same = texts.groupBy("digest").agg((F.min("text") == F.max("text")).alias("same"))
-    met = met.join(same.filter("same"), "digest").select("digest", F.least("keep_id", "old_id").alias("keep_id"), (F.col("group_size") + F.col("old_size")).alias("group_size"))
+    both = F.array(F.lit(True), F.lit(False))
+    met = met.join(same.filter("same"), "digest").select("digest", F.explode(both).alias("old"), F.least("keep_id", "old_id").alias("keep_id"), (F.col("group_size") + F.col("old_size")).alias("group_size"))
     met = table(met, "dedup-joined")
-    alone = old.union(tested.select(*old.columns)).join(met.select("digest"), "digest", "left_anti")
-    out = rows.join(alone.union(met), "digest")
+    sides = old.withColumn("old", F.lit(True)).union(tested.select(*old.columns).withColumn("old", F.lit(False)))
+    alone = sides.join(met.select("digest", "old"), ["digest", "old"], "left_anti").select("digest", "old", "keep_id", "group_size")
+    # two texts under one digest stay two groups, one a side
+    out = rows.join(alone.union(met), ["digest", "old"])
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -3,16 +3,18 @@
 A text is the set of its letter n-grams, n = 1 to 4 (lower case, everything else a blank), hashed to 2^16 bins. The kernel
 of two texts is the size of the common set over the geometric mean of the sizes. Landmarks are some training texts of each
 language; ridge regression works on the kernels with them, so that scoring is a product of a 0/1 matrix of a batch of
-texts with the landmarks' matrix, then with the weights.
+texts with the landmarks' matrix, then with the weights. Landmarks are drawn by a hash of the text; with many languages each
+has fewer, so that the matrix stays below `MODEL_MB`.
 
-Fitted on some `per_lang` labelled texts a language, of which the first `max_chars` characters are taken, in at most
-`max_langs` languages, those with most texts (the sample's bounds). Defined results: `und` with score 0 for null, empty or
-letterless texts; null with score 0 for texts with letters when nothing was learned; ties go to the first language by name;
-rows without a language are not learned from.
+Fitted on some `per_lang` labelled texts a language, `max_rows` in all, of which the first `max_chars` characters are taken
+(the sample's bounds); every language takes part. Defined results: `und` with score 0 for null, empty or letterless texts; null with score 0 for texts
+with letters when nothing was learned; ties go to the first language by name; rows without a language are not learned from;
+repeated rows are answered singly; columns named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +22,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import bounded, table
+
 BINS, SIZES, BATCH = 1 << 16, 4, 128
+#: The landmarks' matrix, 4 bytes a cell, is broadcast; its size is checked against this bound.
+MODEL_MB = 256
 
 
 @lru_cache(1)
@@ -54,6 +60,8 @@ def fit(sample: list[tuple[str, str]], landmarks: int = 40, ridge: float = 1e-2)
     if not rows:
         return None
     langs = sorted({lang for lang, _ in rows})
+    landmarks = max(1, min(landmarks, MODEL_MB * 1_000_000 // (4 * BINS * len(langs))))
+    rows.sort(key=lambda r: zlib.crc32(r[1].tobytes()))
     marks = [g for k in langs for g in [g for lang, g in rows if lang == k][:landmarks]]
     used = np.unique(np.concatenate(marks))
     column = np.full(BINS, -1, np.int64)
@@ -79,15 +87,15 @@ def kernels(model: dict, sets: list[np.ndarray]) -> np.ndarray:
     return x @ model["marks"]
 
 
-def training_sample(docs: DataFrame, train: Column, per_lang: int, max_chars: int, max_langs: int = 200) -> list[tuple[str, str]]:
-    """Some per_lang texts of each of the most frequent languages, by a hash of the id; of long texts the beginning."""
+def training_sample(docs: DataFrame, train: Column, per_lang: int, max_chars: int, max_rows: int = 20_000) -> list[tuple[str, str]]:
+    """Some per_lang texts of each language (fewer where that makes over max_rows), by a hash of the id; of long texts the beginning."""
     known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
     draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (draw < min(1.0, per_lang / r["count"])))
-    return [(r["lang"], r["text"]) for r in known.filter(chosen).select("lang", F.substring("text", 1, max_chars).alias("text")).limit(2 * per_lang * max(1, len(counts))).collect()]
+    counts = table(counts, "langid-counts")
+    each = min(per_lang, max(1, max_rows // max(1, langs := counts.count())))
+    drawn = known.withColumn("draw", draw).join(bounded(counts, langs), "lang").filter(F.col("draw") < each / F.col("n"))
+    return [(r["lang"], r["text"]) for r in drawn.select("lang", F.substring("text", 1, max_chars).alias("text")).collect()]
 
 
 def identify(docs: DataFrame, train: Column, per_lang: int = 200, max_chars: int = 6000) -> DataFrame:

@@ -1,19 +1,23 @@
 """Toxicity by compression distance: one zstandard dictionary of toxic and one of ordinary text.
 
 The ordinary dictionary is trained on windows of ordinary texts. The toxic one is trained on the words and word beginnings
-that recur in toxic texts far more often than in ordinary ones, and lies behind the same ordinary dictionary, so that a
-window's two compressed lengths differ by what only toxic text explains. A text's windows give the largest differences,
-their means and the share of windows over thresholds; logistic regression, fitted on labelled texts that the dictionaries
-haven't seen, calibrates them to a probability.
-
-Fitted on at most `sample` labelled rows of each class (the sample's bound). Defined results: null, empty and wordless
-texts have no window and get the score of zero differences; without labels of both classes every score is 0; repeated rows
-are scored singly; a document with several label rows counts once per row in training only.
+of toxic texts that recur there `lift` times as often as in ordinary ones. (Trained on whole toxic windows it is no use: they
+are ordinary words but for one or two; the README has the figures.) A window is compressed behind the ordinary dictionary
+and behind the ordinary with the toxic one, so that its two lengths differ by what only toxic text explains. A text's windows
+give the largest differences, their means and the share of windows over thresholds; logistic regression, fitted on labelled
+texts that the dictionaries haven't seen, calibrates them to a probability. `lift` is chosen among LIFTS on such texts too.
+
+Bounds of the sample: at most `sample` labelled rows of each class, of at most `max_chars` characters, by a hash of the id;
+WINDOWS windows of them train the ordinary dictionary, by a hash of the window; ORDINARY and TOXIC are the dictionaries'
+bytes. Defined results: null, empty and wordless texts have no window and get the score of zero differences; without labels
+of both classes every score is 0; repeated rows are scored singly; a document with several label rows counts once per row in
+training only; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = re.compile(r"\w+")
-WINDOW, LEVEL, LIFT = 8, 9, 20.0
+WINDOW, LEVEL, LIFTS = 8, 9, (5.0, 10.0, 20.0, 40.0)
+WINDOWS, ORDINARY, TOXIC = 50_000, 8192, 4096
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -39,14 +44,16 @@ def units(text: str) -> set[str]:
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary; the joined samples where there are too few to train on."""
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+    """A dictionary trained on the samples, which are repeated until they are enough to train on."""
+    while samples:
+        try:
+            return zstandard.train_dictionary(size, samples).as_bytes()
+        except zstandard.ZstdError:
+            samples = samples * 2
+    return b""
 
 
-@lru_cache(4)
+@lru_cache(2 * len(LIFTS) + 2)
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     p = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(content), source_size=64, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
@@ -67,26 +74,50 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def area(x: np.ndarray, y: np.ndarray) -> float:
+    """Area under the curve of x for the labels y."""
+    rank = pd.Series(x).rank().to_numpy()
+    n = y.sum()
+    return (rank[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n))
+
+
+def marks(toxic: list[str], ordinary: list[str]) -> dict[str, tuple[float, int]]:
+    """How far more frequent each unit is in toxic texts than in ordinary ones, and in how many of them it occurs."""
+    in_toxic, in_ordinary = Counter(), Counter()
+    for many, count in ((toxic, in_toxic), (ordinary, in_ordinary)):
+        for t in many:
+            count.update(units(t))
+    base = max(1.0, 0.001 * len(ordinary)) / len(ordinary)
+    often = {u: c for u, c in in_toxic.items() if c >= max(2, 0.02 * len(toxic))}
+    return {u: ((c / len(toxic)) / (in_ordinary[u] / len(ordinary) + base), c) for u, c in often.items()}
+
+
 def fit(rows: list[tuple[str, int]], weight: tuple[float, float] = (1.0, 1.0)) -> dict | None:
-    """rows: (text, label); weight: rows of each class that one of the sample stands for."""
+    """rows: (text, label); weight: rows of each class that one of the sample stands for.
+
+    Even rows make the dictionaries, odd ones choose `lift` and calibrate.
+    """
     toxic, ordinary = [t or "" for t, y in rows if y], [t or "" for t, y in rows if not y]
     if not toxic or not ordinary:
         return None
     half = lambda a: (a[::2], a[1::2] or a)
     (toxic, toxic2), (ordinary, ordinary2) = half(toxic), half(ordinary)
-    in_toxic, in_ordinary = Counter(), Counter()
-    for many, count in ((toxic, in_toxic), (ordinary, in_ordinary)):
-        for t in many:
-            count.update(units(t))
-    base = max(1.0, 0.001 * len(ordinary)) / len(ordinary)
-    lift = {u: (c / len(toxic)) / (in_ordinary[u] / len(ordinary) + base) for u, c in in_toxic.items() if c >= max(2, 0.02 * len(toxic))}
-    marks = sorted((u for u in lift if lift[u] >= LIFT), key=lambda u: (lift[u], u))
-    o = dictionary([w for t in ordinary[:1500] for w in windows(t)][:50_000], 8192)
-    t = dictionary([u.encode() for u in marks for _ in range(in_toxic[u])], 4096) + b"".join(u.encode() for u in marks[-400:])
-    both = [(x, 1) for x in toxic2] + [(x, 0) for x in ordinary2]
-    x = np.array([features(s, o, o + t) for s, _ in both])
+    found = marks(toxic, ordinary)
+    drawn = sorted((w for t in ordinary for w in windows(t)), key=zlib.crc32)[:WINDOWS]
+    o = dictionary(drawn, ORDINARY)
+    both = toxic2 + ordinary2
+    y = np.r_[np.ones(len(toxic2)), np.zeros(len(ordinary2))]
+    best = (-1.0, b"", None)
+    for lift in LIFTS:
+        chosen = sorted((u for u in found if found[u][0] >= lift), key=lambda u: (found[u][0], u))
+        # the marks themselves at the end, where matches cost least, as far as the dictionary's size goes
+        t = dictionary([u.encode("utf-8", "surrogatepass") for u in chosen for _ in range(found[u][1])], TOXIC)
+        t += "".join(chosen).encode("utf-8", "surrogatepass")[-TOXIC:]
+        x = np.array([features(s, o, o + t) for s in both])
+        best = max(best, (area(x[:, 1], y), t, x), key=lambda z: z[0])
+    _, t, x = best
     mean, sd = x.mean(0), x.std(0) + 1e-9
-    w = logistic(np.c_[(x - mean) / sd, np.ones(len(x))], np.array([y for _, y in both], float))
+    w = logistic(np.c_[(x - mean) / sd, np.ones(len(x))], y)
     w[-1] += np.log(weight[1] / weight[0])
     return {"ordinary": o, "toxic": o + t, "mean": mean, "sd": sd, "w": w}
 
@@ -101,10 +132,7 @@ def score_texts(model: dict | None, texts: list[str | None]) -> np.ndarray:
 
 
 def score(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 3000, max_chars: int = 8000) -> DataFrame:
-    """doc_id and score of every document; learns from labelled rows where `train` holds.
-
-    At most `sample` rows a class, of at most `max_chars` characters, by a hash of the id.
-    """
+    """doc_id and score of every document; learns from labelled rows where `train` holds."""
     spark = docs.sparkSession
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & train)
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -112,8 +140,9 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 3000,
     chosen = F.lit(False)
     for y, n in counts.items():
         chosen = chosen | ((F.col("toxic") == y) & (draw < min(1.0, sample / n)))
-    ids = known.filter(chosen).limit(4 * sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).orderBy("doc_id").limit(4 * sample)
+    ids = known.filter(chosen)  # some 2 * sample rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
+    rows = rows.orderBy("doc_id", "toxic").limit(4 * sample)
     share = tuple(max(1.0, counts.get(y, 0) / sample) for y in (0, 1))
     held = spark.sparkContext.broadcast(fit([(r["text"], r["toxic"]) for r in rows.collect()], share))
 

@@ -1,14 +1,16 @@
 """HTML extraction: parser events into lines, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
-The standard library's parser streams events; each block element starts a line with its text and its number of tags.
-Lines inside elements that never hold an article (navigation, header, footer, aside, form, script, style, ... and
-elements whose class, id or role names an advert, a menu, comments and the like) are boilerplate whatever their ratio.
-The others have the ratio of characters to tags, smoothed with a Gaussian; those over a share of the deviation form the
-content cluster. Where the page marks an article or main region that holds at least half of the text left, lines outside it
-need the threshold times a weight, and lines inside it stay with any ratio. Smaller regions (teasers, cards) change nothing.
+The standard library's parser streams events; each block element starts a line with its text and its number of tags. A line's
+ratio of characters to tags is smoothed with a Gaussian over its neighbours; lines whose smoothed ratio reaches a share of
+the page's standard deviation (or mean, if less) form the content cluster. What the mark-up says about a line weighs its threshold: an
+eighth inside an article or main region that holds at least half of the text, eight times outside it, 64 times where a whole
+class or id name is that of an advert, a menu, comments and the like. Smaller regions (teasers, cards) weigh nothing.
+Elements that never hold an article (navigation, footer, aside, form, script, style, a header outside a region, ...) are left
+out before.
 
 Defined results: null or empty html gives an empty text; repeated rows are answered singly; unclosed and stray tags are
-tolerated; white space inside a block is one space, blocks are joined by one space in page order.
+tolerated, and a missing end of the head is implied; columns named text or n_chars are replaced; white space inside a block
+is one space, blocks are joined by one space in page order.
 """
 
 from __future__ import annotations
@@ -22,45 +24,56 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 #: Element names (fixed values).
-SKIPPED = frozenset("script style noscript template iframe svg math object nav header footer aside form button select option textarea dialog menu head title".split())
-BLOCKS = frozenset("p div article main section h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption br hr address body html details summary center fieldset caption".split())
+SKIPPED = frozenset("script style noscript template iframe svg math object nav footer aside form button select option textarea dialog menu head title".split())
+BLOCKS = frozenset("p div article main section header h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption br hr address body html details summary center fieldset caption".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CLUTTER = re.compile(r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|banner|promo\w*|sponsor\w*|cookie\w*|consent|notice|newsletter|subscribe|popup|modal|overlay|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|header|masthead|share|sharing|social|related|recommend\w*|comments?|replies|reply|disqus|login|signup|search|tags|toc|legal|copyright)(?:$|[\s_-])")
+IN_HEAD = frozenset("head title meta link style script base noscript template".split())
+#: Whole class and id names of clutter: a word of this list, or two joined by a hyphen or an underscore (fixed values).
+WORDS = "ads?|advert|advertisement|adslot|banner|promo|promotion|sponsor|sponsored|cookies?|consent|gdpr|newsletter|subscribe|popup|modal|overlay|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|masthead|share|sharing|social|related|recommended|comments?|replies|disqus|login|signup|search|copyright"
+PARTS = "site|page|main|top|bottom|left|right|box|block|bar|list|section|container|wrapper|wrap|area|slot|unit|notice|form|posts|links|items?|icons|buttons|[0-9]+"
+CLUTTER = re.compile(rf"(?i)(?:(?:{PARTS})[_-])?(?:{WORDS})(?:[_-](?:{WORDS}|{PARTS}))*")
+SITE = re.compile(r"(?i)(?:(?:site|page|main|top|global)[_-])?(?:header|footer)")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, in clutter, in article) for each block of a page."""
+    """Collects (text, tags, clutter by name, in article) for each block of a page, but for the elements left out."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, bool]] = []
-        self.stack: list[tuple[str, bool, bool]] = []
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, left out, clutter by name, in article
         self.text: list[str] = []
         self.tags = 0
 
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, bool(self.stack) and self.stack[-1][1], bool(self.stack) and self.stack[-1][2]))
+            _, out, named, inside = self.stack[-1] if self.stack else ("", False, False, False)
+            if not out:
+                self.lines.append((text, self.tags, named, inside))
             self.tags = 0
         self.text = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        bad = tag in SKIPPED
+        if tag not in IN_HEAD and any(x[0] == "head" for x in self.stack):
+            self.handle_endtag("head")
+        over = self.stack[-1] if self.stack else ("", False, False, False)
+        bad, named = tag in SKIPPED or (tag == "header" and not over[3]), False
         own = {k: v or "" for k, v in attrs} if attrs else {}
         if own and tag not in ("html", "body", "article", "main"):
-            bad = bad or own.get("role") in ROLES or "hidden" in own or own.get("aria-hidden") == "true" or bool(CLUTTER.search(own.get("class", ""))) or bool(CLUTTER.search(own.get("id", "")))
-        if tag in BLOCKS or bad:
+            bad = bad or own.get("role") in ROLES or "hidden" in own or own.get("aria-hidden") == "true"
+            names = [*own.get("class", "").split(), own.get("id", "")]
+            named = any(CLUTTER.fullmatch(x) or (not over[3] and SITE.fullmatch(x)) for x in names)
+        if tag in BLOCKS or bad or named:
             self.cut()
         self.tags += 1
         if tag in EMPTY:
             return
-        over = self.stack[-1] if self.stack else ("", False, False)
         if tag == "p" and over[0] == "p":
             self.stack.pop()
-            over = self.stack[-1] if self.stack else ("", False, False)
-        self.stack.append((tag, over[1] or bad, over[2] or tag in ("article", "main")))
+            over = self.stack[-1] if self.stack else ("", False, False, False)
+        self.stack.append((tag, over[1] or bad, over[2] or named, over[3] or tag in ("article", "main")))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS or tag in SKIPPED:
@@ -68,7 +81,7 @@ class Lines(HTMLParser):
         self.tags += 1
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                if any(x[1] for x in self.stack[i:]):
+                if any(x[1] or x[2] for x in self.stack[i:]):
                     self.cut()
                 del self.stack[i:]
                 return
@@ -85,22 +98,22 @@ def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(x, r, mode="edge"), k / k.sum(), "valid")
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.25, weight: float = 4.0) -> str:
+def main_text(html: str | None, sigma: float = 1.0, share: float = 0.25, weight: float = 8.0) -> str:
     if not html:
         return ""
     p = Lines()
     p.feed(html)
     p.close()
     p.cut()
-    lines = [x for x in p.lines if not x[2]]
-    if not lines:
+    if not p.lines:
         return ""
-    ratio = smoothed(np.array([len(t) / max(1, n) for t, n, _, _ in lines]), sigma)
-    inside, size = np.array([x[3] for x in lines]), np.array([len(x[0]) for x in lines])
-    need = np.full(len(lines), share * ratio.std())
-    if 2 * size[inside].sum() >= size.sum():
-        need = np.where(inside, -np.inf, need * weight)
-    return " ".join(x[0] for x, ok in zip(lines, ratio >= need, strict=True) if ok)
+    size, tags, named, inside = (np.array(x) for x in list(zip(*((len(t), n, c, i) for t, n, c, i in p.lines), strict=True)))
+    ratio = smoothed(size / np.maximum(1, tags), sigma)
+    need = np.full(len(size), share * min(ratio.std(), ratio.mean()))  # one giant line makes a deviation that no other reaches
+    if 2 * size[inside & ~named].sum() >= size[~named].sum() > 0:
+        need *= np.where(inside, 1 / weight, weight)
+    need[named] *= weight**2
+    return " ".join(x[0] for x, ok in zip(p.lines, ratio >= need, strict=True) if ok)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -68,21 +68,21 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-NONE = "array<struct<s:int,e:int,m:string>>"
+NONE = "array<struct<s:int,e:int,m:string,b:string>>"
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>> of the pattern's leftmost matches, from the matches and the gaps between them.
+    """array<struct<s, e, m, b>> of the pattern's leftmost matches with what stands before, from the matches and the gaps between them.
 
     Lengths add up within blocks of some sqrt(n) matches and then over the blocks, so that the work grows with n ** 1.5.
     """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda m, g: F.struct(m.alias("m"), g.alias("g"), F.substring(g, -30, 30).alias("b")))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["g"])
         e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))).alias("out"))
+        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), x["b"].alias("b"))).alias("out"))
 
     def placed(pairs: Column) -> Column:
         width = F.ceil(F.sqrt(F.size(pairs))).cast("int")
@@ -91,7 +91,7 @@ def _found(text: Column, pattern: str) -> Column:
         blocks = F.transform(starts, lambda i: F.aggregate(F.slice(pairs, i, width), empty, step))
 
         def join(acc: Column, x: Column) -> Column:
-            moved = F.transform(x["out"], lambda y: F.struct((acc["at"] + y["s"]).alias("s"), (acc["at"] + y["e"]).alias("e"), y["m"].alias("m")))
+            moved = F.transform(x["out"], lambda y: F.struct((acc["at"] + y["s"]).alias("s"), (acc["at"] + y["e"]).alias("e"), y["m"].alias("m"), y["b"].alias("b")))
             return F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["out"], moved).alias("out"))
 
         first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{NONE}>").alias("out"))
@@ -127,14 +127,13 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return F.filter(F.col(f"b_{k}"), lambda x: _valid(k, x["m"]))
 
     def full(k: str, arr: Column, base: bool) -> Column:
-        before = lambda x: F.substr(F.col("t"), F.greatest(x["s"] - 29, F.lit(1)), F.least(x["s"], F.lit(30)))
-        return F.transform(arr, lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), before(x).alias("before"), F.lit(base).alias("base")))
+        return F.transform(arr, lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["b"].alias("before"), F.lit(base).alias("base")))
 
     raw = raw.select("doc_id", "t", *[kept(k).alias(f"b_{k}") for k in KINDS], *[f"w_{k}" for k in WIDE])
 
     def sides(k: str) -> Column:
         """Base and wide spans of a kind by position; a valid base span can't hold a wide one and part of another."""
-        tagged = lambda arr, base: F.transform(arr, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(base).alias("base")))
+        tagged = lambda arr, base: F.transform(arr, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["b"].alias("b"), F.lit(base).alias("base")))
         return F.when(F.size(f"w_{k}") > 0, F.array_sort(F.concat(tagged(F.col(f"b_{k}"), True), tagged(F.col(f"w_{k}"), False))))
 
     raw = raw.select("*", *[sides(k).alias(f"a_{k}") for k in WIDE])
@@ -144,7 +143,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         near = F.transform(F.col(f"a_{k}"), lambda x, i: F.struct(x.alias("x"), F.get(F.col(f"a_{k}"), i - 1).alias("l"), F.get(F.col(f"a_{k}"), i + 1).alias("r")))
         meets = lambda y, x: F.coalesce(y["base"] & (x["s"] < y["e"]) & (y["s"] < x["e"]), F.lit(False))
         kept = F.filter(near, lambda z: ~z["x"]["base"] & ~meets(z["l"], z["x"]) & ~meets(z["r"], z["x"]))
-        return F.coalesce(F.transform(kept, lambda z: F.struct(z["x"]["s"].alias("s"), z["x"]["e"].alias("e"), z["x"]["m"].alias("m"))), F.array().cast(NONE))
+        return F.coalesce(F.transform(kept, lambda z: F.struct(*[z["x"][c].alias(c) for c in ("s", "e", "m", "b")])), F.array().cast(NONE))
 
     base, wide = [full(k, F.col(f"b_{k}"), True) for k in KINDS], [full(k, apart(k), False) for k in WIDE]
     return raw.select("doc_id", F.concat(*base, *wide).alias("spans"))

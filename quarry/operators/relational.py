@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .lineage import cut
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given total order."""
@@ -38,7 +40,10 @@ def gate_fail_closed(df: DataFrame, quality: DataFrame, key: str, good: Column)
 def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], recency: str) -> DataFrame:
     """The most recent row of each key; the new one wins a tie."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return keep_first(both, keys, [F.col(recency).desc_nulls_last(), F.col("_new").desc()]).drop("_new")
+    rest = [c for c in both.columns if c not in keys]
+    # the largest (known, recency, new) of a key, combined before the shuffle
+    best = F.max_by(F.struct(*rest), F.struct(F.col(recency).isNotNull(), F.col(recency), F.col("_new"))).alias("x")
+    return both.groupBy(*keys).agg(best).select(*keys, *[F.col(f"x.{c}").alias(c) for c in rest if c != "_new"])
 
 
 def upsert_keep_if_null(old: DataFrame, new: DataFrame, keys: list[str], first_wins: bool) -> DataFrame:
@@ -57,4 +62,68 @@ def counter_merge(tables: list[DataFrame], keys: list[str], counts: list[str]) -
 def share_of_total(df: DataFrame, keys: list[str], value: str, total_keys: list[str], name: str, digits: int = 4) -> DataFrame:
     """Grouped sums with their share of the sum over total_keys."""
     g = df.groupBy(*keys).agg(F.sum(value).alias(value))
-    return g.withColumn(name, F.round(F.col(value) / F.sum(value).over(Window.partitionBy(*total_keys)), digits))
+    share = F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(*total_keys)))
+    return g.withColumn(name, F.round(F.coalesce(share, F.lit(0.0)), digits))  # a total of zero has shares of zero
+
+
+def any_ilike(text: Column, patterns: Column) -> Column:
+    """The text matches one of an array's patterns, whatever its case."""
+    return F.coalesce(F.exists(patterns, lambda p: F.ilike(text, p)), F.lit(False))
+
+
+def write_back(df: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Values of the updates (one row a key) where they have one, else the old ones."""
+    values = [c for c in updates.columns if c not in keys]
+    new = updates.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in values])
+    kept = [F.coalesce(f"_new_{c}", c).alias(c) if c in values else F.col(c) for c in df.columns]
+    return df.join(new, keys, "left").select(*kept)
+
+
+def named(rows: DataFrame, kinds: dict[str, DataFrame], kind: str, id_: str, name: str = "name") -> DataFrame:
+    """A polymorphic reference resolved by one join: kinds maps a type to its DataFrame(id, name)."""
+    table = reduce(DataFrame.unionByName, [df.select(F.lit(k).alias(kind), F.col("id").alias(id_), F.col("name").alias(name)) for k, df in kinds.items()])
+    return rows.join(table, [kind, id_], "left")
+
+
+def modal(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The most frequent value of each key that is not null, the least one on a tie."""
+    n = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    return n.groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("n"), value)).alias("_x")).select(*keys, F.col(f"_x.{value}").alias(value))
+
+
+def guarded_upsert(old: DataFrame, new: DataFrame, keys: list[str], guard: Column) -> DataFrame:
+    """Old rows where the guard does not hold stay whatever comes; the others are replaced, new keys are added."""
+    held = old.filter(~F.coalesce(guard, F.lit(False)))
+    free = new.join(held.select(*keys), keys, "left_anti")
+    rest = old.filter(F.coalesce(guard, F.lit(False))).join(new.select(*keys), keys, "left_anti")
+    return held.unionByName(free).unionByName(rest)
+
+
+def page(df: DataFrame, order: list[Column], size: int, offset: int = 0) -> DataFrame:
+    """One page with has_more, found by reading one row more than its size."""
+    probe = df.orderBy(*order).offset(offset).limit(size + 1)
+    w = Window.orderBy(*order)  # size + 1 rows at most
+    marked = probe.withColumn("_rn", F.row_number().over(w)).withColumn("has_more", F.max("_rn").over(Window.partitionBy()) > size)
+    return marked.filter(F.col("_rn") <= size).drop("_rn")
+
+
+def sample_per_bucket(df: DataFrame, bucket: str, key: str, size: int, seed: int = 0) -> DataFrame:
+    """`size` rows of each bucket in an order that a hash of the key and the seed draws: the same at every run."""
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return top_n(df.withColumn("_draw", drawn), [bucket], [F.asc("_draw"), F.asc(key)], size, "_rn").drop("_rn", "_draw")
+
+
+def merge_targets(edges: DataFrame) -> DataFrame:
+    """edges(merge_id, keep_id, weight) -> merge_id, final_id: one keep a merge (the heaviest, then the least id), chains followed.
+
+    Each round doubles the length that is followed. A cycle has no last keep and is an error.
+    """
+    best = F.min(F.struct((-F.col("weight")).alias("w"), "keep_id")).alias("x")
+    one = edges.filter("merge_id <> keep_id").groupBy("merge_id").agg(best).select("merge_id", F.col("x.keep_id").alias("final_id"))
+    for _ in range(40):
+        after = one.select(F.col("merge_id").alias("final_id"), F.col("final_id").alias("next"))
+        jumped = cut(one.join(after, "final_id", "left").select("merge_id", F.coalesce("next", "final_id").alias("final_id"), F.col("next").isNotNull().alias("on")))
+        one = jumped.drop("on")
+        if jumped.filter("on").isEmpty():
+            return one
+    raise ValueError("the merge edges hold a cycle")

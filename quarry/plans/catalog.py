@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from ..operators import relational as R
+from ..operators.feeds import percentiles
 from ..sources.io import read_table as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,28 +98,6 @@ def scene_list(s, d):
     return t(s, d, "region").join(per, "r_regionkey", "left").select("r_name", F.coalesce("nations", F.lit(0)).alias("nations"), F.coalesce("labels", F.lit(0)).cast("long").alias("labels"))
 
 
-@query("""WITH q AS (SELECT string_split(lower(p_name), ' ')[1] AS a, substr(string_split(lower(p_name), ' ')[2], 1, 3) AS b FROM part WHERE p_partkey = 1)
-SELECT p_partkey, p_name FROM part, q WHERE list_contains(string_split(lower(p_name), ' '), a) AND contains(' ' || lower(p_name), ' ' || b)""")
-def search_masters_fts(s, d):
-    """Names that have part 1's first word, and its second word's first three letters as a prefix."""
-    p = t(s, d, "part").select("p_partkey", "p_name")
-    q = p.filter("p_partkey = 1").select(F.split(F.lower("p_name"), " ").alias("q")).limit(1)
-    words = F.split(F.lower("p_name"), " ")
-    hit = F.array_contains(words, F.get("q", F.lit(0))) & F.exists(words, lambda w: w.startswith(F.substring(F.get("q", F.lit(1)), 1, 3)))
-    return p.crossJoin(F.broadcast(q)).filter(hit).select("p_partkey", "p_name")  # one query row
-
-
-@query("""WITH n AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, list_distinct(flatten(list_transform(string_split(p_name, ' '), lambda w: list_transform(range(1::bigint, length(w) + 2), lambda i: substr('  ' || w || ' ', i::bigint, 3))))) AS x FROM n),
-q AS (SELECT x FROM g WHERE p_name = (SELECT min(p_name) FROM part))
-SELECT p_name, round(len(list_intersect(g.x, q.x)) / (len(g.x) + len(q.x) - len(list_intersect(g.x, q.x))), 4) AS sim FROM g, q WHERE len(list_intersect(g.x, q.x)) / (len(g.x) + len(q.x) - len(list_intersect(g.x, q.x))) > 0.3""")
-def fuzzy_trigram(s, d):
-    """Names with trigram similarity over 0.3 to the first name."""
-    names = t(s, d, "part").select("p_name").distinct()
-    q = names.agg(F.min("p_name").alias("q"))
-    sim = T.similarity(F.col("p_name"), F.col("q"))
-    return names.crossJoin(F.broadcast(q)).withColumn("s", sim).filter("s > 0.3").select("p_name", F.round("s", 4).alias("sim"))  # one query row
-
-
 @query("""SELECT o_orderkey, o_totalprice FROM orders WHERE (o_totalprice, o_orderkey) < (250000.0, 0) ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 50""")
 def keyset_page(s, d):
     return R.keyset_page(t(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", (250000.0, 0), 50)
@@ -177,8 +156,8 @@ def events_daily(s, d):
 
 @query("""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS top FROM events GROUP BY 1""")
 def latency_percentiles(s, d):
-    t(s, d, "events").createOrReplaceTempView("quarry_events")
-    return s.sql("SELECT event_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, max(value) AS top FROM quarry_events GROUP BY event_type")
+    """Nearest rank: values are counted first, so that no task holds all values of a key."""
+    return percentiles(t(s, d, "events").select("event_type", "value"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}).select("event_type", "p50", "p95", F.col("max").alias("top"))
 
 
 @query("""SELECT user_id, event_type, max(event_id) AS last_event, arg_max(value, event_id) AS last_value FROM events GROUP BY 1, 2""")

@@ -181,16 +181,6 @@ def master_denorm(s, d):
     return g.select("master", "artist", F.col("x.label").alias("primary_label"), "styles", "weight")
 
 
-@query("""SELECT role, text, CASE WHEN regexp_matches(lower(text), '\\bedit') THEN 'Edit' WHEN regexp_matches(lower(text), '\\bdub\\b') THEN 'Dub' WHEN regexp_matches(lower(text), 'remix') THEN 'Remix' WHEN regexp_matches(lower(text), 'additional production') THEN 'Additional Production'
-WHEN regexp_matches(lower(text), 'produc') THEN 'Producer' WHEN regexp_matches(lower(text), 'master') THEN 'Mastered By' WHEN regexp_matches(lower(text), '\\bmix') THEN 'Mixed By' WHEN regexp_matches(lower(text), 'engineer') THEN 'Engineer'
-WHEN regexp_matches(lower(text), 'writ|compos|lyric') THEN 'Written By' WHEN regexp_matches(lower(text), 'vocal|voice|sing') THEN 'Vocals' ELSE 'Other' END AS bucket
-FROM (SELECT p_partkey AS role, CASE p_type WHEN 'PROMO' THEN 'Remix, Producer' WHEN 'SMALL' THEN 'Mixed By' WHEN 'LARGE' THEN 'Written-By' WHEN 'ECONOMY' THEN 'Lead Vocals' WHEN 'MEDIUM' THEN 'Re-Edit' ELSE p_name END AS text FROM part)""".replace("\\\\", "\\"))
-def role_normalise(s, d):
-    names = F.create_map(*[F.lit(x) for x in ("PROMO", "Remix, Producer", "SMALL", "Mixed By", "LARGE", "Written-By", "ECONOMY", "Lead Vocals", "MEDIUM", "Re-Edit")])
-    p = t(s, d, "part").select(F.col("p_partkey").alias("role"), F.coalesce(F.try_element_at(names, F.col("p_type")), "p_name").alias("text"))
-    return p.withColumn("bucket", C.role_bucket(F.col("text")))
-
-
 @query("""SELECT user_id, event_id, ts, event_type, count(*) OVER (PARTITION BY user_id) AS total FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20""")
 def timeline(s, d):
     """The twenty latest events of each user and the user's total, counted apart so that the window may prune."""
@@ -207,19 +197,6 @@ def crosswalk_first_wins(s, d):
     return first.groupBy("label").agg(F.min("artist").alias("artist")).select("artist", "label")
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name FROM part), q AS (SELECT p_partkey, lower(p_name) AS q, 'part' AS kind, 200 AS base FROM part UNION ALL SELECT c_custkey, lower(c_name), 'customer', 150 FROM customer UNION ALL SELECT s_suppkey, lower(s_name), 'supplier', 60 FROM supplier)
-SELECT kind, p_partkey AS id, base + CASE WHEN q = 'red widget' THEN 1200 WHEN starts_with(q, 'red') THEN 220 ELSE 80 END AS score FROM q WHERE contains(q, 'red') ORDER BY score DESC, kind, id LIMIT 200""")
-def fanout_rank(s, d):
-    """One ranking over three types: weight of the type and bonus of an exact, prefix or inner hit; the best 200."""
-    parts = [("part", "p_partkey", "p_name", 200), ("customer", "c_custkey", "c_name", 150), ("supplier", "s_suppkey", "s_name", 60)]
-    q = None
-    for name, key, label, base in parts:
-        one = t(s, d, name).select(F.lit(name).alias("kind"), F.col(key).alias("id"), F.lower(label).alias("q"), F.lit(base).alias("base"))
-        q = one if q is None else q.unionAll(one)
-    bonus = F.when(F.col("q") == "red widget", 1200).when(F.col("q").startswith("red"), 220).otherwise(80)
-    return q.filter(F.contains("q", F.lit("red"))).select("kind", "id", (F.col("base") + bonus).alias("score")).orderBy(F.desc("score"), "kind", "id").limit(200)
-
-
 @query("""SELECT kind, least(n, 100) AS n, n > 100 AS capped FROM (SELECT 'part' AS kind, count(*) AS n FROM part WHERE contains(p_name, 'red') UNION ALL SELECT 'customer', count(*) FROM customer WHERE contains(c_name, '1') UNION ALL SELECT 'supplier', count(*) FROM supplier WHERE contains(s_name, '1'))""")
 def type_counts_capped(s, d):
     """Hits of each type, shown up to 100: the cap is the feature, and lets a scan end early."""
@@ -231,13 +208,6 @@ def type_counts_capped(s, d):
     return out
 
 
-@query("""SELECT c_custkey AS id, 'customer' AS kind FROM customer WHERE lower(trim(c_name)) = 'customer#000000001' UNION ALL SELECT s_suppkey, 'supplier' FROM supplier WHERE lower(trim(s_name)) = 'customer#000000001' LIMIT 1""")
-def top_match(s, d):
-    """The exact name, labels before artists, lowest id."""
-    hit = lambda n, k, c, p: t(s, d, n).filter(F.lower(F.trim(c)) == "customer#000000001").select(F.col(k).alias("id"), F.lit(n).alias("kind"), F.lit(p).alias("p"))
-    return hit("supplier", "s_suppkey", "s_name", 0).unionAll(hit("customer", "c_custkey", "c_name", 1)).orderBy("p", "id").limit(1).drop("p")
-
-
 @query("""SELECT DISTINCT p_name FROM part WHERE starts_with(p_name, 'b') OR contains(p_name, ' b')""")
 def typeahead_prefix(s, d):
     return t(s, d, "part").select("p_name").filter(T.prefix_match(F.split("p_name", " "), ["b"])).distinct()

@@ -61,27 +61,6 @@ def artist_masters_classified(s, d):
     return t(s, d, "orders").join(n, "o_orderkey").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("year"), kind.alias("kind"))
 
 
-@query("""SELECT a, b, count(*) AS shared FROM (SELECT DISTINCT x.l_orderkey, x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y
-ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey) GROUP BY 1, 2 HAVING count(*) >= 2""")
-def collaborators(s, d):
-    """Pairs credited together on two masters or more; a master's credits are a short, bounded list."""
-    c = t(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct().groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_partkey")).alias("p"))
-    pairs = F.flatten(F.transform("p", lambda x: F.transform(F.filter("p", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return c.select(F.explode(pairs).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("shared")).filter("shared >= 2")
-
-
-@query("""WITH m AS (SELECT DISTINCT o_custkey AS artist, l_suppkey AS label FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-n AS (SELECT label, ln((SELECT count(DISTINCT artist) FROM m) / count(*)) AS idf FROM m GROUP BY 1)
-SELECT b.artist AS artist, count(*) AS labels, round(sum(idf), 4) AS score FROM m a JOIN m b ON a.label = b.label AND a.artist = 1 AND b.artist <> 1 JOIN n ON n.label = a.label GROUP BY 1""")
-def labelmates_idf(s, d):
-    """Artists that share labels with artist 1, rare labels counting more."""
-    m = t(s, d, "orders").select(F.col("o_custkey").alias("artist"), F.col("o_orderkey").alias("l_orderkey")).join(t(s, d, "lineitem"), "l_orderkey").select("artist", F.col("l_suppkey").alias("label")).distinct()
-    total = m.agg(F.count_distinct("artist").alias("total"))
-    idf = m.groupBy("label").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("label", F.log(F.col("total") / F.col("n")).alias("idf"))  # one row
-    own = m.filter("artist = 1").select("label").join(idf, "label")
-    return m.filter("artist <> 1").join(own, "label").groupBy("artist").agg(F.count("*").alias("labels"), F.round(F.sum("idf"), 4).alias("score"))
-
-
 @query("""SELECT r_name, n_name, s_suppkey, s_name, s_acctbal FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey
 QUALIFY row_number() OVER (PARTITION BY r_name ORDER BY s_acctbal DESC, s_suppkey) <= 5""")
 def scene_wall(s, d):
@@ -135,12 +114,6 @@ def canonical_release(s, d):
     return t(s, d, "lineitem").groupBy("l_orderkey").agg(first).select("l_orderkey", F.col("x.l_suppkey").alias("label"), F.col("x.l_linenumber").alias("line"), F.to_date("x.l_shipdate").alias("day"))
 
 
-@query("""SELECT l_partkey, l_returnflag, l_linestatus, count(*) AS n, string_agg(DISTINCT o_custkey::VARCHAR, ',' ORDER BY o_custkey::VARCHAR) AS artists FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3""")
-def rule_a_credits(s, d):
-    j = t(s, d, "lineitem").join(t(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    return j.groupBy("l_partkey", "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set(F.col("o_custkey").cast("string"))), ",").alias("artists"))
-
-
 @query("""SELECT o_orderkey, 'customer' AS kind, o_custkey AS id FROM orders UNION ALL SELECT o_custkey, 'order', o_orderkey FROM orders""")
 def relationship_edges_bidir(s, d):
     o = t(s, d, "orders").select("o_orderkey", "o_custkey")

@@ -61,16 +61,6 @@ def master_credits_dedup(s, d):
     return t(s, d, "lineitem").groupBy("l_orderkey", "l_suppkey", "l_returnflag").agg(F.min("l_linenumber").alias("line"))
 
 
-@query("""WITH own AS (SELECT c_nationkey AS g FROM customer WHERE c_custkey = 1)
-SELECT c_custkey, c_name, count(*) AS masters FROM customer JOIN own ON c_nationkey = g JOIN orders ON o_custkey = c_custkey WHERE c_custkey <> 1 GROUP BY 1, 2""")
-def group_bandmates(s, d):
-    """Members of artist 1's group that have a master."""
-    c = t(s, d, "customer").select("c_custkey", "c_name", "c_nationkey")
-    own = c.filter("c_custkey = 1").select("c_nationkey")
-    n = t(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("masters"))
-    return c.filter("c_custkey <> 1").join(own, "c_nationkey", "left_semi").join(n, "c_custkey").select("c_custkey", "c_name", "masters")
-
-
 @query(f"""WITH {_CREDITS}, g AS (SELECT label, part, role, count(*) AS n FROM c GROUP BY 1, 2, 3),
 r AS (SELECT label, part, sum(n)::BIGINT AS n_credits, string_agg(role, ',' ORDER BY n DESC, role) AS roles FROM g GROUP BY 1, 2)
 SELECT label, part, n_credits, roles FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY n_credits DESC, part) <= 5""")
@@ -116,18 +106,6 @@ def scene_playlist(s, d):
     return R.top_n(p, ["scene"], [F.desc("weight"), F.asc("label"), F.asc("master")], 50, "place").select("scene", "label", "master", "place")
 
 
-@query(f"""WITH {_CREDITS}, own AS (SELECT label, count(DISTINCT master) AS n FROM c WHERE artist = 1 GROUP BY 1 HAVING count(DISTINCT master) >= 2),
-per AS (SELECT label, artist, count(DISTINCT master) AS k FROM c WHERE artist <> 1 AND label IN (SELECT label FROM own) GROUP BY 1, 2), size AS (SELECT label, count(DISTINCT master) AS total FROM c GROUP BY 1)
-SELECT artist, count(*) AS labels, sum(least(k, n))::BIGINT AS together, round(sum(least(k, n) / sqrt(total)), 4) AS score FROM per JOIN own USING (label) JOIN size USING (label) GROUP BY 1""")
-def artist_labelmates(s, d):
-    """Artists on the labels where artist 1 has two masters or more; big labels count less."""
-    m = _credits(s, d).select("label", "artist", "master").distinct().groupBy("label", "artist").agg(F.count("*").alias("k"))
-    total = m.groupBy("label").agg(F.sum("k").alias("total"))  # a master has one artist
-    own = m.filter("artist = 1 AND k >= 2").select("label", F.col("k").alias("n")).join(total, "label")
-    both = m.filter("artist <> 1").join(own, "label").withColumn("less", F.least("k", "n"))
-    return both.groupBy("artist").agg(F.count("*").alias("labels"), F.sum("less").alias("together"), F.round(F.sum(F.col("less") / F.sqrt("total")), 4).alias("score"))
-
-
 @query("""SELECT DISTINCT l_orderkey AS release FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type IN ('PROMO', 'SMALL') AND year(l_shipdate) BETWEEN 1995 AND 2000""")
 def scope_seed(s, d):
     """Releases of the listed styles within the window of years."""

@@ -157,11 +157,6 @@ def name_norm(s, d):
     return t(s, d, "part").select("p_partkey", T.name_key(F.col("p_name")).alias("name_key"))
 
 
-@query("""SELECT p_name, p_brand, min(p_partkey) AS keep, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) > 1""")
-def merge_candidates(s, d):
-    return t(s, d, "part").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("keep"), F.count("*").alias("n")).filter("n > 1")
-
-
 @query("""SELECT n_name, count(*) AS artists, round(avg(c_acctbal), 4) AS mean, count(*) FILTER (WHERE c_acctbal < 0) AS negative FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def seo_cohorts(s, d):
     g = t(s, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("artists"), F.round(F.avg("c_acctbal"), 4).alias("mean"), F.count_if(F.col("c_acctbal") < 0).alias("negative"))

@@ -197,31 +197,6 @@ def quality_distribution(s, d):
     return R.share_of_total(j, ["lang", "quality"], "n", ["lang"], "share")
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name FROM part), src AS (SELECT DISTINCT CASE WHEN p_size <= 20 THEN p_name WHEN p_size <= 35 THEN 'The ' || upper(p_name) ELSE upper(p_name) || '!' END AS raw FROM part),
-k AS (SELECT raw, trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) AS norm FROM src)
-SELECT raw, p_name AS target, CASE WHEN raw = p_name THEN 'exact' WHEN norm = p_name THEN 'norm' ELSE 'norm_stripped' END AS stage FROM k JOIN n ON p_name = raw OR p_name = norm OR p_name = regexp_replace(norm, '^the ', '')""")
-def producer_match_cascade(s, d):
-    """Raw names to known ones: as written, then by key, then without a leading title; the first stage that hits wins.
-
-    One equi-join on the exploded keys of all stages instead of one join a stage.
-    """
-    p = t(s, d, "part").select("p_name", "p_size")
-    raw = F.when(F.col("p_size") <= 20, F.col("p_name")).when(F.col("p_size") <= 35, F.concat(F.lit("The "), F.upper("p_name"))).otherwise(F.concat(F.upper("p_name"), F.lit("!")))
-    src = p.select(raw.alias("raw")).distinct()
-    norm = T.name_key(F.col("raw"))
-    keys = F.array(F.struct(F.lit(0).alias("place"), F.lit("exact").alias("stage"), F.col("raw").alias("p_name")), F.struct(F.lit(1).alias("place"), F.lit("norm").alias("stage"), norm.alias("p_name")), F.struct(F.lit(2).alias("place"), F.lit("norm_stripped").alias("stage"), F.regexp_replace(norm, "^the ", "").alias("p_name")))
-    hit = src.select("raw", F.explode(keys).alias("x")).select("raw", "x.*").join(p.select("p_name").distinct(), "p_name")
-    best = hit.groupBy("raw").agg(F.min(F.struct("place", "stage", "p_name")).alias("x"))
-    return best.select("raw", F.col("x.p_name").alias("target"), F.col("x.stage").alias("stage"))
-
-
-@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[ \\t\\n\\r]+')) AS word FROM documents) SELECT word, count(*) AS docs FROM w WHERE word <> '' GROUP BY 1 HAVING count(*) >= 2""".replace("\\\\", "\\"))
-def phrase_uses(s, d):
-    """Documents that use each word, at least two: distinct within a document before the shuffle."""
-    words = F.array_distinct(F.split(F.lower("text"), "[ \t\n\r]+"))
-    return t(s, d, "documents").select(F.explode(words).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("docs")).filter("docs >= 2")
-
-
 @query("""SELECT doc_id, length(text) AS chars, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters, length(text) > 0 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) < 0.5 * length(text) AS garbled, len(string_split(text, chr(10))) AS lines FROM documents""")
 def doc_sections(s, d):
     """Lengths, lines, and whether less than half of a text is letters."""

@@ -27,6 +27,22 @@ def scope_releases(scope: DataFrame, releases: DataFrame, seeds: DataFrame, firs
     return inside.union(seeds.select("release")).distinct()
 
 
+def scene_weight(masters: DataFrame, releases: DataFrame) -> DataFrame:
+    """masters(master, data_quality, year, artist, video), releases in scope(master, country, video, tier1) -> master, scene_weight.
+
+    Quality bucket (5, 2, -5, 0), releases up to 5, countries up to 3, 3 for a video of the master and 3 for one of a release,
+    10 for a first-tier label, 2 for a named artist, 1 for a known year.
+    """
+    per = releases.groupBy("master", "country").agg(F.count("*").alias("n"), F.max(F.coalesce("video", F.lit(False))).alias("v"), F.max(F.coalesce("tier1", F.lit(False))).alias("t"))
+    g = per.groupBy("master").agg(F.sum("n").alias("n"), F.count("country").alias("countries"), F.max("v").alias("v"), F.max("t").alias("t"))
+    q = F.col("data_quality")
+    bucket = F.when(q.isin("Correct", "Complete and Correct"), 5).when(q.isin("Needs Vote", "Needs Minor Changes"), 2).when(q.isin("Needs Major Changes", "Entirely Incorrect"), -5).otherwise(0)
+    if_ = lambda c, k: F.when(F.coalesce(c, F.lit(False)), k).otherwise(0)
+    points = bucket + F.least(F.coalesce("n", F.lit(0)), F.lit(5)) + F.least(F.coalesce("countries", F.lit(0)), F.lit(3)) + if_(F.col("video"), 3) + if_(F.col("v"), 3) + if_(F.col("t"), 10)
+    points = points + if_(F.coalesce("artist", F.lit("")) != "", 2) + if_(F.col("year").isNotNull(), 1)
+    return masters.join(g, "master", "left").select("master", points.cast("long").alias("scene_weight"))
+
+
 def prune(weights: DataFrame, scope_rel: DataFrame, releases: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Masters of at least the weight, and the releases that still have one of them or have no master."""
     kept = weights.filter(F.col("scene_weight") >= least).select("master")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import classify as C, text as T
 from .lineage import cut
@@ -284,6 +284,50 @@ def document_titles(docs: DataFrame, names: DataFrame) -> DataFrame:
     return hit.select("doc", F.col("x.id").alias("id"), F.col("x.place").alias("place"))
 
 
+#: The head of a rule book at the start of a line, with its names in guillemets; books are never shorter than this (fixed values).
+HEADER = (
+    r"(?im)^[ \t\f]*(?:\d+[ \t]+)?cahier\s+des\s+charges\s+(?:modifi[ée]\s+)?(?:de\s+l[’']\s*|des\s+|du\s+)?"
+    r"(?:aop|aoc|igp|appellations?\s*d[’']\s*origine(?:\s+(?:contr[ôo]l[ée]e?s?|prot[ée]g[ée]e?s?))*|indications?\s+g[ée]ographiques?\s+prot[ée]g[ée]e?s?)\s*"
+    r"((?:«[^»]{2,90}»(?:\s*(?:ou|,|et)\s*)?)+)"
+)
+LEAST_SECTION = 3000
+
+
+def split_sections(docs: DataFrame, key: str) -> DataFrame:
+    """docs(key, text) -> key, start, slug, names, section: one row a rule book of a bundle, each text from its head to the next.
+
+    A head that repeats the one before belongs to the same book; books under LEAST_SECTION characters are contents or running heads.
+    """
+    gaps, heads = F.split("text", HEADER, -1), F.regexp_extract_all("text", F.lit(HEADER), F.lit(0))
+    rows = docs.select(key, gaps.alias("g"), heads.alias("h")).filter(F.size("h") > 0)
+    rows = rows.select(key, F.posexplode(F.zip_with("h", F.slice("g", 2, F.size("h")), lambda h, g: F.struct(h.alias("head"), g.alias("body")))).alias("start", "x"))
+    names = F.transform(F.regexp_extract_all("x.head", F.lit(r"«\s*([^»]+?)\s*»"), F.lit(1)), lambda n: F.regexp_replace(n, r"\s+", " "))
+    rows = rows.select(key, "start", names.alias("names"), F.concat("x.head", "x.body").alias("section")).withColumn("slug", F.array_join(F.transform("names", T.slug), "|"))
+    w = Window.partitionBy(key).orderBy("start")
+    fresh = F.when(F.lag("slug").over(w).eqNullSafe(F.col("slug")), 0).otherwise(1)
+    rows = rows.withColumn("fresh", fresh).withColumn("book", F.sum("fresh").over(w))
+    parts = F.sort_array(F.collect_list(F.struct("start", "section")))
+    out = rows.groupBy(key, "book").agg(F.min("start").alias("start"), F.first("slug").alias("slug"), F.first("names").alias("names"), parts.alias("p"))
+    out = out.select(key, "start", "slug", "names", F.array_join(F.transform("p", lambda x: x["section"]), "").alias("section"))
+    return out.filter(F.length("section") >= LEAST_SECTION)
+
+
+def garbled(text: Column) -> Column:
+    """Fewer than 200 characters, or fewer than 60 % letters among the first 20,000 characters without blanks."""
+    sample = F.regexp_replace(F.substring(text, 1, 20_000), r"\s+", "")
+    letters = F.length(F.regexp_replace(sample, "[^a-zA-ZÀ-ÿ]", ""))
+    return (F.length(sample) < 200) | (letters < 0.6 * F.length(sample))
+
+
+def contained(labels: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """labels(key, label), known(id, name): the least id of the names of `least` characters or more that a label holds whole."""
+    w = T.words(T.name_key(F.col("label")))
+    none = F.array().cast("array<string>")
+    grams = F.array_distinct(F.flatten(F.array(*[F.when(F.size(w) >= n, _grams(w, n)).otherwise(none) for n in range(1, 7)])))
+    names = known.select("id", T.name_key(F.col("name")).alias("form")).filter(F.length("form") >= least)
+    return labels.select("key", F.explode(grams).alias("form")).join(names, "form").groupBy("key").agg(F.min("id").alias("id"))
+
+
 def assign_numbers(items: DataFrame, primes: DataFrame, synonyms: DataFrame) -> DataFrame:
     """items(id, colour, labels array) that lack a number: one prime name, else one synonym, else one synonym of the item's colour.
 

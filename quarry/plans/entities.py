@@ -157,12 +157,12 @@ def scene_wall_era(s, d):
     return out.select("scene", "label", "master", "year", F.col("place").cast("long").alias("place"), "first_year", "last_year")
 
 
-@query("""WITH e AS (SELECT event_id AS id, user_id AS a, (user_id * 7) % 10 AS b, event_type AS kind, round(value / 40, 2) AS confidence FROM events WHERE value / 40 >= 0.3 AND event_type IN ('click', 'view')),
+@query("""WITH e AS (SELECT event_id AS id, user_id AS a, (user_id * 7) % 10 AS b, event_type AS kind, value / 40 AS confidence FROM events WHERE value / 40 >= 0.3 AND event_type IN ('click', 'view')),
 x AS (SELECT 'artist' AS ek, a AS ei, 'label' AS ok, b AS oi, 'out' AS direction, * FROM e UNION ALL SELECT 'label', b, 'artist', a, 'in', * FROM e)
-SELECT ek AS entity_kind, ei AS entity_id, ok AS other_kind, oi AS other_id, direction, id, kind, confidence FROM x QUALIFY row_number() OVER (PARTITION BY ek, ei, ok, oi, kind ORDER BY confidence DESC, id, direction DESC) = 1""".replace("value / 40 >= 0.3", "round(value / 40, 2) >= 0.3"))
+SELECT ek AS entity_kind, ei AS entity_id, ok AS other_kind, oi AS other_id, direction, id, kind, confidence FROM x QUALIFY row_number() OVER (PARTITION BY ek, ei, ok, oi, kind ORDER BY confidence DESC, id, direction DESC) = 1""")
 def relationships(s, d):
     """Edges from both ends, over a confidence and of two sources, the surest of each pair, kind and source."""
-    e = t(s, d, "events").select(F.col("event_id").alias("id"), F.lit("artist").alias("from_kind"), F.col("user_id").alias("from_id"), F.lit("label").alias("to_kind"), (F.col("user_id") * 7 % 10).alias("to_id"), F.col("event_type").alias("kind"), F.round(F.col("value") / 40, 2).alias("confidence"), F.col("event_type").alias("source_id"))
+    e = t(s, d, "events").select(F.col("event_id").alias("id"), F.lit("artist").alias("from_kind"), F.col("user_id").alias("from_id"), F.lit("label").alias("to_kind"), (F.col("user_id") * 7 % 10).alias("to_id"), F.col("event_type").alias("kind"), (F.col("value") / 40).alias("confidence"), F.col("event_type").alias("source_id"))
     return E.relationships(e, 0.3, ["click", "view"]).drop("source_id")
 
 

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quarry.plans import build, catalog, entities, ops, resolve, rules, scope, search  # noqa: F401
+from quarry.plans import build, catalog, entities, more, ops, resolve, rules, scope, search  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -3,8 +3,8 @@
 The standard library's parser streams events; each block element starts a line with its text and its number of tags. A line's
 ratio of characters to tags is smoothed with a Gaussian over its neighbours; lines whose smoothed ratio reaches a share of
 the page's standard deviation (or mean, if less) form the content cluster. What the mark-up says about a line weighs its threshold: an
-eighth inside an article or main region that holds at least half of the text, eight times outside it, 64 times where a whole
-class or id name is that of an advert, a menu, comments and the like. Smaller regions (teasers, cards) weigh nothing.
+eighth inside an article or main region that holds at least half of the text, eight times outside it; and 64 times the
+mean's share where a whole class or id name is that of an advert, a menu, comments and the like. Smaller regions (teasers, cards) weigh nothing.
 Elements that never hold an article (navigation, footer, aside, form, script, style, a header outside a region, ...) are left
 out before.
 
@@ -109,10 +109,11 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.25, weight:
         return ""
     size, tags, named, inside = (np.array(x) for x in list(zip(*((len(t), n, c, i) for t, n, c, i in p.lines), strict=True)))
     ratio = smoothed(size / np.maximum(1, tags), sigma)
-    need = np.full(len(size), share * min(ratio.std(), ratio.mean()))  # one giant line makes a deviation that no other reaches
+    mean = ratio.mean()
+    # one giant line makes a deviation that no other reaches; on short pages, smoothing leaves next to none
+    need = share * np.where(named, weight**2 * mean, min(ratio.std(), mean))
     if 2 * size[inside & ~named].sum() >= size[~named].sum() > 0:
         need *= np.where(inside, 1 / weight, weight)
-    need[named] *= weight**2
     return " ".join(x[0] for x, ok in zip(p.lines, ratio >= need, strict=True) if ok)
 
 

@@ -89,7 +89,7 @@ def kernels(model: dict, sets: list[np.ndarray]) -> np.ndarray:
 
 def training_sample(docs: DataFrame, train: Column, per_lang: int, max_chars: int, max_rows: int = 20_000) -> list[tuple[str, str]]:
     """Some per_lang texts of each language (fewer where that makes over max_rows), by a hash of the id; of long texts the beginning."""
-    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
     draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     counts = table(counts, "langid-counts")

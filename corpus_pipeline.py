@@ -1,6 +1,10 @@
 """The corpus pipeline: language ID, exact dedup, near duplicates, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet and rereads it for the next.
+
+Defined results: an empty table of documents gives no row in any stage; an empty benchmark takes nothing away; documents with
+null or letterless texts go in the first stage; of rows that repeat an id and text, all stay or all go together; columns
+besides those of documents are dropped in the first stage.
 """
 
 from __future__ import annotations

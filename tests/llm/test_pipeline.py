@@ -96,3 +96,11 @@ def test_language_without_model(spark, tmp_path):
     """Documents with letters stay when no row has a language."""
     docs = spark.createDataFrame([(1, "some words", None, "x", 1), (2, "1 2", None, "x", 1), (3, None, None, "x", 1)], SCHEMA)
     assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()] == [1]
+
+
+def test_empty_tables(spark, tmp_path):
+    """No documents and no benchmark; a column with the name of a stage's own."""
+    docs = spark.createDataFrame([], SCHEMA + ", lang_pred string, keep_id long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import classify as C, links as L, text as T
-from ..operators import build as B, relational as R, resolve as V, search as S
+from ..operators import build as B, geo as G, relational as R, resolve as V, search as S
 from ..sources.io import read_table as t
 from .build import _RELEASES, _releases
 from .catalog import query
@@ -195,3 +195,46 @@ def document_links(s, d):
     """Links in each text, and whether its slug is empty (letters beyond ASCII that have a plain form count)."""
     docs = t(s, d, "documents").filter("text IS NOT NULL")
     return docs.select("doc_id", (T.slug(F.col("text")) == "").alias("empty"), F.size(F.regexp_extract_all("text", F.lit(r"https?://[^\s]+"), F.lit(0))).cast("long").alias("links"))
+
+
+_LAEA = """k AS (SELECT 6378137.0::DOUBLE AS a, 1 / 298.257223563::DOUBLE AS f), e AS (SELECT a, f * (2 - f) AS e2, sqrt(f * (2 - f)) AS e FROM k),
+c AS (SELECT *, (1 - e2) * (1 / (1 - e2) - ln((1 - e) / (1 + e)) / (2 * e)) AS qp, sin(radians(52)) AS s0 FROM e),
+z AS (SELECT *, asin((1 - e2) * (s0 / (1 - e2 * s0 * s0) - ln((1 - e * s0) / (1 + e * s0)) / (2 * e)) / qp) AS b0, a * sqrt(qp / 2) AS rq FROM c),
+w AS (SELECT *, a * cos(radians(52)) / (sqrt(1 - e2 * s0 * s0) * rq * cos(b0)) AS d FROM z),
+p AS (SELECT c_custkey, c_nationkey, radians(c_custkey % 40 - 10 - 10) AS dl, sin(radians(36 + c_nationkey + (c_custkey % 7) / 10.0)) AS s FROM customer),
+q AS (SELECT p.*, w.*, asin((1 - e2) * (s / (1 - e2 * s * s) - ln((1 - e * s) / (1 + e * s)) / (2 * e)) / qp) AS beta FROM p, w),
+r AS (SELECT *, rq * sqrt(2 / (1 + sin(b0) * sin(beta) + cos(b0) * cos(beta) * cos(dl))) AS b FROM q),
+xy AS (SELECT c_custkey, c_nationkey, b * d * cos(beta) * sin(dl) AS x, b / d * (cos(b0) * sin(beta) - sin(b0) * cos(beta) * cos(dl)) AS y FROM r)"""
+
+
+def _projected(s, d):
+    lon, lat = F.col("c_custkey") % 40 - 10, F.lit(36) + F.col("c_nationkey") + (F.col("c_custkey") % 7) / 10
+    return t(s, d, "customer").select("c_custkey", "c_nationkey", G.project(lon, lat, 10.0, 52.0).alias("p")).select("c_custkey", "c_nationkey", "p.x", "p.y")
+
+
+@query(f"WITH {_LAEA} SELECT c_custkey, round(x, 2) AS x, round(y, 2) AS y FROM xy")
+def map_points(s, d):
+    """Places on the map: equal-area projection on the ellipsoid."""
+    return _projected(s, d).select("c_custkey", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+
+
+@query(f"""WITH {_LAEA}, bx AS (SELECT c_nationkey, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM xy GROUP BY 1)
+SELECT a.c_nationkey AS c_nationkey_a, b.c_nationkey AS c_nationkey_b FROM bx a JOIN bx b ON a.c_nationkey < b.c_nationkey AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1""")
+def map_overlaps(s, d):
+    """Nations whose bounds overlap, by the grid cells that they cover."""
+    return G.overlapping(G.bounds(_projected(s, d), "c_nationkey"), "c_nationkey", 100_000.0)
+
+
+@query("""WITH p AS (SELECT s_suppkey AS shelf, s_name AS name FROM supplier), m AS (SELECT DISTINCT l_suppkey AS shelf, l_partkey AS member FROM lineitem),
+n AS (SELECT shelf, count(*) AS members FROM m GROUP BY 1), r AS (SELECT m.shelf, p_name, row_number() OVER (PARTITION BY m.shelf ORDER BY p_size DESC, p_partkey) AS rn FROM m JOIN part ON member = p_partkey)
+SELECT p.shelf, name, coalesce(members, 0) AS members, coalesce((SELECT string_agg(p_name, ',' ORDER BY rn) FROM r WHERE r.shelf = p.shelf AND rn <= 12), '') AS shown FROM p LEFT JOIN n ON n.shelf = p.shelf""")
+def shelves(s, d):
+    """Every shelf with the number of its members and its first twelve by weight."""
+    m = t(s, d, "lineitem").select(F.col("l_suppkey").alias("shelf"), F.col("l_partkey").alias("p_partkey")).distinct()
+    n = m.groupBy("shelf").agg(F.count("*").alias("members"))
+    rows = R.top_n(m.join(t(s, d, "part").select("p_partkey", "p_name", "p_size"), "p_partkey"), ["shelf"], [F.desc("p_size"), F.asc("p_partkey")], 12, "rn")
+    shown = rows.groupBy("shelf").agg(F.sort_array(F.collect_list(F.struct("rn", "p_name"))).alias("l"))
+    core = t(s, d, "supplier").select(F.col("s_suppkey").alias("shelf"), F.col("s_name").alias("name"))
+    out = core.join(n, "shelf", "left").join(shown, "shelf", "left")
+    names = F.coalesce(F.array_join(F.transform("l", lambda x: x["p_name"]), ","), F.lit(""))
+    return out.select("shelf", "name", F.coalesce("members", F.lit(0)).alias("members"), names.alias("shown"))

@@ -59,18 +59,25 @@ def _least_overlap(a, b, pct: int):
     return (pct * (a + b) + 99 + pct) // (100 + pct)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """How many shingles fall into each range of the hash order, up to 255."""
+def sketch(s: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each range of the hash order, up to 127."""
     counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return np.minimum(counts, 127).astype(np.int8)
 
 
-def may_link(na: np.ndarray, nb: np.ndarray, a: list[bytes], b: list[bytes], pct: int) -> np.ndarray:
+def may_link(na: np.ndarray, nb: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], pct: int) -> np.ndarray:
     """Suffix filter: the sets' parts differ at least by the differences of their sizes, which must leave the overlap."""
-    x, y = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, RANGES).astype(np.int16) for z in (a, b))
+    x, y = (np.stack(z).astype(np.int16) for z in (a, b))
     return np.abs(x - y).sum(1) <= na + nb - 2 * _least_overlap(na, nb, pct)
 
 
+def _may_link_columns(a: str, b: str, pct: int) -> Column:
+    """may_link for two prefixes of columns n and sketch, for use inside a join."""
+    gap = F.aggregate(F.zip_with(f"{a}sketch", f"{b}sketch", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda t, d: t + d)
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    return gap <= na + nb - 2 * F.floor((pct * (na + nb) + 99 + pct) / (100 + pct))
+
+
 def linked(a: np.ndarray, b: np.ndarray, pct: int) -> bool:
     need = _least_overlap(len(a), len(b), pct)
     if min(len(a), len(b)) < need:
@@ -274,9 +281,9 @@ def _join(docs: DataFrame, k: int, pct: int, id_col: str, text_col: str, all_lin
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "cls": cls, "sketch": form, "segment": -1, "counts": b""})
         if counts.any():
             vectors = [x.tobytes() for x in np.split(counts, SEGMENTS)]
-            yield pd.DataFrame({"doc_id": 0, "n": 0, "cls": 0, "sketch": b"", "segment": range(SEGMENTS), "counts": vectors})
+            yield pd.DataFrame({"doc_id": 0, "n": 0, "cls": 0, "sketch": [np.zeros(0, np.int8)] * SEGMENTS, "segment": range(SEGMENTS), "counts": vectors})
 
-    facts = table(docs.mapInPandas(summarise, "doc_id long, n long, cls long, sketch binary, segment int, counts binary"), "ngram-facts")
+    facts = table(docs.mapInPandas(summarise, "doc_id long, n long, cls long, sketch array<tinyint>, segment int, counts binary"), "ngram-facts")
     freq = _frequencies(facts)
     facts = facts.filter("segment < 0")
     reps = facts.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -287,7 +294,7 @@ def _join(docs: DataFrame, k: int, pct: int, id_col: str, text_col: str, all_lin
     star = table(_star(shared, pct), "ngram-star")
     found = _verified(star, docs, reps, k, pct)
     labels = components(found.toDF("a", "b"))
-    rest = _left_over(shared, labels, pct)
+    rest = _left_over(shared, labels, reps, pct)
     if not rest.isEmpty():
         rest = table(rest.join(star, ["home", "member"], "left_anti").join(star.toDF("member", "home"), ["home", "member"], "left_anti"), "ngram-rest")
         found = found.union(_verified(rest, docs, reps, k, pct))
@@ -308,15 +315,19 @@ def _all_pairs(shared: DataFrame, pct: int, apart: Column | None = None) -> Data
     return table(pairs.select(F.col("x_cls").alias("home"), F.col("y_cls").alias("member")).distinct(), "ngram-pairs")
 
 
-def _left_over(shared: DataFrame, labels: DataFrame, pct: int) -> DataFrame:
-    """Candidates whose classes the links found so far leave in different components; a class without links is its own."""
+def _left_over(shared: DataFrame, labels: DataFrame, reps: DataFrame, pct: int) -> DataFrame:
+    """Candidates whose classes the links found so far leave in different components; a class without links is its own.
+
+    Documents that share a passage but not more meet here; the suffix filter inside the join keeps their pairs from being made.
+    """
     labels = labels.withColumnRenamed("node", "cls")
     left = shared.select("token", "cls", "n", "pos").join(bounded(labels, labels.count()), "cls", "left")
     left = left.withColumn("component", F.coalesce("component", "cls"))
     ends = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_ = table(ends.filter("lo <> hi").select("token"), "ngram-open")
     left = left.join(bounded(open_, open_.count()), "token", "left_semi")
-    return _all_pairs(table(left, "ngram-left"), pct, F.col("x_component") != F.col("y_component"))
+    left = table(left.join(reps.select("cls", "sketch"), "cls"), "ngram-left")
+    return _all_pairs(left, pct, (F.col("x_component") != F.col("y_component")) & _may_link_columns("x_", "y_", pct))
 
 
 def _all_links(found: DataFrame, reps: DataFrame) -> DataFrame:

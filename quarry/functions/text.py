@@ -62,12 +62,29 @@ def _decomposed() -> tuple[str, str, dict[str, str]]:
 def decomposed(text: Column) -> Column:
     """NFKD without the marks U+0300 to U+036F, as far as plain ASCII comes out of it."""
     one, to, many = _decomposed()
-    t = F.coalesce(text, F.lit(""))
     # letters that become several are rare: only texts that hold one are taken apart
     table = F.from_json(F.lit(_as_json(many)), "map<string,string>")
-    apart = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    t = F.when(t.rlike("[" + "".join(many) + "]"), apart).otherwise(t)
-    return F.when(t.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(t, one, to), "[̀-ͯ]", "")).otherwise(t)
+    several = "[" + _ranges(many) + "]"
+
+    def plain(t: Column) -> Column:
+        apart = F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c.rlike(several), F.try_element_at(table, c)).otherwise(c)), "")
+        return F.regexp_replace(F.translate(F.when(t.rlike(several), apart).otherwise(t), one, to), "[̀-ͯ]", "")
+
+    # the lambda binds the text, so that it is made once, and plain ASCII is left alone
+    bound = F.transform(F.array(F.coalesce(text, F.lit(""))), lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), plain(t)).otherwise(t))
+    return F.get(bound, F.lit(0))
+
+
+def _ranges(letters: dict[str, str]) -> str:
+    """The letters as ranges of a character class."""
+    out, codes = [], sorted(map(ord, letters))
+    first = last = codes[0]
+    for c in [*codes[1:], -1]:
+        if c != last + 1:
+            out.append(chr(first) if first == last else f"{chr(first)}-{chr(last)}")
+            first = c
+        last = c
+    return "".join(out)
 
 
 def _as_json(table: dict[str, str]) -> str:
@@ -179,9 +196,9 @@ def strip_legal(name: Column) -> Column:
     return F.when((n > 0) & (F.size(kept) - lead < n) & (F.length(name_key(out)) >= 3) & (out != name), out)
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct trigrams of each word of the key, with two blanks before it and one after."""
-    padded = F.transform(words(name_key(text)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+def trigrams(text: Column, keyed: bool = False) -> Column:
+    """Distinct trigrams of each word of the key, with two blanks before it and one after; `keyed` if the text is a key already."""
+    padded = F.transform(words(text if keyed else name_key(text)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     grams = F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substr(p, i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 

@@ -49,7 +49,7 @@ def _staged(forms: Column, stage: int) -> Column:
 def _by_country(rows: DataFrame, known: DataFrame, least: float) -> DataFrame:
     """key, id, sim, weight: names of the same country by shared trigrams."""
     q = rows.select(F.struct("key", "country").alias("qid"), T.name_key(F.col("name")).alias("q"))
-    x = q.select("qid", T.trigrams(F.col("q")).alias("g")).select("qid", F.col("qid.country").alias("country"), F.size("g").alias("nq"), F.explode("g").alias("gram"))
+    x = q.select("qid", T.trigrams(F.col("q"), True).alias("g")).select("qid", F.col("qid.country").alias("country"), F.size("g").alias("nq"), F.explode("g").alias("gram"))
     y = known.select("id", "country", "weight", T.trigrams(F.col("name")).alias("g")).select("id", "country", "weight", F.size("g").alias("nn"), F.explode("g").alias("gram"))
     both = x.join(y, ["country", "gram"]).groupBy("qid", "id", "weight", "nq", "nn").agg(F.count("*").alias("k"))
     sim = F.col("k") / (F.col("nq") + F.col("nn") - F.col("k"))
@@ -61,10 +61,10 @@ def match_within(rows: DataFrame, known: DataFrame, least: float = 0.5) -> DataF
 
     Of contained names the live ones and then the tightest win, then the least id; the join is by producer, never over all names.
     """
-    a = rows.select("key", "producer", T.name_key(F.col("name")).alias("a"))
-    b = known.select("id", "producer", "live", T.name_key(F.col("name")).alias("b"))
-    sim = T.similarity(F.col("a"), F.col("b"))
-    pairs = a.join(b, "producer").withColumn("sim", sim)
+    # keys and trigrams are made once a row, below the join
+    a = rows.select("key", "producer", T.name_key(F.col("name")).alias("a")).withColumn("ga", T.trigrams(F.col("a"), True))
+    b = known.select("id", "producer", "live", T.name_key(F.col("name")).alias("b")).withColumn("gb", T.trigrams(F.col("b"), True))
+    pairs = a.join(b, "producer").withColumn("sim", T.set_similarity(F.col("ga"), F.col("gb")))
     stage = F.when(F.col("a") == F.col("b"), 0).when(T.contains_either(F.col("a"), F.col("b")), 1).when(F.col("sim") >= least, 2)
     hit = pairs.withColumn("stage", stage).filter("stage IS NOT NULL")
     gap = F.when(F.col("stage") == 1, F.abs(F.length("a") - F.length("b"))).otherwise(0)
@@ -222,10 +222,7 @@ def merge_variants(items: DataFrame) -> DataFrame:
 
 def phrase_uses(names: DataFrame, phrases: DataFrame) -> DataFrame:
     """names(id, key), phrases(phrase of one to three words): how many names use each phrase whole, and how many are just it."""
-    w = T.words(F.col("key"))
-    none = F.array().cast("array<string>")
-    grams = F.array_distinct(F.flatten(F.array(*[F.when(F.size(w) >= n, _grams(w, n)).otherwise(none) for n in (1, 2, 3)])))
-    rows = names.select("id", "key", F.explode(grams).alias("phrase")).join(phrases.select("phrase").distinct(), "phrase")
+    rows = names.select("id", "key", T.words(F.col("key")).alias("w")).select("id", "key", F.explode(_all_grams("w", 3)).alias("phrase")).join(phrases.select("phrase").distinct(), "phrase")
     return rows.groupBy("phrase").agg(F.count("*").alias("uses"), F.count_if(F.col("key") == F.col("phrase")).alias("alone"))
 
 
@@ -233,12 +230,21 @@ def _grams(w: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
 
 
+def _all_grams(column: str, longest: int) -> Column:
+    """The distinct runs of one to `longest` words of an array column; a column, since an expression would be made anew for each run."""
+    w, none = F.col(column), F.array().cast("array<string>")
+    return F.array_distinct(F.flatten(F.array(*[F.when(F.size(w) >= n, _grams(w, n)).otherwise(none) for n in range(1, longest + 1)])))
+
+
 def name_forms(name: Column) -> Column:
     """The forms of a variety's name to look for, each of five characters or more."""
-    key = T.name_key(name)
-    bare = T.strip_colour(key)
-    plain = F.array_join(F.filter(T.words(bare), lambda w: ~w.isin(QUALIFIERS)), " ")
-    return F.when(bare != "", F.array_distinct(F.filter(F.array(key, bare, plain), lambda f: F.length(f) >= 5))).otherwise(F.array().cast("array<string>"))
+
+    def forms(key: Column) -> Column:
+        bare = T.strip_colour(key)
+        plain = F.array_join(F.filter(T.words(bare), lambda w: ~w.isin(QUALIFIERS)), " ")
+        return F.when(bare != "", F.array_distinct(F.filter(F.array(key, bare, plain), lambda f: F.length(f) >= 5))).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(T.name_key(name)), forms), F.lit(0))
 
 
 def named_in_rules(texts: DataFrame, varieties: DataFrame) -> DataFrame:
@@ -247,10 +253,8 @@ def named_in_rules(texts: DataFrame, varieties: DataFrame) -> DataFrame:
     Forms and texts meet on word n-grams (of one to five words), not by containment over all pairs.
     """
     forms = varieties.select("doc", "grape", F.explode_outer(name_forms(F.col("name"))).alias("form"))
-    w = T.words(T.name_key(F.col("text")))
-    longest = 5
-    grams = F.array_distinct(F.flatten(F.array(*[F.when(F.size(w) >= n, _grams(w, n)).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)])))
-    said = texts.select("doc", F.explode(grams).alias("form")).join(forms.select("form").distinct(), "form", "left_semi").withColumn("hit", F.lit(True))
+    words = texts.select("doc", T.words(T.name_key(F.col("text"))).alias("w"))
+    said = words.select("doc", F.explode(_all_grams("w", 5)).alias("form")).join(forms.select("form").distinct(), "form", "left_semi").withColumn("hit", F.lit(True))
     one = forms.join(said, ["doc", "form"], "left").groupBy("doc", "grape").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("named"))
     any_ = one.groupBy("doc").agg(F.bool_or("named").alias("any"))
     return one.join(any_, "doc").select("doc", "grape", F.when(F.col("any"), F.col("named")).alias("named"))
@@ -321,11 +325,9 @@ def garbled(text: Column) -> Column:
 
 def contained(labels: DataFrame, known: DataFrame, least: int) -> DataFrame:
     """labels(key, label), known(id, name): the least id of the names of `least` characters or more that a label holds whole."""
-    w = T.words(T.name_key(F.col("label")))
-    none = F.array().cast("array<string>")
-    grams = F.array_distinct(F.flatten(F.array(*[F.when(F.size(w) >= n, _grams(w, n)).otherwise(none) for n in range(1, 7)])))
+    words = labels.select("key", T.words(T.name_key(F.col("label"))).alias("w"))
     names = known.select("id", T.name_key(F.col("name")).alias("form")).filter(F.length("form") >= least)
-    return labels.select("key", F.explode(grams).alias("form")).join(names, "form").groupBy("key").agg(F.min("id").alias("id"))
+    return words.select("key", F.explode(_all_grams("w", 6)).alias("form")).join(names, "form").groupBy("key").agg(F.min("id").alias("id"))
 
 
 def assign_numbers(items: DataFrame, primes: DataFrame, synonyms: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows up to which a table of a few longs a row may be broadcast (some 40 MB at most).
 BROADCAST_ROWS = 500_000
+#: Stands for a null id inside an operator: sorts first, as nulls do.
+NO_ID = -(1 << 63)
+_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +49,16 @@ def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and text alone; a null id is NO_ID, a null text empty."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def terms(text: str | None) -> list[bytes]:
+    """Stretches of ASCII letters, digits and all characters beyond ASCII, in UTF-8; only A-Z are lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TERMS).split()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

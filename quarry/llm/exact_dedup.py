@@ -7,8 +7,8 @@ digest first, so that copies within it, however many, are one row with a count w
 a filter lets pass are joined with the snapshot's bucket, where the texts themselves are compared.
 
 Defined results: null counts as empty text; all empty texts are one group; the smallest id stays; repeated rows count
-singly; an empty snapshot or batch gives the other's groups. Where the byte check finds two texts under one digest, the
-snapshot's and the batch's rows are two groups.
+singly, and an id may repeat with another text; very long texts are taken whole; an empty snapshot or batch gives the
+other's groups. Where the byte check finds two texts under one digest, the snapshot's and the batch's rows are two groups.
 """
 
 from __future__ import annotations
@@ -145,6 +145,7 @@ def exact_dedup(docs: DataFrame, snapshot: Column, id_col: str = "doc_id", text_
     ids = met.select(F.col("keep_id").alias("doc_id"), "digest").union(met.select(F.col("old_id"), "digest"))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = plain.join(bounded(ids, 2 * met.count()), "doc_id").select("digest", normalised(F.col("text")).alias("text"))
+    texts = texts.filter(F.unhex(F.sha2("text", 256)) == F.col("digest"))  # an id may have other texts as well
     same = texts.groupBy("digest").agg((F.min("text") == F.max("text")).alias("same"))
     both = F.array(F.lit(True), F.lit(False))
     met = met.join(same.filter("same"), "digest").select("digest", F.explode(both).alias("old"), F.least("keep_id", "old_id").alias("keep_id"), (F.col("group_size") + F.col("old_size")).alias("group_size"))

@@ -43,14 +43,49 @@ def test_html_against_line_ratios():
     parser = html_text.Lines()
     parser.feed(page)
     parser.cut()
-    assert [x[0] for x in parser.lines] == texts
-    ratio = np.array([len(t) / max(1, n) for t, n, _, _ in parser.lines])
+    assert [x.text for x in parser.lines] == texts
+    ratio = np.array([len(x.text) / max(1, x.tags) for x in parser.lines])
     k = np.exp(-0.5 * np.arange(-3, 4) ** 2.0)
     smooth = np.array([sum(k[j + 3] * ratio[min(len(ratio) - 1, max(0, i + j))] for j in range(-3, 4)) / k.sum() for i in range(len(ratio))])
     want = [t for t, r in zip(texts, smooth, strict=True) if r >= 0.25 * min(smooth.std(), smooth.mean())]
     assert html_text.main_text(page) == " ".join(want) and set(" ".join(paras).split()) <= set(html_text.main_text(page).split())
 
 
+BODY = "Words of the body text, many of them in this one. " * 8
+SHORT = [f"Short paragraph number {i} of the article." for i in range(30)]
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "disqus", "disqus_thread", "user-comments"])
+@pytest.mark.parametrize("region", ["article", "main"])
+def test_html_comments(region, name):
+    """Named comment blocks go whatever their ratio: long comments inside a region of short paragraphs."""
+    comments = "".join(f"<p>{BODY * 5}{i}</p>" for i in range(6))
+    page = f"<body><{region}>{''.join(f'<p>{x}</p>' for x in SHORT)}<div class={name}>{comments}</div></{region}></body>"
+    assert html_text.main_text(page) == " ".join(SHORT)
+    nested = f"<body><article>{''.join(f'<p>{x}</p>' for x in SHORT)}<section id={name}>{''.join(f'<article class=comment><p>{BODY * 5}</p></article>' for _ in range(6))}</section></article></body>"
+    assert html_text.main_text(nested) == " ".join(SHORT)
+
+
+def test_html_drops_nothing_else():
+    """List items, headings and formulas of an article beside a very long paragraph; a page inside a form; small forms go."""
+    items = "".join(f"<li><a href=/{i}>item {i}</a></li>" for i in range(8))
+    article = f"<article><h1>Head</h1><ul>{items}</ul><p>{BODY * 200}</p><p>Let <math><mi>x</mi></math> be<form><label>Mail</label><input name=m><button>Send</button> us</form></p></article>"
+    want = " ".join(["Head", *(f"item {i}" for i in range(8)), *(BODY * 200).split(), "Let x be"])
+    assert html_text.main_text(f"<body>{article}</body>") == want
+    assert html_text.main_text(f"<body><form id=aspnet><input type=hidden>{article}<select><option>a</select></form></body>") == want
+    plain = f"<body><form action=/><div><p>{BODY}</p><p>{BODY}</p></div><button>Go</button></form></body>"
+    assert html_text.main_text(plain) == " ".join((BODY * 2).split())
+
+
+def test_html_wrappers():
+    """Clutter's names on what encloses the main element or the whole page count for nothing; teasers are not the article."""
+    page = f"<body><div class='sidebar page-search'><main><h1>Head</h1><article><p>{BODY}</p></article><div class=related>{BODY * 3}</div></main></div><p>{BODY * 2}</p></body>"
+    assert html_text.main_text(page) == "Head " + " ".join(BODY.split())
+    assert html_text.main_text(f"<div class=modal><p>{BODY}</p></div>") == " ".join(BODY.split())
+    teasers = "".join(f"<article><p>Teaser {i} of another page</p></article>" for i in range(5))
+    assert html_text.main_text(f"<body><article><p>{BODY}</p><p>end</p></article><div>{teasers}</div></body>") == " ".join(BODY.split()) + " end"
+
+
 def test_html_names():
     """Names of clutter are whole names: parts of an article keep theirs; a head without an end ends at the body."""
     body = "Words of the body text, many of them in this one. " * 8
@@ -133,6 +168,14 @@ def test_dedup_digest_clash(spark, monkeypatch):
     assert got == {0: (0, 2), 2: (0, 2), 1: (1, 2), 3: (1, 2)}
 
 
+def test_dedup_repeated_ids(spark):
+    """An id that repeats with another text: each text has its own group."""
+    rows = [(2, "a"), (2, "b"), (1, "a"), (3, "a"), (4, "b"), (2, "a")]
+    got = exact_dedup.exact_dedup(docs(spark, [t for _, t in rows], [i for i, _ in rows]), F.col("doc_id") % 2 == 0).collect()
+    want = [(i, {"a": 1, "b": 2}[t], {"a": 4, "b": 2}[t]) for i, t in rows]
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == sorted(want)
+
+
 def test_dedup_filters_are_kept(spark, tmp_path):
     digests = spark.createDataFrame([(bytes([i]) * 32,) for i in range(50)], "digest binary")
     exact_dedup.save_filters(digests, 4, str(tmp_path / "f"))

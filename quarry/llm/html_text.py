@@ -4,8 +4,8 @@ The standard library's parser streams events; each block element starts a line w
 ratio of characters to tags is smoothed with a Gaussian over its neighbours; lines whose smoothed ratio reaches a share of
 the page's standard deviation (or mean, if less) form the content cluster. The cluster selects the region: the innermost
 article or main element that holds at least half of the cluster's text. Of that region every line stays, list items and
-headings too, and of the article or main elements around it those in the cluster; without such a region the cluster itself
-is the text.
+headings too; of the article or main elements around it, those in the cluster; elsewhere, those that reach eight times its
+threshold. Without such a region the cluster itself is the text.
 
 Left out before, whatever their ratio: navigation, footer, aside, script, style, form controls and the like, a header outside
 a region, and blocks with a whole class or id name of clutter (adverts, menus, reader comments, ...). A name counts for
@@ -149,14 +149,15 @@ def _read(html: str) -> list[Line]:
     return [x for x in lines if all(2 * held[f] >= total for f in x.forms)]
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.25) -> str:
+def main_text(html: str | None, sigma: float = 1.0, share: float = 0.25, outside: float = 8.0) -> str:
     lines = _read(html) if html else []
     if not lines:
         return ""
     size, tags = (np.array(x) for x in zip(*((len(x.text), x.tags) for x in lines), strict=True))
     ratio = smoothed(size / np.maximum(1, tags), sigma)
     # one giant line makes a deviation that no other reaches; on short pages, smoothing leaves next to none
-    cluster = ratio >= share * min(ratio.std(), ratio.mean())
+    need = share * min(ratio.std(), ratio.mean())
+    cluster = ratio >= need
     held: Counter[int] = Counter()
     for x, ok in zip(lines, cluster, strict=True):
         for r in x.regions:
@@ -165,7 +166,8 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.25) -> str:
     chosen = max((r for r, n in held.items() if 2 * n >= size[cluster].sum() > 0), default=None)
     if chosen is not None:
         path = next(x.regions[: x.regions.index(chosen)] for x in lines if chosen in x.regions)
-        cluster = [chosen in x.regions or (ok and bool(path) and path[0] in x.regions and path[: len(x.regions)] == x.regions) for x, ok in zip(lines, cluster, strict=True)]
+        around = [bool(x.regions) and path[: len(x.regions)] == x.regions for x in lines]
+        cluster = [chosen in x.regions or r >= need * (1 if near else outside) for x, r, near in zip(lines, ratio, around, strict=True)]
     return " ".join(x.text for x, ok in zip(lines, cluster, strict=True) if ok)
 
 

@@ -47,23 +47,26 @@ ROLE_ALIASES = {
     "engineer": ["Engineer"],
 }
 PLACEHOLDER = r"(?i)^(artist\s+\d+|unknown|undefined|n/?a|none|null|test)\b"
-#: Country names of the sources, as keys, by ISO code (fixed values).
+#: ISO codes by the country names of the sources, as keys (fixed values).
 COUNTRIES = {
-    "FR": "france,frankrike", "IT": "italy,italien", "ES": "spain,spanien", "DE": "germany,tyskland", "AT": "austria,osterrike",
-    "PT": "portugal", "US": "united states,usa", "GB": "united kingdom,storbritannien,england,scotland,wales",
-    "AU": "australia,australien", "NZ": "new zealand,nya zeeland", "ZA": "south africa,sydafrika", "AR": "argentina", "CL": "chile",
-    "CA": "canada,kanada", "HU": "hungary,ungern", "GR": "greece,grekland", "CH": "switzerland,schweiz", "LB": "lebanon,libanon",
-    "IL": "israel", "JP": "japan", "MX": "mexico,mexiko", "UY": "uruguay", "TR": "turkey,turkiet", "BR": "brazil,brasilien",
-    "SI": "slovenia,slovenien", "CZ": "czech republic,tjeckien", "LU": "luxembourg,luxemburg", "GE": "georgia,georgien",
-    "MD": "moldova,moldavien", "BG": "bulgaria,bulgarien", "UA": "ukraine,ukraina", "CY": "cyprus,cypern", "RO": "romania,rumanien",
-    "DK": "denmark,danmark", "IE": "ireland,irland", "CN": "china,kina,folkrepubliken kina", "HR": "croatia,kroatien",
-    "PL": "poland,polen", "MA": "morocco,marocko", "NL": "netherlands,nederlanderna", "SE": "sweden,sverige", "FI": "finland",
-    "IN": "india,indien", "SK": "slovakia,slovakien", "NO": "norway,norge", "AM": "armenia,armenien", "BE": "belgium,belgien",
-    "RS": "serbia,serbien", "MT": "malta", "ME": "montenegro", "MK": "north macedonia,nordmakedonien,macedonia", "AL": "albania",
-    "BA": "bosnia and herzegovina", "TN": "tunisia", "DZ": "algeria", "PE": "peru", "BO": "bolivia", "TW": "taiwan", "TH": "thailand",
-    "VN": "vietnam", "RU": "russian federation,russia,ryssland", "KR": "republic of korea,south korea", "EG": "egypt", "ET": "ethiopia",
-    "KE": "kenya", "HK": "hong kong", "SG": "singapore", "ID": "indonesia", "PH": "philippines", "JE": "jersey", "GG": "guernsey",
-    "BT": "bhutan", "EC": "ecuador", "SY": "syria", "VE": "venezuela", "AZ": "azerbajdzjan",
+    "france": "FR", "frankrike": "FR", "italy": "IT", "italien": "IT", "spain": "ES", "spanien": "ES", "germany": "DE", "tyskland": "DE",
+    "austria": "AT", "osterrike": "AT", "portugal": "PT", "united states": "US", "usa": "US", "united kingdom": "GB",
+    "storbritannien": "GB", "england": "GB", "scotland": "GB", "wales": "GB", "australia": "AU", "australien": "AU", "new zealand": "NZ",
+    "nya zeeland": "NZ", "south africa": "ZA", "sydafrika": "ZA", "argentina": "AR", "chile": "CL", "canada": "CA", "kanada": "CA",
+    "hungary": "HU", "ungern": "HU", "greece": "GR", "grekland": "GR", "switzerland": "CH", "schweiz": "CH", "lebanon": "LB",
+    "libanon": "LB", "israel": "IL", "japan": "JP", "mexico": "MX", "mexiko": "MX", "uruguay": "UY", "turkey": "TR", "turkiet": "TR",
+    "brazil": "BR", "brasilien": "BR", "slovenia": "SI", "slovenien": "SI", "czech republic": "CZ", "tjeckien": "CZ", "luxembourg": "LU",
+    "luxemburg": "LU", "georgia": "GE", "georgien": "GE", "moldova": "MD", "moldavien": "MD", "bulgaria": "BG", "bulgarien": "BG",
+    "ukraine": "UA", "ukraina": "UA", "cyprus": "CY", "cypern": "CY", "romania": "RO", "rumanien": "RO", "denmark": "DK", "danmark": "DK",
+    "ireland": "IE", "irland": "IE", "china": "CN", "kina": "CN", "folkrepubliken kina": "CN", "croatia": "HR", "kroatien": "HR",
+    "poland": "PL", "polen": "PL", "morocco": "MA", "marocko": "MA", "netherlands": "NL", "nederlanderna": "NL", "sweden": "SE",
+    "sverige": "SE", "finland": "FI", "india": "IN", "indien": "IN", "slovakia": "SK", "slovakien": "SK", "norway": "NO", "norge": "NO",
+    "armenia": "AM", "armenien": "AM", "belgium": "BE", "belgien": "BE", "serbia": "RS", "serbien": "RS", "malta": "MT", "montenegro": "ME",
+    "north macedonia": "MK", "nordmakedonien": "MK", "macedonia": "MK", "albania": "AL", "bosnia and herzegovina": "BA", "tunisia": "TN",
+    "algeria": "DZ", "peru": "PE", "bolivia": "BO", "taiwan": "TW", "thailand": "TH", "vietnam": "VN", "russian federation": "RU",
+    "russia": "RU", "ryssland": "RU", "republic of korea": "KR", "south korea": "KR", "egypt": "EG", "ethiopia": "ET", "kenya": "KE",
+    "hong kong": "HK", "singapore": "SG", "indonesia": "ID", "philippines": "PH", "jersey": "JE", "guernsey": "GG", "bhutan": "BT",
+    "ecuador": "EC", "syria": "SY", "venezuela": "VE", "azerbajdzjan": "AZ",
 }
 #: Colour statements by what they contain, in order of precedence, and colour words of names (fixed values).
 COLOUR_STATEMENTS = [("rose", "pink|grey|gris|rose|rosé|rosa"), ("white", "white|green|yellow|blanc|gold|lime|amber"), ("red", "black|blue|noir|red|purpl|violet|ruby|brick|jet")]
@@ -188,8 +191,7 @@ def statement_time(time: Column, precision: Column) -> Column:
 def country_code(name: Column) -> Column:
     """ISO code of a country's name; two capitals are a code already; null if unknown."""
     t = missing(name)
-    table = {key: code for code, keys in COUNTRIES.items() for key in keys.split(",")}
-    codes = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    codes = F.create_map(*[F.lit(x) for pair in COUNTRIES.items() for x in pair])
     return F.when(t.rlike("^[A-Z]{2}$"), t).otherwise(F.try_element_at(codes, name_key(t)))
 
 

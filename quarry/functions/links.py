@@ -9,19 +9,23 @@ RESERVED = "p reel explore accounts about developer privacy legal direct".split(
 
 
 def linkout(url: Column) -> Column:
-    """struct(provider, url, handle, confidence) of a bandcamp or instagram account; null for any other link."""
+    """struct(provider, url, handle, confidence) of a bandcamp or instagram account; null for any other link.
+
+    The bare host has no sub-domain, so its account is the first segment of the path; hosts that only end alike are others.
+    """
     u = F.trim(url)
     shape = r"(?i)^https?://(?:[^/?#@]*@)?([^/:?#]+)(?::[0-9]+)?([^?#]*)"
     host = F.regexp_replace(F.lower(F.regexp_extract(u, shape, 1)), r"^www\.", "")
     segment = F.get(F.filter(F.split(F.regexp_extract(u, shape, 2), "/"), lambda p: p != ""), F.lit(0))
     valid = lambda h: F.when(h.rlike("^[a-z0-9._-]+$"), h)
-    sub = F.regexp_replace(host, r"\.bandcamp\.com$", "")
-    band = F.when(~sub.isin("", "bandcamp"), valid(F.trim(sub))).otherwise(valid(F.lower(F.trim(segment))))
+    # the account is the host's part before bandcamp.com; the bare host names it in the path
+    bandcamp = F.regexp_extract(host, r"^(?:(.+)\.)?bandcamp\.com$", 1)
+    band = F.when(bandcamp != "", valid(bandcamp)).otherwise(valid(F.lower(F.trim(segment))))
     insta = F.when(~F.lower(segment).isin(RESERVED), valid(F.lower(F.trim(segment))))
     said = lambda p, link, h, c: F.when(h.isNotNull(), F.struct(F.lit(p).alias("provider"), link.alias("url"), h.alias("handle"), F.lit(c).alias("confidence")))
     banded = said("bandcamp", F.concat(F.lit("https://"), band, F.lit(".bandcamp.com")), band, 1.0)
     instant = said("instagram", F.concat(F.lit("https://instagram.com/"), insta), insta, 0.98)
-    return F.when(u.rlike(shape), F.when(host.endswith("bandcamp.com"), banded).when(host == "instagram.com", instant))
+    return F.when(u.rlike(shape), F.when(host.rlike(r"(^|\.)bandcamp\.com$"), banded).when(host == "instagram.com", instant))
 
 
 def video_id(url: Column) -> Column:

@@ -53,8 +53,8 @@ rule("fn_query_tokens", T.query_text, "VARCHAR", [
     ("aphex tw", "aphex & tw:*"), ("!!!", None), (" ".join(f"t{i}" for i in range(40)), " & ".join(f"t{i}" for i in range(12)) + ":*"), ("Björk's", "björk & s:*"), ("X", "x:*"),
 ])
 rule("fn_strip_title", T.strip_title, "VARCHAR", [("Château Margaux", "margaux"), ("Azienda Agricola Rossi S.r.l.", "rossi"), ("Domaine", ""), ("Smith and Co Estate", "smith"), (None, "")])
-rule("fn_core_name", T.core_name, "VARCHAR", [("domaine de la romanee conti", "romanee conti"), ("gros frere et soeur", "gros frere soeur"), ("wines of the", "the"), ("", "")])
-rule("fn_last_core_word", T.last_core_word, "VARCHAR", [("frederic savart", "savart"), ("anne et jean francois ganevat", "ganevat"), ("domaine de la", None), ("", None)])
+rule("fn_core_name", T.core_name, "VARCHAR", [("domaine de la tour neuve", "tour neuve"), ("petit ours et fils", "petit ours"), ("wines of the", "the"), ("", "")])
+rule("fn_last_core_word", T.last_core_word, "VARCHAR", [("marie lune", "lune"), ("ours et petite lune", "lune"), ("domaine de la", None), ("", None)])
 rule("fn_contains_either", T.contains_either, "BOOLEAN", [
     (("chateau margaux rouge", "margaux"), True), (("chateau margaux", "arg"), False), (("e", "e"), True), (("e", "chateau e"), False), (("", "x"), False), ((None, "x"), False), (("barolo", "barolo riserva"), True),
 ])
@@ -107,7 +107,7 @@ rule("fn_name_colour", C.name_colour, "VARCHAR", [("caino blanco", "white"), ("d
 _link = lambda u: (lambda r: F.concat_ws(" ", r["provider"], r["url"], r["handle"], r["confidence"].cast("string")))(L.linkout(u))
 rule("linkout_rules", lambda u: F.nullif(_link(u), F.lit("")), "VARCHAR", [
     ("https://warp.bandcamp.com/album/x", "bandcamp https://warp.bandcamp.com warp 1.0"), ("http://bandcamp.com/Warp", "bandcamp https://warp.bandcamp.com warp 1.0"), ("https://www.instagram.com/warprecords/", "instagram https://instagram.com/warprecords warprecords 0.98"),
-    ("https://instagram.com/p/abc", None), ("https://example.com/warp", None), ("ftp://x.bandcamp.com", None), ("https://bandcamp.com/", None), (None, None),
+    ("https://instagram.com/p/abc", None), ("https://example.com/warp", None), ("ftp://x.bandcamp.com", None), ("https://bandcamp.com/", None), ("https://notbandcamp.com/x", None), ("https://bandcamp.com", None), ("https://www.Bandcamp.com/Rush-Hour/", "bandcamp https://rush-hour.bandcamp.com rush-hour 1.0"), (None, None),
 ])
 rule("video_id", L.video_id, "VARCHAR", [("https://www.youtube.com/watch?v=abcdefghijk", "abcdefghijk"), ("https://youtu.be/ABCDEFGHIJ_?t=3", "ABCDEFGHIJ_"), ("https://youtube.com/watch?x=1&v=12345678901", "12345678901"), ("https://www.youtube.com/embed/aaaaaaaaaaa", "aaaaaaaaaaa"), ("https://vimeo.com/1", None), ("https://youtu.be/short", None)])
 rule("fn_file_url", lambda u: L.file_url(u, 300), "VARCHAR", [("http://commons.wikimedia.org/wiki/Special:FilePath/A.jpg", "https://commons.wikimedia.org/wiki/Special:FilePath/A.jpg?width=300"), ("https://x.org/a.jpg", "https://x.org/a.jpg"), ("https://commons.wikimedia.org/wiki/Special:FilePath/A.jpg?x=1", "https://commons.wikimedia.org/wiki/Special:FilePath/A.jpg?x=1&width=300"), ("", "")])

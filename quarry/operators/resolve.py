@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import classify as C, text as T
 from .lineage import cut
+from .phrases import phrase_hits
 from .relational import keep_first, merge_targets
 from .search import similar
 
-#: Codes of geographical indications, best first (fixed values); qualifiers a register adds to a variety's name (fixed values).
+#: Codes of geographical indications, best first, and at the end of a label (fixed values); qualifiers a register adds to a variety's name (fixed values).
 GI_RANK = ["PDO", "PGI"]
+GI_SUFFIX = r"(?i)\b(doc|docg|doca|do|dop|igt|igp|aoc|aop|ava|pdo|pgi|vdp|g\.?i\.?)$"
 QUALIFIERS = "comune lucido lucida gentile toscano nostrano b n rs g".split()
 
 
@@ -250,11 +252,12 @@ def name_forms(name: Column) -> Column:
 def named_in_rules(texts: DataFrame, varieties: DataFrame) -> DataFrame:
     """texts(doc, text), varieties(doc, grape, name) -> doc, grape, named: whether the rule text names it; null if it names none.
 
-    Forms and texts meet on word n-grams (of one to five words), not by containment over all pairs.
+    Forms of any number of words; a document's forms meet its text by an anchor join.
     """
     forms = varieties.select("doc", "grape", F.explode_outer(name_forms(F.col("name"))).alias("form"))
-    words = texts.select("doc", T.words(T.name_key(F.col("text"))).alias("w"))
-    said = words.select("doc", F.explode(_all_grams("w", 5)).alias("form")).join(forms.select("form").distinct(), "form", "left_semi").withColumn("hit", F.lit(True))
+    words = texts.select("doc", F.col("doc").alias("text"), T.words(T.name_key(F.col("text"))).alias("words"))
+    asked = forms.filter("form IS NOT NULL").select("doc", "form").distinct().select("doc", F.col("form").alias("phrase"), T.words(F.col("form")).alias("words"))
+    said = phrase_hits(words, asked, ("doc",)).select("doc", F.col("phrase").alias("form"), F.lit(True).alias("hit"))
     one = forms.join(said, ["doc", "form"], "left").groupBy("doc", "grape").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("named"))
     any_ = one.groupBy("doc").agg(F.bool_or("named").alias("any"))
     return one.join(any_, "doc").select("doc", "grape", F.when(F.col("any"), F.col("named")).alias("named"))
@@ -325,9 +328,46 @@ def garbled(text: Column) -> Column:
 
 def contained(labels: DataFrame, known: DataFrame, least: int) -> DataFrame:
     """labels(key, label), known(id, name): the least id of the names of `least` characters or more that a label holds whole."""
-    words = labels.select("key", T.words(T.name_key(F.col("label"))).alias("w"))
-    names = known.select("id", T.name_key(F.col("name")).alias("form")).filter(F.length("form") >= least)
-    return words.select("key", F.explode(_all_grams("w", 6)).alias("form")).join(names, "form").groupBy("key").agg(F.min("id").alias("id"))
+    texts = labels.select(F.col("key").alias("text"), T.words(T.name_key(F.col("label"))).alias("words"))
+    names = known.select("id", T.name_key(F.col("name")).alias("phrase")).filter(F.length("phrase") >= least)
+    hits = phrase_hits(texts, names.select("phrase").distinct().withColumn("words", T.words(F.col("phrase"))))
+    return hits.join(names, "phrase").groupBy(F.col("text").alias("key")).agg(F.min("id").alias("id"))
+
+
+def label_match(labels: DataFrame, known: DataFrame, least: int = 10, most: int = 50) -> DataFrame:
+    """labels(key, label, producer, country), known(id, name, display_name, producer, country, live) -> key, id, method.
+
+    Labels that end in a code of an indication (or have no key) are left out. Where the label's producer is known (not null),
+    its own items are tried first: equal names, then names that hold the label or lie in it (the shorter of 5 characters at
+    least). Then equal names of all producers, then names that hold a label of `least` characters or more; over `most` of
+    these say nothing (too_many, no id). Countries must agree where both are given. Of several the shortest display name
+    wins, then a live one, then the least id. Labels without a hit come back with method none.
+    """
+    asked = labels.filter(~F.trim("label").rlike(GI_SUFFIX)).select("key", "producer", "country", T.name_key(F.col("label")).alias("form")).filter("form <> ''")
+    sides = F.array_distinct(F.filter(F.array(T.name_key(F.col("name")), T.name_key(F.col("display_name"))), lambda x: x != ""))
+    rank = F.struct(F.length(T.name_key(F.col("display_name"))).alias("n"), (~F.col("live")).alias("dead"), "id")
+    names = known.select("id", F.col("producer").alias("of"), F.col("country").alias("at"), rank.alias("rank"), F.explode(sides).alias("name"))
+    agree = F.col("country").isNull() | F.col("at").isNull() | (F.col("country") == F.col("at"))
+    equal = asked.join(names, F.col("form") == F.col("name"))
+    own = equal.filter("producer = of").select("key", F.lit(0).alias("stage"), "rank")
+    every = equal.filter(agree).select("key", F.lit(2).alias("stage"), "rank")
+
+    distinct = lambda df, c, *more: df.select(*more, F.col(c).alias("phrase"), F.col(c).alias("text"), T.words(F.col(c)).alias("words")).distinct()
+    inside, held = asked.filter("producer IS NOT NULL").withColumn("of", F.col("producer")), names.filter("of IS NOT NULL")
+    a, b = distinct(inside, "form", "of"), distinct(held, "name", "of")
+    up = phrase_hits(b, a, ("of",)).select("of", F.col("text").alias("name"), F.col("phrase").alias("form"))
+    down = phrase_hits(a, b, ("of",)).select("of", F.col("phrase").alias("name"), F.col("text").alias("form"))
+    both = up.union(down).filter(F.least(F.length("name"), F.length("form")) >= 5).distinct()
+    near = inside.select("key", "of", "form").join(both, ["of", "form"]).join(held, ["of", "name"]).select("key", F.lit(1).alias("stage"), "rank")
+
+    wide = phrase_hits(distinct(names, "name"), distinct(asked.filter(F.length("form") >= least), "form"))
+    wide = wide.select(F.col("text").alias("name"), F.col("phrase").alias("form")).join(names, "name").join(asked, "form").filter(agree)
+    wide = wide.select("key", F.lit(3).alias("stage"), "rank")
+    per = own.union(every).union(near).union(wide).groupBy("key", "stage").agg(F.min("rank").alias("x"), F.count_distinct("rank.id").alias("n"))
+    many = (F.col("stage") == 3) & (F.col("n") > most)
+    best = per.groupBy("key").agg(F.min(F.struct("stage", F.when(~many, F.col("x.id")).alias("id"))).alias("b"))
+    method = F.when((F.col("b.stage") == 3) & F.col("b.id").isNull(), "too_many").otherwise(F.get(F.array(*map(F.lit, ("producer_exact", "producer_contains", "exact", "contains"))), F.col("b.stage")))
+    return asked.select("key").join(best, "key", "left").select("key", F.col("b.id").alias("id"), F.coalesce(method, F.lit("none")).alias("method"))
 
 
 def assign_numbers(items: DataFrame, primes: DataFrame, synonyms: DataFrame) -> DataFrame:

@@ -181,15 +181,35 @@ def playlist_videos(s, d):
     return c.join(first, "master").withColumn("video", L.video_id(url)).filter("video IS NOT NULL").select("scene", "label", "master", "video")
 
 
-@query("""SELECT p_partkey AS key, min(k) AS id FROM (SELECT p_partkey, 'grand vin ' || p_name AS label FROM part WHERE p_partkey % 5 = 0), (SELECT min(p_partkey) AS k, p_name AS name FROM part GROUP BY 2) WHERE contains(' ' || label || ' ', ' ' || name || ' ') AND length(name) >= 8 GROUP BY 1""")
+@query("""SELECT p_partkey AS key, min(k) AS id FROM (SELECT p_partkey, 'grand vin ' || p_name AS label FROM part), (SELECT min(p_partkey) AS k, p_name AS name FROM part GROUP BY 2) WHERE contains(' ' || label || ' ', ' ' || name || ' ') AND length(name) >= 8 GROUP BY 1""")
 def contained_names(s, d):
-    """Labels that hold a known name of eight characters or more whole, by word n-grams; the least id on a tie."""
+    """Labels that hold a known name of eight characters or more whole, by an anchor join; the least id on a tie."""
     p = t(s, d, "part")
-    labels = p.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("key"), F.concat(F.lit("grand vin "), "p_name").alias("label"))
+    labels = p.select(F.col("p_partkey").alias("key"), F.concat(F.lit("grand vin "), "p_name").alias("label"))
     known = p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
     return V.contained(labels, known, 8)
 
 
+@query("""WITH k AS (SELECT p_partkey AS id, p_name AS name, 'reserve ' || p_name || CASE WHEN p_partkey % 5 = 0 THEN ' magnum' ELSE '' END AS dn, p_brand AS producer, p_type AS country, p_partkey % 3 > 0 AS live FROM part),
+a AS (SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'reserve ' || p_name WHEN 2 THEN 'la grande ' || p_name ELSE p_name || ' DOC' END AS label,
+CASE WHEN p_partkey % 3 < 2 THEN p_brand END AS producer, CASE WHEN p_partkey % 7 > 0 THEN p_type END AS country FROM part),
+q AS (SELECT *, ' ' || lower(label) || ' ' AS f FROM a WHERE NOT label LIKE '% DOC'),
+p AS (SELECT key, CASE WHEN q.producer = k.producer AND lower(label) IN (name, dn) THEN 0
+WHEN q.producer = k.producer AND (contains(' ' || name || ' ', f) OR contains(' ' || dn || ' ', f) OR contains(f, ' ' || name || ' ') OR contains(f, ' ' || dn || ' ')) THEN 1
+WHEN (q.country IS NULL OR q.country = k.country) AND lower(label) IN (name, dn) THEN 2
+WHEN (q.country IS NULL OR q.country = k.country) AND length(label) >= 10 AND (contains(' ' || name || ' ', f) OR contains(' ' || dn || ' ', f)) THEN 3 END AS stage, length(dn) AS n, NOT live AS dead, id FROM q, k),
+c AS (SELECT key, stage, count(*) AS m, arg_min(id, (n, dead, id)) AS id FROM p WHERE stage IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT key, min(stage) AS stage FROM c GROUP BY 1)
+SELECT key, CASE WHEN stage < 3 OR m <= 50 THEN c.id END AS id, CASE WHEN stage IS NULL THEN 'none' WHEN stage = 3 AND m > 50 THEN 'too_many' ELSE ['producer_exact', 'producer_contains', 'exact', 'contains'][stage + 1] END AS method FROM q LEFT JOIN b USING (key) LEFT JOIN c USING (key, stage)""")
+def label_match(s, d):
+    """Labels to items: of their producer by equal and contained names, else equal names, else names that hold the label."""
+    p, n = t(s, d, "part"), F.col("p_partkey")
+    reserve = F.concat(F.lit("reserve "), "p_name")
+    known = p.select(n.alias("id"), F.col("p_name").alias("name"), F.concat(reserve, F.when(n % 5 == 0, " magnum").otherwise("")).alias("display_name"), F.col("p_brand").alias("producer"), F.col("p_type").alias("country"), (n % 3 > 0).alias("live"))
+    label = F.when(n % 4 == 0, F.col("p_name")).when(n % 4 == 1, reserve).when(n % 4 == 2, F.concat(F.lit("La Grande "), "p_name")).otherwise(F.concat("p_name", F.lit(" DOC")))
+    return V.label_match(p.select(n.alias("key"), label.alias("label"), F.when(n % 3 < 2, F.col("p_brand")).alias("producer"), F.when(n % 7 > 0, F.col("p_type")).alias("country")), known)
+
+
 @query(r"""SELECT doc_id, regexp_replace(trim(lower(regexp_replace(text, '\s+', ' ', 'g'))), '[^a-z0-9]+', '-', 'g') = '' AS empty, len(regexp_extract_all(text, 'https?://[^\s]+')) AS links FROM documents WHERE text IS NOT NULL""")
 def document_links(s, d):
     """Links in each text, and whether its slug is empty (letters beyond ASCII that have a plain form count)."""

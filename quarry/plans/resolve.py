@@ -116,14 +116,14 @@ def grape_resolution(s, d):
 
 
 @query("""WITH k AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'domaine ' || p_name ELSE p_name END AS key, p_name AS core, string_split(p_name, ' ')[2] AS last, CASE p_partkey % 3 WHEN 0 THEN 'Domaine' WHEN 1 THEN 'Maison' END AS title, p_type AS country, p_size AS weight, p_brand AS region, [p_container] AS subs
-FROM (SELECT *, 'c' || (p_partkey % 4) AS p_container FROM part WHERE p_partkey % 3 = 0 OR p_size > 40)),
+FROM (SELECT *, 'c' || (p_partkey % 4) AS p_container FROM part)),
 bl AS (SELECT country, last FROM k GROUP BY 1, 2 HAVING count(*) <= 40),
 p AS (SELECT a.id AS id, b.id AS id2, CASE WHEN a.key = b.key THEN 'same_norm' WHEN a.core = b.core THEN 'title_stripped' ELSE 'given_name_diff' END AS rule, a.title AS t1, b.title AS t2, a.weight AS w1, b.weight AS w2, CASE WHEN a.region <> b.region THEN 'none' WHEN a.subs = b.subs THEN 'strong' ELSE 'weak' END AS proof
 FROM k a JOIN k b ON a.country = b.country AND a.id < b.id AND (a.core = b.core OR (a.last = b.last AND (a.country, a.last) IN (SELECT country, last FROM bl))))
 SELECT CASE WHEN w2 > w1 THEN id2 ELSE id END AS keep_id, CASE WHEN w2 > w1 THEN id ELSE id2 END AS merge_id, rule, CASE WHEN rule = 'given_name_diff' THEN CASE proof WHEN 'strong' THEN 'review' ELSE 'reject' END WHEN proof = 'strong' THEN CASE WHEN t1 <> t2 THEN 'review' ELSE 'auto' END WHEN proof = 'weak' THEN 'review' ELSE 'reject' END AS class, greatest(w1, w2) AS weight FROM p""")
 def merge_candidates(s, d):
     """Pairs of one country by blocks on key, core name and surname; rule, evidence and class."""
-    p = t(s, d, "part").filter("p_partkey % 3 = 0 OR p_size > 40")
+    p = t(s, d, "part")
     n = F.col("p_partkey")
     key = F.when(n % 2 == 0, F.concat(F.lit("domaine "), "p_name")).otherwise(F.col("p_name"))
     title = F.when(n % 3 == 0, "Domaine").when(n % 3 == 1, "Maison")
@@ -154,12 +154,12 @@ def phrase_uses(s, d):
     return V.phrase_uses(p.select(F.col("p_partkey").alias("id"), T.name_key(F.col("p_name")).alias("key")), phrases)
 
 
-@query("""WITH w AS (SELECT DISTINCT o_orderkey AS doc, p_partkey AS grape, p_name AS name, o_orderkey % 3 > 0 AND p_size > 20 AS named FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderkey % 5 = 0),
+@query("""WITH w AS (SELECT DISTINCT o_orderkey AS doc, p_partkey AS grape, p_name AS name, o_orderkey % 3 > 0 AND p_size > 20 AS named FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 n AS (SELECT doc, grape, bool_or(string_split(name, ' ')[2] IN (SELECT string_split(name, ' ')[2] FROM w x WHERE x.doc = w.doc AND x.named AND x.name = w.name)) AS hit FROM w GROUP BY 1, 2)
 SELECT doc, grape, CASE WHEN bool_or(hit) OVER (PARTITION BY doc) THEN hit END AS named FROM n""")
 def varieties_named(s, d):
     """Varieties that a rule text names whole; unknown where it names none."""
-    o = t(s, d, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("doc"))
+    o = t(s, d, "orders").select(F.col("o_orderkey").alias("doc"))
     li = t(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("grape")).distinct()
     v = li.join(o, "doc").join(t(s, d, "part").select(F.col("p_partkey").alias("grape"), F.col("p_name").alias("name"), "p_size"), "grape")
     said = F.when((F.col("doc") % 3 > 0) & (F.col("p_size") > 20), F.concat(F.lit("From "), F.initcap("name"), F.lit(", and ")))

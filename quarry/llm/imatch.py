@@ -34,6 +34,8 @@ from .common import NO_ID, keyed, table, terms
 LOW, HIGH = 4, 12
 #: Entries of the broadcast lexicon (16 MB); subsets and levels of a fingerprint.
 LEXICON, SUBSETS, LEVELS = 2_000_000, 24, 3
+#: Ranges of ids for each shuffle partition, so that partitions that are dealt ranges by hash are even.
+RANGES = 8
 #: Distinct terms that a task counts before it sends its counts on.
 HELD = 500_000
 _ONE, _TWO = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -129,8 +131,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     Ranges are cut at quantiles of the ids alone; a text is shuffled once, and again only where it is a guest.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0]
+    parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0]
     cuts = np.unique(np.array(cuts or [0], np.int64))
 
     @F.pandas_udf("int")

@@ -3,23 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder of spark.checkpoint.dir; a local one only for a local master where that is unset (tests)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a new local one only for a local master where that is unset (tests)."""
     if not spark.conf.get("spark.checkpoint.dir", None):
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the shared folder."""
+    at = shared_dir(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(at)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a new Parquet table in the shared folder: made once, however often it is used, with statistics for later plans."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def staged(spark: SparkSession, folder: str, phases: list[tuple[str, Callable[..., DataFrame]]], redo_from: str | None = None) -> dict[str, DataFrame]:
     """Each phase's table, written once below the folder: a finished one is read again, unless it is `redo_from` or comes after it.
 

@@ -1,15 +1,15 @@
-"""Full-text search over postings, for one query or many at once: match, cover density, boosts, fall-back, pages."""
+"""Full-text search over an inverted index, for many queries at once: match, cover density, early stop, boosts, fall-back, pages."""
 
 from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterator
+from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
+from .lineage import cut, written
 from .relational import top_n
 
 #: Weights of the field classes (fixed values), the least rank of a match, and the lengths a query may have.
@@ -18,6 +18,10 @@ LEAST_RANK, SHORTEST, LONGEST = 0.0001, 2, 200
 #: Similarity and number of fuzzy hits by type; weights of the types and bonuses in a mixed list (fixed values).
 FUZZY = {"artist": (0.3, 10), "label": (0.5, 5), "master": (0.5, 5)}
 TYPE_WEIGHT = {"master": 200, "artist": 150, "label": 60}
+#: Entities of a block of an index list, and of a run of blocks.
+BLOCK, PART = 128, 1 << 16
+#: Sums of doubles may lie this much above a product that bounds them.
+ROUNDING = 1 + 1e-9
 FILTERS = ("genre", "style", "year", "yearMin", "country")
 
 
@@ -43,85 +47,163 @@ def decode_cursor(cursor: str) -> tuple[int, float] | None:
         return None
 
 
-def _placed(tokens: Column, at: Column, weight: float) -> Column:
-    return F.transform(tokens, lambda t, i: F.struct(t.alias("token"), (at + i + 1).alias("pos"), F.lit(weight).alias("weight")))
+class Index(NamedTuple):
+    """words: type, id, words array<struct<token, pos, weight>> of each entity, in the order of positions.
+
+    lists: the entities of each token in blocks of BLOCK, those with the highest bound first: token, df, block, bound, docs
+    array<struct<type, id>>. A bound is the greatest product of a token's occurrences and the entity's greatest weight.
+    """
+
+    words: DataFrame
+    lists: DataFrame
+
 
+def index(entities: DataFrame, fields: dict[str, str]) -> Index:
+    """Index of entities(type, id, ...), written to the shared folder; fields: column -> weight class, in the order of positions."""
+    return Index(*(written(df, f"index-{name}") for name, df in zip(Index._fields, _built(entities, fields), strict=True)))
 
-def postings(entities: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """entities(type, id, ...) -> type, id, token, pos, weight; fields: column -> weight class, in the order of positions."""
+
+def write_index(entities: DataFrame, fields: dict[str, str], path: str) -> Index:
+    """Write an index below path for later sessions, the lists sorted by token so that a reader skips row groups, and read it again."""
+    made = _built(entities, fields)
+    made.words.write.parquet(f"{path}/words")
+    made.lists.repartitionByRange("token").sortWithinPartitions("token", "block").write.parquet(f"{path}/lists")
+    return read_index(entities.sparkSession, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/lists"))
+
+
+def _built(entities: DataFrame, fields: dict[str, str]) -> Index:
     parts, at = [], F.lit(0)
     for column, grade in fields.items():
         tokens = F.filter(F.split(F.lower(F.coalesce(column, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-        parts.append(_placed(tokens, at, WEIGHTS[grade]))
-        at = at + F.size(tokens)
-    return entities.select("type", "id", F.explode(F.concat(*parts)).alias("x")).select("type", "id", "x.*")
+        entities = entities.withColumn(f"_t_{column}", tokens)
+        held = F.col(f"_t_{column}")
+        parts.append(_placed(held, at, WEIGHTS[grade]))
+        at = at + F.size(held)
+    words = entities.select("type", "id", F.concat(*parts).alias("words")).filter(F.size("words") > 0)
+    most = F.array_max(F.transform("words", lambda w: w["weight"]))
+    each = words.select("type", "id", most.alias("w"), F.explode("words").alias("x")).groupBy(F.col("x.token").alias("token"), "type", "id").agg((F.count("*") * F.max("w")).alias("bound"))
+    df = each.groupBy("token").agg(F.count("*").alias("df"))
+    # a token of very many entities is dealt over several runs of blocks
+    part = F.pmod(F.xxhash64("type", "id"), F.ceil(F.col("df") / PART))
+    placed = each.join(df, "token").withColumn("part", part)
+    place = F.row_number().over(Window.partitionBy("token", "part").orderBy(F.desc("bound"), "type", "id"))
+    placed = placed.withColumn("block", F.floor((place - 1) / BLOCK))
+    lists = placed.groupBy("token", "part", "block").agg(F.first("df").alias("df"), F.max("bound").alias("bound"), F.collect_list(F.struct("type", "id")).alias("docs"))
+    return Index(words, lists.select("token", "df", "block", "bound", "docs"))
 
 
-def cover_density(n: int, hits: list) -> float:
-    """Rank of a text for n query tokens; hits: (token number, position, weight). Smallest covers, denser ones count more.
+def _placed(tokens: Column, at: Column, weight: float) -> Column:
+    return F.transform(tokens, lambda t, i: F.struct(t.alias("token"), (at + i + 1).alias("pos"), F.lit(weight).alias("weight")))
+
+
+def cover_density(hits: Column, n: Column) -> Column:
+    """Rank of a text for n query tokens; hits: array<struct<pos, weight, i array<int>>> of its words that match, by position.
 
-    A cover of k hits counts k over the sum of their inverse weights, divided by one plus the words between that are no hit.
+    Smallest covers of all tokens, denser ones count more: a cover of k hits counts k over the sum of their inverse weights,
+    divided by one plus the words between that are no hit. One pass: after each hit, the cover that ends there begins at the
+    least of the tokens' last hits, and is new if that lies behind the beginning of the cover before.
     """
-    by_pos: dict[int, tuple[float, set[int]]] = {}
-    for i, p, w in hits:
-        old = by_pos.get(p, (w, set()))
-        by_pos[p] = (w, old[1] | {i})
-    doc = sorted((p, w, s) for p, (w, s) in by_pos.items())
-    total, first = 0.0, 0
-    while first < len(doc):
-        seen: set[int] = set()
-        end = next((k for k in range(first, len(doc)) if len(seen := seen | doc[k][2]) == n), None)
-        if end is None:
-            break
-        seen = set()
-        begin = next(k for k in range(end, first - 1, -1) if len(seen := seen | doc[k][2]) == n)
-        inside = doc[begin : end + 1]
-        noise = max(0, (doc[end][0] - doc[begin][0]) - (end - begin))
-        total += len(inside) / sum(1 / w for _, w, _ in inside) / (1 + noise)
-        first = begin + 1
-    return total
-
-
-def match(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """queries(qid, q), index of postings() -> qid, type, id, raw_rank: all tokens occur, the last one as a prefix."""
-    tokens = queries.select("qid", T.query_tokens(F.col("q")).alias("t")).filter("t IS NOT NULL")
-    tokens = tokens.select("qid", F.size("t").alias("n"), F.posexplode("t").alias("i", "word"))
-    whole = tokens.filter("i < n - 1").select("qid", "n", "i", F.col("word").alias("token"))
-    # prefixes meet the vocabulary in blocks of their first letter
-    last = tokens.filter("i = n - 1").withColumn("block", F.substring("word", 1, 1))
-    words = index.select("token").distinct().withColumn("block", F.substring("token", 1, 1))
-    last = last.join(words, "block").filter(F.startswith("token", F.col("word"))).select("qid", "n", "i", "token")
-    hits = whole.unionAll(last).join(index, "token")
-    found = hits.groupBy("qid", "type", "id").agg(F.max("n").alias("n"), F.count_distinct("i").alias("k"), F.collect_list(F.struct("i", "pos", "weight")).alias("hits"))
-    found = found.filter("k = n").select("qid", "type", "id", "n", "hits")  # a list is bounded by its text's length
-
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            raw = [cover_density(n, [(h["i"], h["pos"], h["weight"]) for h in hs]) for n, hs in zip(b["n"], b["hits"], strict=True)]
-            yield b[["qid", "type", "id"]].assign(raw_rank=pd.Series(raw, dtype="float64"))
-
-    schema = found.select("qid", "type", "id").schema.add("raw_rank", "double")
-    return found.mapInPandas(rank, schema).filter(F.col("raw_rank") > LEAST_RANK)
-
-
-def boosted(found: DataFrame, queries: DataFrame, names: DataFrame) -> DataFrame:
-    """raw_rank plus 10 for the whole name, 2 for its beginning, as rank; names(type, id, name)."""
-    q, name = F.lower(F.trim("q")), F.lower("name")
-    bonus = F.when(name == q, 10.0).when(F.startswith(name, q), 2.0).otherwise(0.0)
-    return found.join(queries, "qid").join(names, ["type", "id"]).withColumn("rank", F.col("raw_rank") + bonus)
+    none = F.struct(F.lit(-1).alias("k"), F.lit(0).alias("pos"), F.lit(0.0).alias("inv"))
+    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("k"), F.lit(0.0).alias("inv"), F.lit(0.0).alias("total"), F.array_repeat(none, n).alias("last"))
+
+    def step(a: Column, h: Column) -> Column:
+        here = F.struct(a["k"].alias("k"), h["pos"].alias("pos"), a["inv"].alias("inv"))
+        last = F.transform(a["last"], lambda x, i: F.when(F.array_contains(h["i"], i), here).otherwise(x))
+        return F.struct(a["first"].alias("first"), (a["k"] + 1).alias("k"), (a["inv"] + 1 / h["weight"]).alias("inv"), a["total"].alias("total"), last.alias("last"), h["pos"].alias("pos"), F.array_min(last).alias("b"))
+
+    def count(a: Column) -> Column:
+        b, ends = a["b"], a["k"] - 1
+        noise = F.greatest(F.lit(0), (a["pos"] - b["pos"]) - (ends - b["k"]))
+        value = (a["k"] - b["k"]) / (a["inv"] - b["inv"]) / (1 + noise)
+        new = b["k"] >= a["first"]
+        return F.struct(F.when(new, b["k"] + 1).otherwise(a["first"]).alias("first"), a["k"].alias("k"), a["inv"].alias("inv"), (a["total"] + F.when(new, value).otherwise(0.0)).alias("total"), a["last"].alias("last"))
+
+    # an array of one row's state binds it once for count()
+    return F.aggregate(hits, start, lambda a, h: F.get(F.transform(F.array(step(a, h)), count), F.lit(0)), lambda a: a["total"])
+
+
+def _hits(words: Column, t: Column) -> Column:
+    """The words that match a token of the array t, the last one of which is a prefix."""
+    last = F.element_at(t, -1)
+    near = F.filter(words, lambda w: F.array_contains(t, w["token"]) | F.startswith(w["token"], last))
+    which = lambda w: F.filter(F.transform(t, lambda x, i: F.when((x == w["token"]) | ((i == F.size(t) - 1) & F.startswith(w["token"], x)), i)), lambda i: i.isNotNull())
+    return F.transform(near, lambda w: F.struct(w["pos"].alias("pos"), w["weight"].alias("weight"), which(w).alias("i")))
+
+
+def _anchors(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """texts(q) -> q, t, token, forms: the indexed forms of each query's rarest token; none if a token has no form."""
+    asked = texts.select("q", T.query_tokens(F.col("q")).alias("t")).filter("t IS NOT NULL")
+    each = asked.select("q", F.size("t").alias("n"), F.posexplode("t").alias("i", "word"))
+    known = lists.groupBy("token").agg(F.first("df").alias("df"))
+    whole = each.filter("i < n - 1").join(known, F.col("word") == F.col("token")).select("q", "n", "i", "token", "df")
+    # a prefix meets the beginnings of its own length: one equi-join for each length that occurs, at most LONGEST
+    last = each.filter("i = n - 1").withColumn("size", F.length("word"))
+    begins = known.join(F.broadcast(last.select("size").distinct()), F.length("token") >= F.col("size"))
+    begins = begins.withColumn("word", F.substring("token", F.lit(1), F.col("size"))).select("word", "token", "df")
+    forms = whole.unionAll(last.join(begins, "word").select("q", "n", "i", "token", "df"))
+    per = forms.groupBy("q", "i").agg(F.sum("df").alias("df"), F.first("n").alias("n"), F.count("*").alias("forms"))
+    rarest = per.groupBy("q").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.min(F.struct("df", "i", "forms")).alias("x")).filter("k = n")
+    rarest = rarest.select("q", F.col("x.i").alias("i"), F.col("x.forms").alias("forms"))
+    return forms.join(rarest, ["q", "i"]).join(asked, "q").select("q", "t", "token", "forms")
+
+
+def _ranked(found: DataFrame, words: DataFrame) -> DataFrame:
+    """found(q, t, type, id) -> q, type, id, raw_rank of those that have all tokens."""
+    once = found.dropDuplicates(["q", "type", "id"]).join(words, ["type", "id"])
+    rank = cover_density(_hits(F.col("words"), F.col("t")), F.size("t"))
+    # filtered inside an array, since a filter above would evaluate the rank twice
+    return once.select("q", "type", "id", F.explode(F.filter(F.array(rank), lambda r: r > LEAST_RANK)).alias("raw_rank"))
+
+
+def match_texts(texts: DataFrame, index: Index) -> DataFrame:
+    """texts(q) of distinct queries -> q, type, id, raw_rank: all tokens occur, the last one as a prefix.
+
+    The entities of each query's rarest token are looked up in the lists; only these are compared with the other tokens.
+    """
+    found = _anchors(texts, index.lists).join(index.lists.select("token", "docs"), "token").select("q", "t", F.explode("docs").alias("x"))
+    return _ranked(found.select("q", "t", "x.type", "x.id"), index.words)
+
+
+def match(queries: DataFrame, index: Index) -> DataFrame:
+    """queries(qid, q) -> qid, type, id, raw_rank; each distinct text is matched once."""
+    return match_texts(queries.select("q").distinct(), index).join(queries, "q").select("qid", "type", "id", "raw_rank")
+
+
+def top_texts(texts: DataFrame, index: Index, limit: int) -> DataFrame:
+    """The best `limit` of match_texts for each query by raw_rank, then id, both descending, with early stop.
+
+    The first blocks of the rarest token's lists are ranked first. Their result bounds the rest: a block whose entities
+    can't reach the last of the best `limit` is never read on. A token's occurrence lies in at most one cover for each token
+    that begins it, and no cover counts more than the greatest weight, so n * forms * bound is an upper bound.
+    """
+    blocks = cut(_anchors(texts, index.lists)).join(index.lists, "token")
+    blocks = blocks.select("q", "t", "block", (F.size("t") * F.col("forms") * F.col("bound") * ROUNDING).alias("bound"), "docs")
+    opened = lambda b: _ranked(b.select("q", "t", F.explode("docs").alias("x")).select("q", "t", "x.type", "x.id"), index.words)
+    order = [F.desc("raw_rank"), F.desc("id"), F.asc("type")]
+    first = cut(top_n(opened(blocks.filter("block = 0")), ["q"], order, limit, "place"))
+    least = first.filter(F.col("place") == limit).select("q", F.col("raw_rank").alias("least"))
+    rest = blocks.filter("block > 0").join(least, "q", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+    both = first.drop("place").union(opened(rest)).dropDuplicates(["q", "type", "id"])
+    return top_n(both, ["q"], order, limit, "place")
 
 
 def ranked(queries: DataFrame, entities: DataFrame, fields: dict[str, str], name: str, limit: int) -> DataFrame:
     """The best `limit` of each query and type by rank, then id, both descending, with has_more; relevance is at most 1.
 
-    Keyset pages go by the ordered pair (rank, id), so no boosted row is skipped or repeated.
+    rank is raw_rank plus 10 for the whole name, 2 for its beginning. Distinct texts are matched and ranked once. Keyset pages
+    go by the ordered pair (rank, id), so no boosted row is skipped or repeated.
     """
     names = entities.select("type", "id", F.col(name).alias("name"))
-    found = boosted(match(queries, postings(entities, fields)), queries, names)
-    top = top_n(found, ["qid", "type"], [F.desc("rank"), F.desc("id")], limit + 1, "place")
-    more = F.max(F.when(F.col("place") > limit, True).otherwise(False))
-    probe = top.groupBy("qid", "type").agg(more.alias("has_more"))
-    return top.filter(F.col("place") <= limit).join(probe, ["qid", "type"]).withColumn("relevance", F.least(F.greatest("rank", F.lit(0.0)), F.lit(1.0)))
+    q, own = F.lower(F.trim("q")), F.lower("name")
+    bonus = F.when(own == q, 10.0).when(F.startswith(own, q), 2.0).otherwise(0.0)
+    found = match_texts(queries.select("q").distinct(), index(entities, fields)).join(names, ["type", "id"]).withColumn("rank", F.col("raw_rank") + bonus)
+    top = top_n(found, ["q", "type"], [F.desc("rank"), F.desc("id")], limit + 1, "place")
+    top = top.withColumn("has_more", F.max("place").over(Window.partitionBy("q", "type")) > limit).filter(F.col("place") <= limit)
+    return top.withColumn("relevance", F.least(F.greatest("rank", F.lit(0.0)), F.lit(1.0))).join(queries, "q")
 
 
 def fan_out_score(explicit: bool = False) -> Column:
@@ -136,8 +218,8 @@ def fan_out_score(explicit: bool = False) -> Column:
 
 
 def fan_out(hits: DataFrame, limit: int) -> DataFrame:
-    """hits(qid, q, type, id, name, relevance) of all types -> the best `limit` of each query by score."""
-    return top_n(hits.withColumn("score", fan_out_score()), ["qid"], [F.desc("score"), F.desc("relevance"), F.desc("id")], limit, "place")
+    """hits(q, type, id, name, relevance) of all types -> the best `limit` of each query text by score."""
+    return top_n(hits.withColumn("score", fan_out_score()), ["q"], [F.desc("score"), F.desc("relevance"), F.desc("id")], limit, "place")
 
 
 def filter_only(masters: DataFrame, limit: int, after: tuple[int, int] | None = None, **wanted) -> DataFrame:

@@ -200,7 +200,7 @@ def corpus_search(s, d):
     q = F.when(F.col("p_partkey") % 40 == 0, F.col("p_name")).otherwise(F.replace("p_name", F.lit("e"), F.lit("a")))
     queries = t(s, d, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("qid"), q.alias("q"))
     names = t(s, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id")).select(F.lit("wine").alias("type"), "id", "name")
-    return E.corpus_search(queries, S.postings(names, {"name": "A"}), names, 3, 0.45, S).select("qid", "id", "exact")
+    return E.corpus_search(queries, S.index(names, {"name": "A"}), names, 3, 0.45, S).select("qid", "id", "exact")
 
 
 @query("""WITH l AS (SELECT p_size AS pid, arg_min(url, CASE WHEN web THEN 0 ELSE 1 END * 1000000000 + p_partkey) AS link FROM (SELECT p_partkey, p_size, p_partkey % 2 = 0 AS web, 'http://x/' || p_partkey AS url FROM part WHERE p_partkey % 3 > 0) GROUP BY 1)

@@ -102,11 +102,16 @@ def test_cursors():
     assert search.decode_cursor("!!") is None and search.decode_cursor(search.base64.urlsafe_b64encode(b'{"id": "x"}').decode()) is None
 
 
-def test_cover_density():
-    assert search.cover_density(2, [(0, 1, 1.0), (1, 2, 1.0)]) == 1.0
-    assert search.cover_density(2, [(0, 1, 1.0), (1, 4, 1.0)]) == pytest.approx(1 / 3)
-    assert search.cover_density(2, [(0, 1, 1.0)]) == 0.0
-    assert search.cover_density(1, [(0, 1, 0.1), (0, 5, 0.1)]) == pytest.approx(0.2)
+def test_cover_density(spark):
+    def rank(n, hits):
+        rows = [{"pos": p, "weight": w, "i": [i]} for i, p, w in hits]
+        df = spark.createDataFrame([(rows, n)], "h array<struct<pos:int,weight:double,i:array<int>>>, n int")
+        return df.select(search.cover_density(F.col("h"), F.col("n"))).first()[0]
+
+    assert rank(2, [(0, 1, 1.0), (1, 2, 1.0)]) == 1.0
+    assert rank(2, [(0, 1, 1.0), (1, 4, 1.0)]) == pytest.approx(1 / 3)
+    assert rank(2, [(0, 1, 1.0)]) == 0.0
+    assert rank(1, [(0, 1, 0.1), (0, 5, 0.1)]) == pytest.approx(0.2)
 
 
 def test_staged_phases(spark, tmp_path):

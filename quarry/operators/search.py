@@ -51,7 +51,7 @@ class Index(NamedTuple):
     """words: type, id, words array<struct<token, pos, weight>> of each entity, in the order of positions.
 
     lists: the entities of each token in blocks of BLOCK, those with the highest bound first: token, df, block, bound, docs
-    array<struct<type, id>>. A bound is the greatest product of a token's occurrences and the entity's greatest weight.
+    array<struct<type, id>>. A bound is the greatest number of a token's occurrences in an entity times the fields' greatest weight.
     """
 
     words: DataFrame
@@ -84,8 +84,8 @@ def _built(entities: DataFrame, fields: dict[str, str]) -> Index:
         parts.append(_placed(held, at, WEIGHTS[grade]))
         at = at + F.size(held)
     words = entities.select("type", "id", F.concat(*parts).alias("words")).filter(F.size("words") > 0)
-    most = F.array_max(F.transform("words", lambda w: w["weight"]))
-    each = words.select("type", "id", most.alias("w"), F.explode("words").alias("x")).groupBy(F.col("x.token").alias("token"), "type", "id").agg((F.count("*") * F.max("w")).alias("bound"))
+    most = max(WEIGHTS[grade] for grade in fields.values())
+    each = words.select("type", "id", F.explode("words").alias("x")).groupBy(F.col("x.token").alias("token"), "type", "id").agg((F.count("*") * most).alias("bound"))
     df = each.groupBy("token").agg(F.count("*").alias("df"))
     # a token of very many entities is dealt over several runs of blocks
     part = F.pmod(F.xxhash64("type", "id"), F.ceil(F.col("df") / PART))

@@ -32,6 +32,8 @@ from .common import bounded, components, table
 BUCKETS, SEGMENTS = 1 << 18, 64
 #: Ranges of the suffix filter's histogram; partners of one class that a block holds.
 RANGES, BLOCK = 64, 128
+#: Classes of a group of a token's postings, when all pairs are compared.
+GROUP = 1000
 _ONE, _TWO, _THREE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -308,11 +310,21 @@ def _join(docs: DataFrame, k: int, pct: int, id_col: str, text_col: str, all_lin
 
 
 def _all_pairs(shared: DataFrame, pct: int, apart: Column | None = None) -> DataFrame:
-    """home, member: all pairs of classes with a common token that pass the filters, once."""
-    x, y = (shared.select("token", *[F.col(c).alias(f"{e}_{c}") for c in shared.columns if c != "token"]) for e in "xy")
-    fits = (F.col("x_cls") < F.col("y_cls")) & _near_columns("x_", "y_", pct)
-    pairs = x.join(y, "token").filter(fits if apart is None else fits & apart)
-    return table(pairs.select(F.col("x_cls").alias("home"), F.col("y_cls").alias("member")).distinct(), "ngram-pairs")
+    """home, member: all pairs of classes with a common token that pass the filters, once.
+
+    The postings of a token are dealt over groups of some GROUP classes, and each two groups meet under a key of their own:
+    no task has all of a hot token.
+    """
+    rows = shared.groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > GROUP)
+    big = table(rows.select("token", F.ceil(F.col("rows") / GROUP).alias("groups")), "ngram-big")
+    dealt = shared.join(bounded(big, big.count()), "token", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("groups")))
+    side = lambda e, others: dealt.select("token", "own", others.alias("other"), *[F.col(c).alias(f"{e}_{c}") for c in shared.columns if c != "token"])
+    x = side("x", F.explode(F.sequence("own", F.col("groups") - 1))).withColumnsRenamed({"own": "low", "other": "high"})
+    y = side("y", F.explode(F.sequence(F.lit(0), "own"))).withColumnsRenamed({"own": "high", "other": "low"})
+    fits = ((F.col("low") < F.col("high")) | (F.col("x_cls") < F.col("y_cls"))) & _near_columns("x_", "y_", pct)
+    pairs = x.join(y, ["token", "low", "high"]).filter(fits if apart is None else fits & apart)
+    return table(pairs.select(F.least("x_cls", "y_cls").alias("home"), F.greatest("x_cls", "y_cls").alias("member")).filter("home < member").distinct(), "ngram-pairs")
 
 
 def _left_over(shared: DataFrame, labels: DataFrame, reps: DataFrame, pct: int) -> DataFrame:

@@ -249,3 +249,16 @@ def test_ngram_edges(spark):
     d = docs(spark, ["a b c d", "a b c d", LONG, None, "", "q"], [5, 2, 3, 4, 6, 2])
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(d, 3, 90).collect())
     assert got == [(2, 1, 2), (2, 2, 2), (3, 1, 3), (4, 0, 4), (5, 2, 2), (6, 0, 6)]
+
+
+def test_ngram_groups(spark, monkeypatch):
+    """Hot tokens dealt over groups give the links of one group: texts that share a passage, near copies among them."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [f"{passage} " + " ".join(f"d{i}w{j}" for j in range(3 + i % 4)) for i in range(40)] + [passage + " x", passage + " y z"]
+    d = docs(spark, texts)
+    links = lambda: sorted(map(tuple, ngram_join.ngram_links(d, 3, 80).collect()))
+    whole = links()
+    comps = sorted(map(tuple, ngram_join.ngram_components(d, 3, 80).collect()))
+    monkeypatch.setattr(ngram_join, "GROUP", 4)
+    assert links() == whole and len(whole) > 20
+    assert sorted(map(tuple, ngram_join.ngram_components(d, 3, 80).collect())) == comps

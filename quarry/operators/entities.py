@@ -167,19 +167,27 @@ def crates(saved: DataFrame, offers: DataFrame, masters: DataFrame, most: int =
     return listed, top.filter("kind <> 'list'").unionAll(lists)
 
 
-def corpus_search(queries: DataFrame, index: DataFrame, names: DataFrame, least_hits: int, similarity: float, search) -> DataFrame:
-    """Per query: full-text hits; under `least_hits` of them, also names over a trigram similarity; exact names first.
+def corpus_search(queries: DataFrame, index, names: DataFrame, search, limit: int = 8, least_hits: int = 3, similarity: float = 0.45) -> DataFrame:
+    """Per query the best `limit` entities over all types: full-text hits; under `least_hits` of them, similar names as well.
 
-    names(type, id, name); `search` is the module of match() and similar(). Result: qid, type, id, score, exact.
+    names(type, id, name, count); `search` is the module of match_texts() and similar(). A producer's rank gains a hundredth
+    for each of its count, up to fifty. Of each type at most half the limit (three at least) take part, by score, count and
+    id. Exact names come first, then by score. Result: qid, type, id, score, exact, place.
     """
-    hits = search.match(queries, index).select("qid", "type", "id", F.col("raw_rank").alias("score"))
-    n = hits.groupBy("qid").agg(F.count("*").alias("n"))
-    poor = queries.join(n, "qid", "left").filter(F.coalesce("n", F.lit(0)) < least_hits).select("qid", "q")
-    near = search.similar(poor, names.select("id", "name"), similarity).join(names.select("type", "id"), "id")
-    both = hits.unionByName(near.select("qid", "type", "id", F.col("sim").alias("score")))
-    best = both.groupBy("qid", "type", "id").agg(F.max("score").alias("score"))
-    out = best.join(queries, "qid").join(names, ["type", "id"])
-    return out.select("qid", "type", "id", "score", (T.name_key(F.col("q")) == T.name_key(F.col("name"))).alias("exact"))
+    each = max(3, -(-limit // 2))
+    best = lambda df: top_n(df, ["q", "type"], [F.desc("score"), F.desc("count"), F.asc("id")], each, "_n").drop("_n")
+    texts = queries.select("q").distinct()
+    gain = F.when(F.col("type") == "producer", F.least("count", F.lit(50)) / 100).otherwise(0.0)
+    hits = best(search.match_texts(texts, index).join(names, ["type", "id"]).withColumn("score", F.col("raw_rank") + gain).drop("raw_rank"))
+    n = hits.groupBy("q").agg(F.count("*").alias("n"))
+    poor = texts.join(n, "q", "left").filter(F.coalesce("n", F.lit(0)) < least_hits).select(F.col("q").alias("qid"), "q")
+    near = search.similar(poor, names.select(F.struct("type", "id").alias("id"), "name"), similarity)
+    near = near.select(F.col("qid").alias("q"), "id.type", "id.id", F.col("sim").alias("score")).join(names, ["type", "id"])
+    near = best(near).join(hits.select("q", "type", "id"), ["q", "type", "id"], "left_anti")
+    both = hits.select("q", "type", "id", "name", "score").union(near.select("q", "type", "id", "name", "score"))
+    both = both.withColumn("exact", F.lower("name") == F.lower(F.trim("q")))
+    top = top_n(both, ["q"], [F.desc("exact"), F.desc("score"), F.asc("type"), F.asc("id")], limit, "place")
+    return top.join(queries, "q").select("qid", "type", "id", "score", "exact", "place")
 
 
 def counter_dressing(wines: DataFrame, producers: DataFrame, links: DataFrame, pictures: DataFrame) -> DataFrame:

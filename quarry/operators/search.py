@@ -191,19 +191,27 @@ def top_texts(texts: DataFrame, index: Index, limit: int) -> DataFrame:
     return top_n(both, ["q"], order, limit, "place")
 
 
+def boosted(found: DataFrame) -> DataFrame:
+    """found(q, name, raw_rank) with rank: 10 more for the whole name, 2 for its beginning."""
+    q, own = F.lower(F.trim("q")), F.lower("name")
+    return found.withColumn("rank", F.col("raw_rank") + F.when(own == q, 10.0).when(F.startswith(own, q), 2.0).otherwise(0.0))
+
+
+def _relevant(top: DataFrame) -> DataFrame:
+    return top.withColumn("relevance", F.least(F.greatest("rank", F.lit(0.0)), F.lit(1.0)))
+
+
 def ranked(queries: DataFrame, entities: DataFrame, fields: dict[str, str], name: str, limit: int) -> DataFrame:
     """The best `limit` of each query and type by rank, then id, both descending, with has_more; relevance is at most 1.
 
-    rank is raw_rank plus 10 for the whole name, 2 for its beginning. Distinct texts are matched and ranked once. Keyset pages
-    go by the ordered pair (rank, id), so no boosted row is skipped or repeated.
+    Distinct texts are matched and ranked once. Keyset pages go by the ordered pair (rank, id), so no boosted row is skipped
+    or repeated.
     """
     names = entities.select("type", "id", F.col(name).alias("name"))
-    q, own = F.lower(F.trim("q")), F.lower("name")
-    bonus = F.when(own == q, 10.0).when(F.startswith(own, q), 2.0).otherwise(0.0)
-    found = match_texts(queries.select("q").distinct(), index(entities, fields)).join(names, ["type", "id"]).withColumn("rank", F.col("raw_rank") + bonus)
+    found = boosted(match_texts(queries.select("q").distinct(), index(entities, fields)).join(names, ["type", "id"]))
     top = top_n(found, ["q", "type"], [F.desc("rank"), F.desc("id")], limit + 1, "place")
     top = top.withColumn("has_more", F.max("place").over(Window.partitionBy("q", "type")) > limit).filter(F.col("place") <= limit)
-    return top.withColumn("relevance", F.least(F.greatest("rank", F.lit(0.0)), F.lit(1.0))).join(queries, "q")
+    return _relevant(top).join(queries, "q")
 
 
 def fan_out_score(explicit: bool = False) -> Column:
@@ -217,9 +225,16 @@ def fan_out_score(explicit: bool = False) -> Column:
     return weight + F.col("relevance") * 100 + F.when(name == q, 1200).when(F.startswith(name, q), 220).when(F.contains(name, q), 80).otherwise(0)
 
 
-def fan_out(hits: DataFrame, limit: int) -> DataFrame:
-    """hits(q, type, id, name, relevance) of all types -> the best `limit` of each query text by score."""
-    return top_n(hits.withColumn("score", fan_out_score()), ["q"], [F.desc("score"), F.desc("relevance"), F.desc("id")], limit, "place")
+def fan_out(found: DataFrame, limit: int, bad: DataFrame | None = None) -> DataFrame:
+    """found(q, type, id, name, raw_rank) of all types -> the best `limit` of each query text by score.
+
+    Of each type at most half the limit (five at least) by rank, then id, take part; of these, rows of bad(type, id) go, and
+    ids without a verdict stay.
+    """
+    each = _relevant(top_n(boosted(found), ["q", "type"], [F.desc("rank"), F.desc("id")], max(5, -(-limit // 2)), "place").drop("place"))
+    if bad is not None:
+        each = each.join(bad.select("type", "id"), ["type", "id"], "left_anti")
+    return top_n(each.withColumn("score", fan_out_score()), ["q"], [F.desc("score"), F.desc("relevance"), F.desc("id")], limit, "place")
 
 
 def filter_only(masters: DataFrame, limit: int, after: tuple[int, int] | None = None, **wanted) -> DataFrame:

@@ -190,17 +190,24 @@ def crates_tastes(s, d):
     return _crates(s, d)[1]
 
 
-@query("""WITH q AS (SELECT p_partkey AS qid, CASE WHEN p_partkey % 40 = 0 THEN p_name ELSE replace(p_name, 'e', 'a') END AS q FROM part WHERE p_partkey % 20 = 0), n AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1),
-h AS (SELECT qid, q, id, name FROM q JOIN n ON list_has_all(string_split(name, ' '), string_split(q, ' ')[:-2]) AND len(list_filter(string_split(name, ' '), lambda w: starts_with(w, string_split(q, ' ')[-1]))) > 0),
-g AS (SELECT qid, q, id, name, list_distinct(flatten(list_transform(string_split(q, ' '), lambda w: list_transform(range(1::bigint, length(w) + 2), lambda i: substr('  ' || w || ' ', i::bigint, 3))))) AS a, list_distinct(flatten(list_transform(string_split(name, ' '), lambda w: list_transform(range(1::bigint, length(w) + 2), lambda i: substr('  ' || w || ' ', i::bigint, 3))))) AS b FROM q, n WHERE (SELECT count(*) FROM h WHERE h.qid = q.qid) < 3),
-f AS (SELECT qid, q, id, name FROM g WHERE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) >= 0.45)
-SELECT DISTINCT qid, id, q = name AS exact FROM (SELECT * FROM h UNION ALL SELECT * FROM f)""")
+@query("""WITH q AS (SELECT p_partkey AS qid, CASE WHEN p_partkey % 40 = 0 THEN p_name ELSE replace(p_name, 'e', 'a') END AS q FROM part WHERE p_partkey % 20 = 0),
+n AS (SELECT CASE WHEN min(p_partkey) % 2 = 0 THEN 'wine' ELSE 'producer' END AS type, p_name AS name, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY p_name, p_partkey % 3),
+m AS (SELECT qid, q, n.*, 1.0 + CASE type WHEN 'producer' THEN least(n, 50) / 100 ELSE 0 END AS score FROM q JOIN n ON list_has_all(string_split(name, ' '), string_split(q, ' ')[:-2]) AND len(list_filter(string_split(name, ' '), lambda w: starts_with(w, string_split(q, ' ')[-1]))) > 0),
+h AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY qid, type ORDER BY score DESC, n DESC, id) <= 4),
+g AS (SELECT qid, q, n.*, list_distinct(flatten(list_transform(string_split(q, ' '), lambda w: list_transform(range(1::bigint, length(w) + 2), lambda i: substr('  ' || w || ' ', i::bigint, 3))))) AS a, list_distinct(flatten(list_transform(string_split(name, ' '), lambda w: list_transform(range(1::bigint, length(w) + 2), lambda i: substr('  ' || w || ' ', i::bigint, 3))))) AS b FROM q, n WHERE (SELECT count(*) FROM h WHERE h.qid = q.qid) < 3),
+s AS (SELECT qid, q, type, name, id, n, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS score FROM g WHERE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) >= 0.45),
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid, type ORDER BY score DESC, n DESC, id) <= 4),
+u AS (SELECT * FROM h UNION ALL SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.qid = f.qid AND h.type = f.type AND h.id = f.id))
+SELECT qid, type, id, round(score, 6) AS score, q = name AS exact, row_number() OVER (PARTITION BY qid ORDER BY q = name DESC, score DESC, type, id) AS place FROM u QUALIFY place <= 8""")
 def corpus_search(s, d):
-    """Full-text hits; where they are under three, names over a similarity too; exact names are marked."""
-    q = F.when(F.col("p_partkey") % 40 == 0, F.col("p_name")).otherwise(F.replace("p_name", F.lit("e"), F.lit("a")))
-    queries = t(s, d, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("qid"), q.alias("q"))
-    names = t(s, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id")).select(F.lit("wine").alias("type"), "id", "name")
-    return E.corpus_search(queries, S.index(names, {"name": "A"}), names, 3, 0.45, S).select("qid", "id", "exact")
+    """Full-text hits with a producer's count; where they are under three, similar names too; four of a type, exact names first."""
+    n = F.col("p_partkey")
+    q = F.when(n % 40 == 0, F.col("p_name")).otherwise(F.replace("p_name", F.lit("e"), F.lit("a")))
+    queries = t(s, d, "part").filter("p_partkey % 20 = 0").select(n.alias("qid"), q.alias("q"))
+    names = t(s, d, "part").groupBy(F.col("p_name").alias("name"), (n % 3).alias("k")).agg(F.min(n).alias("id"), F.count("*").alias("count"))
+    names = names.select(F.when(F.col("id") % 2 == 0, "wine").otherwise("producer").alias("type"), "id", "name", "count")
+    found = E.corpus_search(queries, S.index(names, {"name": "A"}), names, S)
+    return found.select("qid", "type", "id", F.round("score", 6).alias("score"), "exact", F.col("place").cast("long").alias("place"))
 
 
 @query("""WITH l AS (SELECT p_size AS pid, arg_min(url, CASE WHEN web THEN 0 ELSE 1 END * 1000000000 + p_partkey) AS link FROM (SELECT p_partkey, p_size, p_partkey % 2 = 0 AS web, 'http://x/' || p_partkey AS url FROM part WHERE p_partkey % 3 > 0) GROUP BY 1)

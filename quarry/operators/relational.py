@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .lineage import cut
+from .lineage import written
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -113,17 +113,28 @@ def sample_per_bucket(df: DataFrame, bucket: str, key: str, size: int, seed: int
     return top_n(df.withColumn("_draw", drawn), [bucket], [F.asc("_draw"), F.asc(key)], size, "_rn").drop("_rn", "_draw")
 
 
-def merge_targets(edges: DataFrame) -> DataFrame:
-    """edges(merge_id, keep_id, weight) -> merge_id, final_id: one keep a merge (the heaviest, then the least id), chains followed.
+def merge_order(edges: DataFrame) -> DataFrame:
+    """edges(merge_id, keep_id, weight) -> merge_id, keep_id, final_id, level: one keep a merge (the heaviest, then the least id).
 
-    Each round doubles the length that is followed. A cycle has no last keep and is an error.
+    level is the number of steps to final_id, which is merged into nothing: applied from the highest level down, no merge
+    takes a row that a later one still needs. Each round doubles the steps that are followed, so the rounds grow with the
+    logarithm of the rows. Rows that are left then lead into a cycle, which is an error that names its members.
     """
     best = F.min(F.struct((-F.col("weight")).alias("w"), "keep_id")).alias("x")
-    one = edges.filter("merge_id <> keep_id").groupBy("merge_id").agg(best).select("merge_id", F.col("x.keep_id").alias("final_id"))
-    for _ in range(40):
-        after = one.select(F.col("merge_id").alias("final_id"), F.col("final_id").alias("next"))
-        jumped = cut(one.join(after, "final_id", "left").select("merge_id", F.coalesce("next", "final_id").alias("final_id"), F.col("next").isNotNull().alias("on")))
-        one = jumped.drop("on")
-        if jumped.filter("on").isEmpty():
-            return one
-    raise ValueError("the merge edges hold a cycle")
+    one = edges.filter("merge_id <> keep_id").groupBy("merge_id").agg(best).select("merge_id", F.col("x.keep_id").alias("keep_id"))
+    at = written(one.select("merge_id", "keep_id", F.col("keep_id").alias("final_id"), F.lit(1).cast("long").alias("level"), F.lit(True).alias("on")), "merges")
+    for _ in range(at.count().bit_length() + 1):
+        after = at.select(F.col("merge_id").alias("final_id"), F.col("final_id").alias("next"), F.col("level").alias("more"))
+        on = F.col("next").isNotNull()
+        step = at.join(after, "final_id", "left").select("merge_id", "keep_id", F.coalesce("next", "final_id").alias("final_id"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), on.alias("on"))
+        at = written(step, "merges")
+        if at.filter("on").isEmpty():
+            return at.drop("on")
+    # by now every pointer that goes on lies on a cycle
+    members = [r["final_id"] for r in at.filter("on").select("final_id").distinct().orderBy("final_id").limit(20).collect()]
+    raise ValueError(f"the merge edges hold a cycle through {', '.join(map(str, members))}")
+
+
+def merge_targets(edges: DataFrame) -> DataFrame:
+    """merge_order's merge_id and final_id."""
+    return merge_order(edges).select("merge_id", "final_id")

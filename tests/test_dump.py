@@ -4,6 +4,7 @@ import gzip
 import io as io_module
 import re
 import tarfile
+import time
 import unicodedata
 
 import pytest
@@ -168,6 +169,21 @@ def test_merge_cycle(spark):
 
     chain = spark.createDataFrame([(i, i - 1, 1) for i in range(1, 40)] + [(5, 100, 0)], "merge_id long, keep_id long, weight int")
     assert {r["final_id"] for r in merge_targets(chain).collect()} == {0}
+    for rows_, members in (([(1, 2, 1), (2, 1, 1)], "1, 2"), ([(7, 5, 1), (5, 6, 1), (6, 4, 1), (4, 5, 1), (8, 9, 1), (10, 7, 2)], "4, 5, 6")):
+        began = time.time()
+        with pytest.raises(ValueError, match=f"cycle through {members}$"):
+            merge_targets(spark.createDataFrame(rows_, "merge_id long, keep_id long, weight int"))
+        assert time.time() - began < 30
+
+
+def test_merge_order(spark):
+    """Levels count the steps to the last keep; from the highest down, no row is merged away before it is used."""
+    from quarry.operators.relational import merge_order
+
+    edges = [(3, 2, 1), (2, 1, 1), (9, 2, 1), (5, 4, 1), (5, 1, 3), (6, 6, 1), (8, 7, 2), (8, 3, 2)]
+    got = {r["merge_id"]: (r["keep_id"], r["final_id"], r["level"]) for r in merge_order(spark.createDataFrame(edges, "merge_id long, keep_id long, weight int")).collect()}
+    assert got == {2: (1, 1, 1), 3: (2, 1, 2), 9: (2, 1, 2), 5: (1, 1, 1), 8: (3, 1, 3)}
+    assert merge_order(spark.createDataFrame([], "merge_id long, keep_id long, weight int")).collect() == []
 
 
 def test_readers_and_writers(spark, tmp_path):

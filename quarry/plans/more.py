@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import classify as C, links as L, text as T
+from ..operators import taste as TA
 from ..operators import build as B, geo as G, relational as R, resolve as V, search as S
 from ..sources.io import read_table as t
 from .build import _RELEASES, _releases
@@ -258,3 +259,24 @@ def shelves(s, d):
     out = core.join(n, "shelf", "left").join(shown, "shelf", "left")
     names = F.coalesce(F.array_join(F.transform("l", lambda x: x["p_name"]), ","), F.lit(""))
     return out.select("shelf", "name", F.coalesce("members", F.lit(0)).alias("members"), names.alias("shown"))
+
+
+@query(r"""WITH p AS (SELECT p_partkey AS doc, p_partkey % 3 AS k, p_size % 2 = 0 AS even, 9 + p_size % 5 AS alc, p_partkey::VARCHAR AS n FROM part)
+SELECT doc, ['fr', 'it', 'es'][k + 1] AS lang, 1::BIGINT AS place, CASE k WHEN 0 THEN CASE WHEN even THEN 'vins blancs' ELSE 'vins rouges' END WHEN 1 THEN 'Colle ' || n ELSE 'VINO NUMERO ' || n END AS style,
+CASE k WHEN 0 THEN CASE WHEN even THEN 'vins blancs' ELSE 'vins rouges' END WHEN 1 THEN 'colle ' || n ELSE 'vino numero ' || n END AS style_key,
+CASE WHEN k = 0 THEN CASE WHEN even THEN 'white' ELSE 'red' END WHEN even THEN 'red' ELSE 'white' END AS colour,
+CASE k WHEN 0 THEN 'Les vins ' || CASE WHEN even THEN 'blancs' ELSE 'rouges' END || ' sont secs, au nez de fruits. Lot ' || n || '.' WHEN 1 THEN '- colore: ' || CASE WHEN even THEN 'rosso rubino' ELSE 'giallo dorato' END || ' e intenso;' || chr(10) || '- sapore: da secco a dolce;' || chr(10) || '- titolo alcolometrico volumico totale minimo: ' || alc || ',50% vol.'
+ELSE 'Vista: ' || CASE WHEN even THEN 'rojo' ELSE 'amarillo' END || ' vivo.' || chr(10) || 'Boca: semiseco, lote ' || n || '.' END AS clause,
+CASE k WHEN 0 THEN alc::DOUBLE WHEN 1 THEN alc + 0.5 END AS min_alcohol, CASE k WHEN 0 THEN 'dry' WHEN 1 THEN 'dry to sweet' ELSE 'off-dry' END AS sweetness FROM p""")
+def taste_clauses(s, d):
+    """A rule text for each part in one of three languages, made of its row: section, wrapped lines, label, colour, alcohol, sweetness."""
+    p, n = t(s, d, "part"), F.col("p_partkey").cast("string")
+    even, alc = F.col("p_size") % 2 == 0, (9 + F.col("p_size") % 5).cast("string")
+    pick = lambda a, b: F.when(even, a).otherwise(b)
+    fr = F.concat(F.lit("Titre\nSpécificité du produit\nLes vins "), pick("blancs", "rouges"), F.lit(" sont secs,\nau nez de fruits.\nVersion n° 2\nLot "), n, F.lit(".\n\nLien causal\nLe titre alcoométrique volumique naturel\nminimum de "), alc, F.lit(" %."))
+    it = F.concat(F.lit("Articolo 6\n\nColle "), n, F.lit("\n- colore: "), pick("rosso rubino", "giallo dorato"), F.lit("\n  e intenso;\n\n- sapore: da secco a dolce;\n- titolo alcolometrico volumico totale minimo: "), alc, F.lit(",50% vol.\nArticolo 7"))
+    es = F.concat(F.lit("Características organolépticas\nVINO NUMERO "), n, F.lit("\nVista: "), pick("rojo", "amarillo"), F.lit("\nvivo.\n17\nBoca: semiseco, lote "), n, F.lit(".\nDelimitación de la zona\nVista: fuera"))
+    k = F.col("p_partkey") % 3
+    lang = F.when(k == 0, "fr").when(k == 1, "it").otherwise("es")
+    texts = p.select(F.col("p_partkey").alias("doc"), lang.alias("lang"), F.when(k == 0, fr).when(k == 1, it).otherwise(es).alias("text"))
+    return TA.clauses(texts).withColumn("place", F.col("place").cast("long"))

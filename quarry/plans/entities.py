@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import entities as E, search as S
+from ..operators import graph as GR, entities as E, search as S
 from ..sources.io import read_table as t
 from .catalog import query
 
@@ -250,3 +250,57 @@ def traversal_dispatch(s, d):
     count = lambda key: t(s, d, "lineitem").groupBy(F.col(key).alias("source")).agg(F.count("*").alias("n"))
     scopes = {"artist_masters": lambda: count("l_partkey"), "label_releases": lambda: count("l_suppkey"), "master_releases": lambda: count("l_orderkey"), "master_videos": lambda: count("l_linenumber")}
     return E.dispatch("label_releases", scopes)
+
+
+_TREE = "c AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 10 > 0 THEN c_custkey // 3 END AS parent FROM customer)"
+
+
+@query(f"""WITH RECURSIVE {_TREE}, up AS (SELECT id, 1 AS depth, parent AS ancestor FROM c WHERE parent IS NOT NULL UNION ALL SELECT up.id, depth + 1, c.parent FROM up JOIN c ON c.id = up.ancestor WHERE c.parent IS NOT NULL),
+n AS (SELECT up.id, list(name ORDER BY depth) AS chain FROM up JOIN c ON c.id = ancestor GROUP BY 1), d AS (SELECT ancestor AS id, count(*) AS descendants FROM up GROUP BY 1),
+k AS (SELECT parent AS id, list(name ORDER BY name) AS children FROM (SELECT parent, name, row_number() OVER (PARTITION BY parent ORDER BY name, id) AS rn FROM c WHERE parent IS NOT NULL) WHERE rn <= 50 GROUP BY 1)
+SELECT c.id, c.name, p.name AS parent_name, coalesce(array_to_string(chain, ' < '), '') AS chain, coalesce(array_to_string(children, ','), '') AS children, coalesce(descendants, 0) AS descendants
+FROM c LEFT JOIN c p ON p.id = c.parent LEFT JOIN n ON n.id = c.id LEFT JOIN d ON d.id = c.id LEFT JOIN k ON k.id = c.id""")
+def label_hierarchy(s, d):
+    """Each label with its parent, the chain above it, its first fifty sublabels by name and the number below it, of any depth."""
+    n = F.col("c_custkey")
+    nodes = t(s, d, "customer").select(n.alias("id"), F.col("c_name").alias("name"), F.when(n % 10 > 0, F.floor(n / 3)).alias("parent"))
+    return GR.hierarchy(nodes).select("id", "name", "parent_name", F.array_join("chain", " < ").alias("chain"), F.array_join("children", ",").alias("children"), "descendants")
+
+
+_MEMBERS = "m AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS a FROM lineitem WHERE l_partkey % 3 > 0 AND l_suppkey <> l_partkey)"
+
+
+@query(f"""WITH {_MEMBERS}, e AS (SELECT a AS id, 'group' AS kind, g AS other FROM m WHERE a % 20 = 0 UNION ALL SELECT g, 'member', a FROM m WHERE g % 20 = 0
+UNION ALL SELECT DISTINCT x.a, 'bandmate', y.a FROM m x JOIN m y ON x.g = y.g AND x.a <> y.a WHERE x.a % 20 = 0), n AS (SELECT l_partkey AS other, count(DISTINCT l_orderkey) AS masters FROM lineitem GROUP BY 1)
+SELECT id, kind, other, masters, row_number() OVER (PARTITION BY id, kind ORDER BY masters DESC, p_name, other) AS place FROM e JOIN n USING (other) JOIN part ON p_partkey = other""")
+def artist_groups(s, d):
+    """Groups, members and bandmates of every twentieth artist, with their masters in scope."""
+    li = t(s, d, "lineitem")
+    members = li.filter("l_partkey % 3 > 0 AND l_suppkey <> l_partkey").select(F.col("l_suppkey").alias("group_id"), F.col("l_partkey").alias("member_id"))
+    artists = t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    asked = members.select(F.explode(F.array("group_id", "member_id")).alias("id")).distinct().filter("id % 20 = 0")
+    found = GR.group_edges(asked, members, artists, li.select(F.col("l_partkey").alias("artist_id"), F.col("l_orderkey").alias("master_id")))
+    return found.select("id", "kind", "other", "masters", F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH RECURSIVE sm AS (SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 497000), li AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT id FROM sm)),
+bad AS (SELECT 'artist' AS type, p_partkey AS id FROM part WHERE p_partkey % 11 = 0 UNION ALL SELECT 'label', s_suppkey FROM supplier WHERE s_suppkey % 7 = 0),
+e AS (SELECT 'label' AS type, s_suppkey AS id, 'parent' AS kind, 'label' AS to_type, s_suppkey // 2 AS to_id FROM supplier WHERE s_suppkey > 1 UNION ALL SELECT 'artist', p_partkey, 'alias', 'artist', p_partkey // 2 FROM part WHERE p_size > 25 UNION ALL SELECT 'artist', p_partkey, 'group', 'artist', p_partkey // 3 FROM part WHERE p_size <= 10),
+s AS (SELECT DISTINCT 'artist' AS type, l_partkey AS id FROM li UNION SELECT DISTINCT 'label', l_suppkey FROM li),
+c AS (SELECT type, id, 0 AS level FROM s WHERE (type, id) NOT IN (SELECT type, id FROM bad) UNION SELECT to_type, to_id, level + 1 FROM c JOIN e USING (type, id) WHERE (to_type, to_id) NOT IN (SELECT type, id FROM bad) AND level < 40),
+f AS (SELECT type, id, min(level) AS level FROM c GROUP BY 1, 2),
+k AS (SELECT f.type, f.id, f.level, min(e.kind) AS kind FROM f LEFT JOIN (SELECT e.*, g.level AS l FROM e JOIN f g ON g.type = e.type AND g.id = e.id) e ON e.to_type = f.type AND e.to_id = f.id AND e.l = f.level - 1 GROUP BY 1, 2, 3),
+n AS (SELECT type, level, kind, count(*) AS n FROM k GROUP BY 1, 2, 3)
+SELECT type, level::INTEGER AS level, kind, n, (SELECT sum(m.n)::BIGINT FROM n m WHERE m.type = n.type AND m.level <= n.level) AS total FROM n""")
+def scope_closure_sizes(s, d):
+    """Artists and labels of a scope, closed over aliases, groups and label parents with the quality gate in each round, by level and edge."""
+    scope = t(s, d, "orders").filter("o_totalprice > 497000").select(F.col("o_orderkey").alias("id"))
+    li, part, n = t(s, d, "lineitem"), t(s, d, "part"), F.col("p_partkey")
+    credits = li.select(F.col("l_orderkey").alias("master_id"), F.col("l_partkey").alias("artist_id"))
+    places = li.select(F.col("l_orderkey").alias("release_id"), F.col("l_suppkey").alias("label_id"))
+    labels = t(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") > 1, F.floor(F.col("s_suppkey") / 2)).alias("parent"))
+    edge = lambda rows, kind, k: rows.select(F.lit("artist").alias("type"), n.alias("id"), F.lit(kind).alias("kind"), F.lit("artist").alias("to_type"), F.floor(n / k).alias("to_id"))
+    graph = edge(part.filter("p_size > 25"), "alias", 2).unionAll(edge(part.filter("p_size <= 10"), "group", 3))
+    bad = part.filter(n % 11 == 0).select(F.lit("artist").alias("type"), n.alias("id")).unionAll(labels.filter("id % 7 = 0").select(F.lit("label"), "id"))
+    found = GR.scope_closure(scope, scope, credits, credits.limit(0).withColumnRenamed("master_id", "release_id"), places, labels, bad, graph)
+    return GR.closure_sizes(found)

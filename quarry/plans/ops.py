@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import build as B, feeds, lineage, relational as R
+from ..operators.lineage import shared_dir
 from ..sources.io import read_table as t
+from ..streaming.counters import count_into, read_counts
 from .catalog import query
 
 
@@ -207,3 +211,13 @@ def label_linkouts(s, d):
     made = F.array(F.concat(F.lit("https://label"), n, F.lit(".bandcamp.com/album/x")), F.concat(F.lit("https://www.instagram.com/label"), n, F.lit("/")), F.lit("https://instagram.com/p/abc"), F.when(F.col("s_suppkey") % 2 == 0, "http://instagram.com/A").otherwise("http://example.org"))
     urls = t(s, d, "supplier").select(F.col("s_suppkey").alias("label"), F.explode(made).alias("url"))
     return feeds.best_linkouts(urls, "label").select("label", "provider", "url")
+
+
+@query("""SELECT event_type, user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def stream_counts(s, d):
+    """The events as a stream: counters of each micro-batch merged below a shared folder, read back as totals."""
+    at = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    events = s.readStream.schema(t(s, d, "events").schema).parquet(f"{d}/events.parquet*")
+    keys = ["event_type", "user_id"]
+    count_into(events, f"{at}/counts", f"{at}/checkpoint", keys, {"n": F.lit(1), "total": F.col("value")}).awaitTermination()
+    return read_counts(s, f"{at}/counts", keys).select(*keys, "n", F.round("total", 4).alias("total"))

@@ -15,6 +15,13 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def keep_least(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row of each key that is least in the named columns (nulls first), then in all others: a minimum that is combined before the shuffle."""
+    rest = [*order, *[c for c in df.columns if c not in (*keys, *order)]]
+    one = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_x"))
+    return one.select(*[F.col(c) if c in keys else F.col(f"_x.{c}").alias(c) for c in df.columns])
+
+
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each key, numbered from 1; Spark's group limit prunes before the shuffle."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import build as B, relational as R
+from ..operators.lineage import written
 from ..sources.io import read_table as t
 from .catalog import query
 
@@ -13,14 +14,15 @@ st AS (SELECT release, p_type AS style, r.* EXCLUDE (release) FROM r JOIN part O
 
 
 def _releases(s, d) -> DataFrame:
-    li = R.keep_first(t(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], [F.asc(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag")])
+    used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag"]
+    li = R.keep_least(t(s, d, "lineitem").select(*used), used[:2], used[2:])
     master = F.when(F.col("l_orderkey") % 11 > 0, F.col("l_orderkey"))
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("release"), master.alias("master"), F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("country"), (F.col("l_linenumber") == 2).alias("is_main"), "l_suppkey", "l_partkey", "l_quantity", "l_linenumber")
 
 
-def _styles(s, d) -> DataFrame:
+def _styles(s, d, releases: DataFrame | None = None) -> DataFrame:
     part = t(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("style"))
-    return _releases(s, d).select("release", "l_partkey").join(part, "l_partkey").select("release", "style")
+    return (_releases(s, d) if releases is None else releases).select("release", "l_partkey").join(part, "l_partkey").select("release", "style")
 
 
 _SCOPE = f"""{_RELEASES}, seed AS (SELECT DISTINCT release FROM st WHERE style IN ('PROMO', 'SMALL') AND year BETWEEN 1995 AND 2000),
@@ -31,7 +33,8 @@ sr AS (SELECT release FROM r WHERE year BETWEEN 1995 AND 2000 AND master IN (SEL
 
 
 def _scope(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    releases, styles = _releases(s, d), _styles(s, d)
+    releases = written(_releases(s, d), "releases")  # used six times below
+    styles = _styles(s, d, releases)
     wanted = styles.filter(F.col("style").isin("PROMO", "SMALL"))
     seeds = releases.filter(F.col("year").between(1995, 2000)).join(wanted, "release", "left_semi").select("release").distinct()
     masters = t(s, d, "orders").select(F.col("o_orderkey").alias("master"), F.year("o_orderdate").alias("year"))

@@ -274,15 +274,51 @@ def fuzzy(queries: DataFrame, names: DataFrame, kind: str) -> DataFrame:
     return top_n(hits, ["qid"], [F.desc("sim"), F.asc("id")], most, "place").withColumn("type", F.lit(kind))
 
 
-def headline(text: Column, query: Column, width: int = 60, most: int = 3) -> Column:
-    """Up to `most` pieces of `width` words that begin some words before a hit, joined by ' ... '; the beginning without any hit."""
-    tokens = T.query_tokens(query)
-    words = F.split(F.substring(text, 1, 200_000), r"\s+")
-    plain = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]+", ""))
-    hits = F.filter(F.transform(plain, lambda w, i: F.when(F.exists(tokens, lambda t: F.startswith(w, t)), i)), lambda i: i.isNotNull())
-    begins = F.transform(hits, lambda i: F.floor(i / width).cast("int") * width)
-    pieces = F.transform(F.slice(F.array_distinct(begins), 1, most), lambda b: F.array_join(F.slice(words, b + 1, width), " "))
-    return F.when(F.size(hits) > 0, F.array_join(pieces, " ... ")).otherwise(F.array_join(F.slice(words, 1, width), " "))
+def headline(texts: DataFrame, query: Column, least: int = 25, width: int = 60, most: int = 3) -> DataFrame:
+    """texts(id, text) -> id, headline: up to `most` fragments around the smallest covers of the query's words, joined by ' ... '.
+
+    A word is a hit of a query token that it begins with. Of the covers of all tokens (of single hits, where a text lacks one)
+    that begin in the same stretch of `width` words the smallest counts. The smallest covers first, each becomes a fragment of
+    `least` words around it, or as long as the cover and at most `width`, unless it overlaps one that is chosen already;
+    fragments stand in the order of the text. A text without any hit gives its first `width` words.
+    """
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    rows = texts.select("id", words.alias("w"), T.query_tokens(query).alias("t"))
+    plain = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]+", "")
+    which = lambda w: F.filter(F.transform("t", lambda x, i: F.when(F.startswith(w, x), i)), lambda i: i.isNotNull())
+    rows = rows.select("id", "w", "t", F.filter(F.transform("w", lambda w, i: F.struct(i.alias("pos"), which(plain(w)).alias("i"))), lambda h: F.size(h["i"]) > 0).alias("h"))
+    known = F.size(F.array_distinct(F.flatten(F.transform("h", lambda h: h["i"])))) == F.size("t")
+
+    state = "struct<first:int,last:array<int>,out:array<struct<b:int,e:int>>>"
+    begin = F.struct(F.lit(0).alias("first"), F.array_repeat(F.lit(-1), F.when(known, F.size("t")).otherwise(1)).alias("last"), F.array().cast("array<struct<b:int,e:int>>").alias("out")).cast(state)
+
+    def step(a: Column, h: Column) -> Column:
+        last = F.transform(a["last"], lambda x, i: F.when(~known | F.array_contains(h["i"], i), h["pos"]).otherwise(x))
+        return F.transform(F.array(F.struct(last.alias("last"), F.array_min(last).alias("b"))), lambda n: _kept_cover(a, n, h["pos"], width).cast(state))[0]
+
+    covers = F.aggregate("h", begin, step, lambda a: F.array_sort(F.transform(a["out"], lambda c: F.struct((c["e"] - c["b"]).alias("size"), c["b"].alias("b")))))
+    rows = rows.select("id", "w", covers.alias("c"))
+    length = lambda c: F.least(F.lit(width), F.greatest(F.lit(least), c["size"] + 1))
+    start = lambda c: F.greatest(F.lit(0), F.least(c["b"] - F.floor((length(c) - c["size"] - 1) / 2).cast("int"), F.size("w") - length(c)))
+    pieces = F.transform("c", lambda c: F.struct(F.greatest(F.lit(0), start(c)).alias("s"), length(c).alias("n")))
+    free = lambda a, p: ~F.exists(a, lambda x: (x["s"] < p["s"] + p["n"]) & (p["s"] < x["s"] + x["n"]))
+    none = F.array().cast("array<struct<s:int,n:int>>")
+    chosen = F.aggregate(pieces, none, lambda a, p: F.when((F.size(a) < most) & free(a, p), F.concat(a, F.array(p))).otherwise(a))
+    rows = rows.select("id", "w", F.array_sort(chosen).alias("p"))
+    shown = F.array_join(F.transform("p", lambda p: F.array_join(F.slice("w", p["s"] + 1, p["n"]), " ")), " ... ")
+    return rows.select("id", F.when(F.size("p") > 0, shown).otherwise(F.array_join(F.slice("w", 1, width), " ")).alias("headline"))
+
+
+def _kept_cover(a: Column, n: Column, pos: Column, width: int) -> Column:
+    """The state after a hit: a new cover is kept unless the last one kept begins in the same stretch and is no longer."""
+    new = (n["b"] >= 0) & (n["b"] >= a["first"])
+    cover = F.struct(n["b"].alias("b"), pos.alias("e"))
+    old = F.try_element_at(a["out"], F.lit(-1))
+    same = F.coalesce(F.floor(old["b"] / width) == F.floor(n["b"] / width), F.lit(False))
+    better = pos - n["b"] < old["e"] - old["b"]
+    front = F.when(same & better, F.slice(a["out"], 1, F.size(a["out"]) - 1)).otherwise(a["out"])
+    out = F.when(new & (~same | better), F.concat(front, F.array(cover))).otherwise(a["out"])
+    return F.struct(F.when(new, n["b"] + 1).otherwise(a["first"]).alias("first"), n["last"].alias("last"), out.alias("out"))
 
 
 def entities_of(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:

@@ -95,3 +95,39 @@ def test_bounds_hold(spark, data):
         key = (r["q"], r["x"]["type"], r["x"]["id"])
         top[key] = max(top.get(key, 0), r["b"])
     assert all(r <= top[key] + 1e-9 for key, r in want.items()) and set(want) <= set(top)
+
+
+def fragments(text, asked, least=25, width=60, most=3):
+    w = text.split()
+    hits = [(p, {i for i, a in enumerate(asked) if re.sub(r"[\W_]+", "", x.lower()).startswith(a)}) for p, x in enumerate(w)]
+    hits = [h for h in hits if h[1]]
+    every = set().union(*[i for _, i in hits]) == set(range(len(asked)))
+    covers, first = [], 0
+    for k, (e, _) in enumerate(hits):
+        begins = [max((p for p, i in hits[: k + 1] if a in i), default=-1) for a in range(len(asked))] if every else [e]
+        if min(begins) >= first:
+            covers.append((min(begins), e))
+            first = min(begins) + 1
+    best = {}
+    for b, e in covers:
+        if b // width not in best or e - b < best[b // width][0]:
+            best[b // width] = (e - b, b)
+    chosen = []
+    for size, b in sorted(best.values()):
+        n = min(width, max(least, size + 1))
+        s = max(0, min(b - (n - size - 1) // 2, len(w) - n))
+        if len(chosen) < most and all(not (x < s + n and s < x + m) for x, m in chosen):
+            chosen.append((s, n))
+    return " ... ".join(" ".join(w[s : s + n]) for s, n in sorted(chosen)) if chosen else " ".join(w[:width])
+
+
+def test_headline(spark):
+    """Fragments around the smallest covers, of texts with many, few and no covers, against a plain search."""
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choices(["alpha", "Beta,", "betas", "x", "(alphabet)"], weights=[1, 1, 1, 60, 1], k=rnd.randrange(500))) for _ in range(60)]
+    texts += ["", " \n ", "alpha beta", "alpha " + "x " * 90 + "beta", "beta " * 200, "x " * 300]
+    d = spark.createDataFrame(list(enumerate(texts)) + [(999, None)], "id long, text string")
+    for q in ("alpha beta", "alpha", "zeta", "beta alpha zeta"):
+        got = {r["id"]: r["headline"] for r in S.headline(d, F.lit(q)).collect()}
+        assert got.pop(999) is None
+        assert got == {i: fragments(t, q.split()) for i, t in enumerate(texts)}

@@ -273,6 +273,41 @@ def yield_pairs(text: Column) -> Column:
     return F.when(text.rlike(r"(?i)rendement\s{2,}rendement\s+butoir"), F.array_distinct(good)).otherwise(F.array().cast("array<struct<label:string,base_hl:int,limit_hl:int>>"))
 
 
+#: Clauses of rule texts that state yields, and their values (fixed values).
+YIELD_CLAUSE = r"(?iu)(?<!rendement et )\ble\s+rendement\s+(?:butoir\s+)?vis[ée]s?(?=\s)"
+YIELD_LIMIT = r"(?iu)^le\s+rendement\s+butoir"
+YIELD_VALUE = r"(?iu)(\d{2,3})\s+hectolitres\s+par\s+hectare(?:\s+pour\s+les\s+(vins\s+[^.;,]*?))?(?=\s+et\s+\d|\s*[.;,]|\s*$)"
+YIELD_ROW = r"(?m)^[ \t]*(\S.*?\S)[ \t]{3,}(\d{2,3})[ \t]*$"
+YIELD_DRAFT = r"\b\d{2,3}\s+\d{2,3}\s+hectolitres"
+
+
+def prose_yields(texts: DataFrame) -> DataFrame:
+    """texts(doc, text) that state the base yield and its limit in clauses of their own -> doc, label, base_hl, limit_hl.
+
+    A clause goes on to the next one or a numbered heading, 1600 characters at most. Its values are those of its prose, and,
+    where it ends in "fixés à :", the rows of a table with one column; the last value of a label counts. Base and limit of one
+    label pair, and a single limit pairs with every base. A document is refused as a whole where a clause has two figures side
+    by side (a draft), or a base finds no limit that is not below it. label is null where a value has none.
+    """
+    cut = F.split(F.regexp_replace("text", f"(?={YIELD_CLAUSE})", "\x01"), "\x01")
+    blocks = texts.select("doc", F.posexplode(cut).alias("n", "block")).filter(F.col("block").rlike("^" + YIELD_CLAUSE))
+    block = F.get(F.split(F.substring("block", 1, 1600), r"\n\s*(?:\d+°|[IVX]+\.?)\s*-\s"), F.lit(0))
+    blocks = blocks.select("doc", "n", block.alias("block"), F.col("block").rlike(YIELD_LIMIT).alias("limit"))
+    flat = F.regexp_replace("block", r"\s+", " ")
+    none = F.array().cast("array<struct<label:string,value:int>>")
+    said = lambda c, p, value, label: F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, p, label).alias("label"), F.regexp_extract(m, p, value).cast("int").alias("value")))
+    rows = F.filter(said(F.col("block"), YIELD_ROW, 2, 1), lambda x: ~x["label"].rlike("(?i)hectolitres|article|rendement"))
+    both = F.concat(said(flat, YIELD_VALUE, 1, 2), F.when(flat.rlike(r"(?iu)fix[ée]s?\s+[àa]\s*:"), rows).otherwise(none))
+    label = F.lower(F.trim(F.regexp_replace(F.regexp_replace("x.label", r"\s+", " "), "(?iu)susceptibles de b[ée]n[ée]ficier de la mention", "mention")))
+    values = blocks.select("doc", "n", "limit", F.posexplode(both).alias("k", "x")).select("doc", "limit", F.struct("n", "k").alias("at"), label.alias("label"), F.col("x.value").alias("value")).filter("value BETWEEN 10 AND 150")
+    one = values.groupBy("doc", "limit", "label").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
+    base, limit = one.filter("NOT limit"), one.filter("limit").select("doc", "label", F.col("value").alias("limit_hl"))
+    only = limit.groupBy("doc").agg(F.min("limit_hl").alias("only"), F.count("*").alias("limits")).filter("limits = 1")
+    pairs = base.join(limit, ["doc", "label"], "left").join(only, "doc", "left").withColumn("limit_hl", F.coalesce("limit_hl", "only"))
+    bad = blocks.filter(F.col("block").rlike(YIELD_DRAFT)).select("doc").union(pairs.filter("limit_hl IS NULL OR value > limit_hl").select("doc"))
+    return pairs.join(bad.distinct(), "doc", "left_anti").select("doc", F.nullif("label", F.lit("")).alias("label"), F.col("value").alias("base_hl"), "limit_hl")
+
+
 def trusted_yields(rules: Column, register: Column) -> Column:
     """Labels are short and hold no figure, and a limit lies within a quarter of the register's (where it has one)."""
     plain = F.forall(rules, lambda r: r["label"].isNull() | ((F.length(r["label"]) <= 60) & ~r["label"].rlike("[0-9]")))

@@ -246,3 +246,19 @@ def crosswalk_links(s, d):
     urls = t(s, d, "part").select(n.alias("url"), F.when(n % 3 > 0, F.concat(F.lit("https://x.org/artist/"), n.cast("string"))).otherwise("https://x.org/label/1").alias("address"))
     out = V.crosswalk(links, types, entities, urls, "artist/([0-9]+)", ["tA"])
     return out.withColumn("gid", F.concat(F.lit("g"), F.regexp_extract("gid", "^g0*([0-9]+)$", 1)))
+
+
+@query("""WITH p AS (SELECT p_partkey AS doc, p_partkey % 5 AS k, 30 + p_size % 20 AS b, 45 + p_size % 20 AS l FROM part)
+SELECT doc, 'vins rouges' AS label, b::INTEGER AS base_hl, (CASE WHEN k = 2 THEN l + 10 ELSE l END)::INTEGER AS limit_hl FROM p WHERE k IN (0, 1, 2) UNION ALL SELECT doc, 'vins blancs', b + 5, l + 10 FROM p WHERE k IN (0, 2) UNION ALL SELECT doc, NULL, b, l FROM p WHERE k = 3""")
+def yield_prose(s, d):
+    """A rule text for each part: yields of two colours in prose, in tables of one column, one limit for all, none named, and drafts."""
+    p = t(s, d, "part")
+    k, b = F.col("p_partkey") % 5, 30 + F.col("p_size") % 20
+    text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    two = text("1° - Rendement\nLe rendement visé à l'article D. 645-7 est fixé à ", b, " hectolitres par hectare pour les\nvins rouges et ", b + 5, " hectolitres par hectare pour les vins blancs.\n2°- Rendement butoir\nLe rendement butoir visé à l'article est fixé à ", b + 15, " hectolitres par hectare pour les vins rouges, ", b + 25, " hectolitres par hectare pour les vins blancs.\n")
+    table = text("Le rendement visé est fixé à :\n  Vins rouges      ", b, "\n\nLe rendement butoir visé est fixé à :\n  Vins  rouges      ", b + 15, "\n  Article 3     99\nIV. - Autre\n  Vins rouges      99\n")
+    single = text("Le rendement visé est fixé à ", b, " hectolitres par hectare pour les vins rouges et ", b + 5, " hectolitres par hectare pour les vins blancs.\nLe rendement butoir visé est fixé à ", b + 25, " hectolitres par hectare pour les vins rouges et blancs.")
+    plain = text("Le rendement visé est fixé à ", b, " hectolitres par hectare.\nLe rendement butoir visé est fixé à ", b + 15, " hectolitres par hectare.")
+    draft = text("Le rendement visé est fixé à ", b, " ", b + 2, " hectolitres par hectare.\nLe rendement butoir visé est fixé à ", b + 15, " hectolitres par hectare.")
+    body = F.when(k == 0, two).when(k == 1, table).when(k == 2, single).when(k == 3, plain).otherwise(draft)
+    return V.prose_yields(p.select(F.col("p_partkey").alias("doc"), body.alias("text")))

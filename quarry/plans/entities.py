@@ -5,9 +5,12 @@ Persons are parts (credited on lineitem), masters are orders, labels are supplie
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import graph as GR, entities as E, search as S
+from ..operators.relational import top_n
 from ..sources.io import read_table as t
 from .catalog import query
 
@@ -244,12 +247,34 @@ def grapes_by_naming(s, d):
     return E.grapes_by_naming(li.join(t(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("grape")), "l_partkey"), "l_suppkey")
 
 
-@query("SELECT l_suppkey AS source, count(*) AS n FROM lineitem GROUP BY 1")
+@query("""WITH m AS (SELECT o_orderkey AS id, year(o_orderdate) AS year FROM orders), x AS (SELECT DISTINCT 'artist_masters' AS scope, l_partkey AS source, l_orderkey AS target, -year AS a, l_orderkey AS b FROM lineitem JOIN m ON id = l_orderkey WHERE l_partkey % 20 = 0
+UNION ALL SELECT DISTINCT 'label_releases', l_suppkey, l_orderkey, 0, l_orderkey FROM lineitem WHERE l_suppkey % 20 = 0
+UNION ALL SELECT 'master_releases', l_orderkey, l_orderkey * 10 + l_linenumber, min(CASE WHEN l_linenumber = 2 THEN 0 ELSE year(l_shipdate) END), l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY l_orderkey, l_linenumber
+UNION ALL SELECT 'master_videos', o_orderkey, event_id, CASE event_type WHEN 'view' THEN 0 ELSE 1 END, event_id FROM orders JOIN events ON user_id = o_custkey AND event_type IN ('view', 'click') WHERE o_orderkey % 20 = 0)
+SELECT scope, source, target, place FROM (SELECT *, row_number() OVER (PARTITION BY scope, source ORDER BY a, b) AS place FROM x) WHERE place <= 50""")
 def traversal_dispatch(s, d):
-    """One of four scopes by name."""
-    count = lambda key: t(s, d, "lineitem").groupBy(F.col(key).alias("source")).agg(F.count("*").alias("n"))
-    scopes = {"artist_masters": lambda: count("l_partkey"), "label_releases": lambda: count("l_suppkey"), "master_releases": lambda: count("l_orderkey"), "master_videos": lambda: count("l_linenumber")}
-    return E.dispatch("label_releases", scopes)
+    """The four traversals by name, each with its own tables and order: the first fifty of every twentieth source."""
+    li, n = t(s, d, "lineitem"), F.col
+    years = t(s, d, "orders").select(n("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("year"))
+    wanted = lambda df, key: df.filter(n(key) % 20 == 0)
+
+    def artist_masters():
+        return wanted(li, "l_partkey").join(years, "l_orderkey").select(n("l_partkey").alias("source"), n("l_orderkey").alias("target"), (-n("year")).alias("a")).distinct()
+
+    def label_releases():
+        return wanted(li, "l_suppkey").select(n("l_suppkey").alias("source"), n("l_orderkey").alias("target"), F.lit(0).alias("a")).distinct()
+
+    def master_releases():
+        main_first = F.min(F.when(n("l_linenumber") == 2, 0).otherwise(F.year("l_shipdate")))
+        return wanted(li, "l_orderkey").groupBy(n("l_orderkey").alias("source"), (n("l_orderkey") * 10 + n("l_linenumber")).alias("target")).agg(main_first.alias("a"))
+
+    def master_videos():
+        videos = t(s, d, "events").filter(n("event_type").isin("view", "click")).select(n("user_id").alias("o_custkey"), n("event_id").alias("target"), F.when(n("event_type") == "view", 0).otherwise(1).alias("a"))
+        return wanted(t(s, d, "orders"), "o_orderkey").select(n("o_orderkey").alias("source"), "o_custkey").join(videos, "o_custkey").select("source", "target", "a")
+
+    scopes = {f.__name__: f for f in (artist_masters, label_releases, master_releases, master_videos)}
+    found = [top_n(E.dispatch(name, scopes), ["source"], [F.asc("a"), F.asc("target")], 50, "place").select(F.lit(name).alias("scope"), n("source").cast("long").alias("source"), n("target").cast("long").alias("target"), n("place").cast("long").alias("place")) for name in scopes]
+    return reduce(DataFrame.union, found)
 
 
 _TREE = "c AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 10 > 0 THEN c_custkey // 3 END AS parent FROM customer)"

@@ -175,20 +175,13 @@ def crosswalk_first_wins(s, d):
     return first.groupBy("label").agg(F.min("artist").alias("artist")).select("artist", "label")
 
 
-@query("""SELECT kind, least(n, 100) AS n, n > 100 AS capped FROM (SELECT 'part' AS kind, count(*) AS n FROM part WHERE contains(p_name, 'red') UNION ALL SELECT 'customer', count(*) FROM customer WHERE contains(c_name, '1') UNION ALL SELECT 'supplier', count(*) FROM supplier WHERE contains(s_name, '1'))""")
-def type_counts_capped(s, d):
-    """Hits of each type, shown up to 100: the cap is the feature, and lets a scan end early."""
-    hits = [("part", "p_name", "red"), ("customer", "c_name", "1"), ("supplier", "s_name", "1")]
-    out = None
-    for name, col, text in hits:
-        one = t(s, d, name).filter(F.contains(col, F.lit(text))).select(F.lit(1)).limit(101).agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), F.least("n", F.lit(100)).cast("long").alias("n"), (F.col("n") > 100).alias("capped"))
-        out = one if out is None else out.unionAll(one)
-    return out
-
-
-@query("""SELECT DISTINCT p_name FROM part WHERE starts_with(p_name, 'b') OR contains(p_name, ' b')""")
+@query("""SELECT DISTINCT prefix, p_name FROM part JOIN (SELECT DISTINCT substr(p_name, 1, 2) AS prefix FROM part WHERE p_partkey % 20 = 0) ON starts_with(p_name, prefix) OR contains(p_name, ' ' || prefix)""")
 def typeahead_prefix(s, d):
-    return t(s, d, "part").select("p_name").filter(T.prefix_match(F.split("p_name", " "), ["b"])).distinct()
+    """The names with a word that begins as every twentieth name does: an equi-join on the words' beginnings."""
+    p = t(s, d, "part").select("p_partkey", "p_name")
+    asked = p.filter("p_partkey % 20 = 0").select(F.substring("p_name", 1, 2).alias("prefix")).distinct()
+    begins = F.transform(F.split("p_name", " "), lambda w: F.substring(w, 1, 2))
+    return p.select("p_name").distinct().select("p_name", F.explode(F.array_distinct(begins)).alias("prefix")).join(asked, "prefix").select("prefix", "p_name")
 
 
 @query("""SELECT lang, quality, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lang), 4) AS share FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2""")

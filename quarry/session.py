@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark import SparkConf
 from pyspark.sql import SparkSession
@@ -29,4 +30,6 @@ def get_spark(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         wanted |= {"spark.master": master}
         if master.startswith("local"):
             wanted |= {"spark.sql.shuffle.partitions": str(partitions), "spark.driver.memory": "8g", "spark.ui.enabled": "false"}
+        # workers import the package from where it lies, whatever the working directory; installed, it is there anyway
+        wanted["spark.executorEnv.PYTHONPATH"] = os.pathsep.join(filter(None, [str(Path(__file__).resolve().parents[1]), os.environ.get("PYTHONPATH")]))
     return SparkSession.builder.config(map=wanted).getOrCreate()

@@ -27,6 +27,8 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import bounded
+
 WORD = re.compile(r"\w+")
 WINDOW, LEVEL, LIFTS = 8, 9, (5.0, 10.0, 20.0, 40.0)
 WINDOWS, ORDINARY, TOXIC = 50_000, 8192, 4096
@@ -140,8 +142,8 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 3000,
     chosen = F.lit(False)
     for y, n in counts.items():
         chosen = chosen | ((F.col("toxic") == y) & (draw < min(1.0, sample / n)))
-    ids = known.filter(chosen)  # some 2 * sample rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
+    ids = known.filter(chosen)  # some 2 * sample documents, of any number of label rows
+    rows = docs.select("doc_id", "text").join(bounded(ids, ids.count()), "doc_id").filter(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
     rows = rows.orderBy("doc_id", "toxic").limit(4 * sample)
     share = tuple(max(1.0, counts.get(y, 0) / sample) for y in (0, 1))
     held = spark.sparkContext.broadcast(fit([(r["text"], r["toxic"]) for r in rows.collect()], share))

@@ -219,3 +219,50 @@ def dispatch(scope: str, scopes: dict[str, Callable[..., DataFrame]], **params)
     if scope not in scopes:
         raise ValueError(f"unknown scope {scope}; known are {', '.join(sorted(scopes))}")
     return scopes[scope](**params)
+
+
+#: Axes of scenes in the order of a list, others after them (fixed values).
+AXES = ["geography", "cluster", "sound", "era", "bridge"]
+
+
+def scene_details(scenes: DataFrame, members: DataFrame, labels: DataFrame, bridges: DataFrame) -> DataFrame:
+    """Scenes in the order of a list, each with its members and bridges.
+
+    scenes(slug, name, axis, era_start, hero, palette), members(slug, label, rank), labels(label, name, palette), bridges(source,
+    target, strength). A scene without a palette has its hero label's. Members that are no known label are counted but not
+    listed; bridges out and in name scenes that exist, strongest first. place is by axis, begin of the era (unknown last), name.
+    """
+    hero = labels.select(F.col("label").alias("hero"), F.col("palette").alias("hero_palette"))
+    out = scenes.join(hero, "hero", "left").withColumn("palette", F.coalesce("palette", "hero_palette")).drop("hero_palette")
+    named = members.join(labels.select("label", F.col("name").alias("label_name")), "label", "left")
+    listed = named.groupBy("slug").agg(F.count("*").alias("label_count"), F.array_sort(F.collect_list(F.when(F.col("label_name").isNotNull(), F.struct("rank", "label_name")))).alias("m"))
+    known = scenes.select(F.col("slug").alias("other"), F.col("name").alias("other_name"))
+
+    def side(own: str, far: str, name: str) -> DataFrame:
+        rows = bridges.select(F.col(own).alias("slug"), F.col(far).alias("other"), (-F.col("strength")).alias("s")).join(known, "other")
+        return rows.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("s", "other_name"))).alias(name))
+
+    for part in (listed, side("source", "target", "o"), side("target", "source", "i")):
+        out = out.join(part, "slug", "left")
+    names = lambda c, f: F.coalesce(F.transform(c, lambda x: x[f]), F.array().cast("array<string>"))
+    axis = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, AXES)), F.col("axis")), F.lit(0)), F.lit(len(AXES) + 1))
+    place = F.row_number().over(Window.orderBy(axis, F.asc_nulls_last("era_start"), F.asc("name"), F.asc("slug")))  # a scene list is one page
+    out = out.withColumn("place", place)
+    return out.select("slug", "name", "axis", "era_start", "palette", F.coalesce("label_count", F.lit(0)).alias("label_count"), names("m", "label_name").alias("labels"), names("o", "other_name").alias("bridges_out"), names("i", "other_name").alias("bridges_in"), "place")
+
+
+def core_run(curated: DataFrame, auto: DataFrame, masters: DataFrame, most: int = 10) -> DataFrame:
+    """A label's core run: curated(label, master, rank) first, by rank, then auto(label, master, rank) that is not curated.
+
+    masters(master, title) drops entries of unknown masters. Result: label, master, source, title, place (the first `most`).
+    """
+    rest = auto.join(curated.select("label", "master"), ["label", "master"], "left_anti")
+    both = curated.select("label", "master", "rank", F.lit("curated").alias("source")).union(rest.select("label", "master", "rank", F.lit("auto")))
+    rows = both.join(masters.select("master", "title"), "master")
+    return top_n(rows, ["label"], [F.desc("source"), F.asc("rank"), F.asc("master")], most, "place").select("label", "master", "source", "title", "place")
+
+
+def related_labels(edges: DataFrame, labels: DataFrame, directions: list[str]) -> DataFrame:
+    """edges(label, other, direction, rank), labels(label, name) -> label, direction, other, name, place; edges to unknown labels go."""
+    named = edges.filter(F.col("direction").isin(directions)).join(labels.select(F.col("label").alias("other"), "name"), "other")
+    return top_n(named, ["label", "direction"], [F.asc("rank"), F.asc("name"), F.asc("other")], 2**31 - 1, "place").select("label", "direction", "other", "name", "place")

@@ -329,3 +329,49 @@ def scope_closure_sizes(s, d):
     bad = part.filter(n % 11 == 0).select(F.lit("artist").alias("type"), n.alias("id")).unionAll(labels.filter("id % 7 = 0").select(F.lit("label"), "id"))
     found = GR.scope_closure(scope, scope, credits, credits.limit(0).withColumnRenamed("master_id", "release_id"), places, labels, bad, graph)
     return GR.closure_sizes(found)
+
+
+@query("""WITH s AS (SELECT n_nationkey AS slug, n_name AS name, ['geography', 'cluster', 'sound', 'era', 'bridge', 'other'][n_nationkey % 6 + 1] AS axis, CASE WHEN n_nationkey % 4 > 0 THEN 1980 + n_nationkey % 7 END AS era_start, n_nationkey % 10 AS hero, CASE WHEN n_nationkey % 3 = 0 THEN 'own' END AS palette FROM nation),
+m AS (SELECT s_nationkey AS slug, s_suppkey AS label, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier),
+b AS (SELECT a.n_nationkey AS source, b.n_nationkey AS target, b.n_nationkey + 1 AS strength FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND (a.n_nationkey + b.n_nationkey) % 3 = 1 AND a.n_nationkey < b.n_nationkey)
+SELECT slug, s.name, axis, era_start::INTEGER AS era_start, coalesce(palette, 'hero ' || h.s_suppkey) AS palette, (SELECT count(*) FROM m WHERE m.slug = s.slug) AS label_count,
+coalesce((SELECT string_agg(s_name, ',' ORDER BY rank) FROM m WHERE m.slug = s.slug AND label % 9 > 0), '') AS labels,
+coalesce((SELECT string_agg(x.name, ',' ORDER BY strength DESC, x.name) FROM b JOIN s x ON x.slug = target WHERE source = s.slug), '') AS bridges_out,
+coalesce((SELECT string_agg(x.name, ',' ORDER BY strength DESC, x.name) FROM b JOIN s x ON x.slug = source WHERE target = s.slug), '') AS bridges_in,
+row_number() OVER (ORDER BY slug % 6, era_start NULLS LAST, s.name) AS place FROM s LEFT JOIN supplier h ON h.s_suppkey = hero AND h.s_suppkey % 9 > 0""")
+def scene_details(s, d):
+    """Scenes in list order with palette, members and bridges in both directions; nations stand for scenes, suppliers for labels."""
+    n, k = t(s, d, "nation"), F.col("n_nationkey")
+    axis = F.get(F.array(*map(F.lit, (*E.AXES, "other"))), (k % 6).cast("int"))
+    scenes = n.select(k.alias("slug"), F.col("n_name").alias("name"), axis.alias("axis"), F.when(k % 4 > 0, 1980 + k % 7).cast("int").alias("era_start"), (k % 10).alias("hero"), F.when(k % 3 == 0, "own").alias("palette"))
+    sup = t(s, d, "supplier")
+    members = top_n(sup, ["s_nationkey"], [F.desc("s_acctbal"), F.asc("s_suppkey")], 2**31 - 1, "rank").select(F.col("s_nationkey").alias("slug"), F.col("s_suppkey").alias("label"), "rank")
+    labels = sup.filter("s_suppkey % 9 > 0").select(F.col("s_suppkey").alias("label"), F.col("s_name").alias("name"), F.concat(F.lit("hero "), F.col("s_suppkey").cast("string")).alias("palette"))
+    far = n.select("n_regionkey", k.alias("target"))
+    bridges = n.select("n_regionkey", k.alias("source")).join(far, "n_regionkey").filter("(source + target) % 3 = 1 AND source < target").select("source", "target", (F.col("target") + 1).alias("strength"))
+    out = E.scene_details(scenes, members, labels, bridges)
+    return out.select("slug", "name", "axis", "era_start", "palette", "label_count", *[F.array_join(c, ",").alias(c) for c in ("labels", "bridges_out", "bridges_in")], F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH li AS (SELECT DISTINCT l_suppkey AS label, l_orderkey AS master FROM lineitem), c AS (SELECT label, master, row_number() OVER (PARTITION BY label ORDER BY master DESC) AS rank FROM li WHERE master % 50 = 0),
+a AS (SELECT label, master, row_number() OVER (PARTITION BY label ORDER BY o_totalprice DESC, master) AS rank FROM li JOIN orders ON o_orderkey = master),
+u AS (SELECT label, master, rank, 'curated' AS source FROM c UNION ALL SELECT label, master, rank, 'auto' FROM a WHERE (label, master) NOT IN (SELECT label, master FROM c))
+SELECT label, master, source, o_orderpriority AS title, row_number() OVER (PARTITION BY label ORDER BY source DESC, rank, master) AS place FROM u JOIN orders ON o_orderkey = master AND o_orderstatus <> 'P' QUALIFY place <= 10""")
+def core_run_curated(s, d):
+    """The core run of each label: what is curated first, then the heaviest of the rest; masters that are gone are skipped."""
+    o = t(s, d, "orders").select(F.col("o_orderkey").alias("master"), F.col("o_orderpriority").alias("title"), "o_orderstatus", "o_totalprice")
+    li = t(s, d, "lineitem").select(F.col("l_suppkey").alias("label"), F.col("l_orderkey").alias("master")).distinct()
+    curated = top_n(li.filter("master % 50 = 0"), ["label"], [F.desc("master")], 2**31 - 1, "rank")
+    auto = top_n(li.join(o, "master"), ["label"], [F.desc("o_totalprice"), F.asc("master")], 2**31 - 1, "rank")
+    return E.core_run(curated, auto, o.filter("o_orderstatus <> 'P'")).withColumn("place", F.col("place").cast("long"))
+
+
+@query("""SELECT s_suppkey AS label, CASE WHEN p_size % 2 = 0 THEN 'influenced' ELSE 'sibling' END AS direction, p_partkey AS other, c_name AS name,
+row_number() OVER (PARTITION BY s_suppkey, p_size % 2 ORDER BY p_size, c_name, p_partkey) AS place FROM (SELECT DISTINCT l_suppkey AS s_suppkey, l_partkey AS p_partkey FROM lineitem) JOIN part USING (p_partkey) JOIN customer ON c_custkey = p_partkey WHERE p_size % 5 > 0""")
+def labels_related(s, d):
+    """Related labels by direction and rank; edges of an unknown direction or to an unknown label go."""
+    p = t(s, d, "part").select(F.col("p_partkey").alias("other"), F.col("p_size").alias("rank"))
+    direction = F.when(F.col("rank") % 5 == 0, "unheard").when(F.col("rank") % 2 == 0, "influenced").otherwise("sibling")
+    edges = t(s, d, "lineitem").select(F.col("l_suppkey").alias("label"), F.col("l_partkey").alias("other")).distinct().join(p, "other").withColumn("direction", direction)
+    labels = t(s, d, "customer").select(F.col("c_custkey").alias("label"), F.col("c_name").alias("name"))
+    return E.related_labels(edges, labels, ["influenced", "sibling"]).withColumn("place", F.col("place").cast("long"))

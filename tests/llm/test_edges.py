@@ -240,6 +240,22 @@ def test_warc_damaged(spark):
     assert warc.records(warc.archives(pages.limit(0))).collect() == []
 
 
+def test_warc_query_salvages(spark, tmp_path, monkeypatch):
+    """A damaged archive costs its page alone, and is reported."""
+    from quarry.llm import queries
+
+    spark.createDataFrame([(i, "u", f"body {i} " * 40) for i in range(6)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+
+    def damaged(pages, made=warc.archives):
+        rows = [(r["archive"], bytearray(r["content"])) for r in made(pages).select("archive", "content").collect()]
+        rows[0][1][len(gzip.compress(b"")) + 30] ^= 255
+        return spark.createDataFrame([(a, bytes(c)) for a, c in rows], "archive string, content binary")
+
+    monkeypatch.setattr(warc, "archives", damaged)
+    got = {r["page_id"] for r in queries.op9_warc(spark, str(tmp_path)).collect()}
+    assert len(got) == 5 and got < set(range(6))
+
+
 def test_fill_is_closest():
     """Subset sums against all combinations, and the pieces used against the counts."""
     rng = np.random.default_rng(1)

@@ -11,7 +11,8 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, block: tuple[str, ...] = (
     Each phrase is posted under its rarest word (by the texts that have it); a text meets it where that word stands, and the
     whole phrase is compared with the words around that place. No n-grams are made, so phrases have no length limit, and a
     frequent word joins only where a phrase has none rarer. Texts and phrases meet within a block only. Ids are unique in a
-    block; null or empty word lists hit nothing; a phrase with a word that no text has is dropped early.
+    block; null or empty word lists hit nothing; a phrase with a word that no text has is dropped early. The texts are read more
+    than once, so their words must come in the same order each time.
     """
     on = [*block, "word"]
     asked = phrases.select(*block, "phrase", "words", F.posexplode("words").alias("at", "word"))

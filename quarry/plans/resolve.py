@@ -163,7 +163,9 @@ def varieties_named(s, d):
     li = t(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("grape")).distinct()
     v = li.join(o, "doc").join(t(s, d, "part").select(F.col("p_partkey").alias("grape"), F.col("p_name").alias("name"), "p_size"), "grape")
     said = F.when((F.col("doc") % 3 > 0) & (F.col("p_size") > 20), F.concat(F.lit("From "), F.initcap("name"), F.lit(", and ")))
-    texts = v.groupBy("doc").agg(F.array_join(F.collect_list(F.coalesce(said, F.lit("nothing, "))), "").alias("text"))
+    # in a fixed order, since the text is read more than once and a shuffle brings its rows in any order
+    parts = F.sort_array(F.collect_list(F.struct("grape", F.coalesce(said, F.lit("nothing, ")).alias("said"))))
+    texts = v.groupBy("doc").agg(parts.alias("x")).select("doc", F.array_join("x.said", "").alias("text"))
     return V.named_in_rules(texts, v.select("doc", "grape", "name"))
 
 

@@ -62,3 +62,17 @@ def test_anchor_is_rare(spark):
     texts = spark.range(200).select(F.col("id").alias("text"), F.array(F.lit("the"), F.concat(F.lit("w"), F.col("id").cast("string")), F.lit("the")).alias("words"))
     phrases = spark.range(200).select(F.col("id").alias("phrase"), F.array(F.lit("the"), F.concat(F.lit("w"), F.col("id").cast("string"))).alias("words"))
     assert sorted(map(tuple, phrase_hits(texts, phrases).collect())) == [(i, i) for i in range(200)]
+
+
+def test_rule_texts_do_not_depend_on_row_order(spark, monkeypatch, tmp_path):
+    """varieties_named reads its texts twice; rows in another order must give the same texts."""
+    from quarry.plans import resolve as P
+
+    texts = []
+    monkeypatch.setattr(P.V, "named_in_rules", lambda t, v: texts.append(sorted(map(tuple, t.collect()))) or v)
+    for way in ("asc", "desc"):
+        for name, key in (("orders", "o_orderkey"), ("lineitem", "l_partkey"), ("part", "p_partkey")):
+            df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+            df.coalesce(1).sortWithinPartitions(getattr(F, way)(key)).write.parquet(str(tmp_path / way / f"{name}.parquet"))
+        P.varieties_named(spark, str(tmp_path / way))
+    assert texts[0] == texts[1] and len(texts[0]) > 100

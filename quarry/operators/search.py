@@ -225,16 +225,18 @@ def fan_out_score(explicit: bool = False) -> Column:
     return weight + F.col("relevance") * 100 + F.when(name == q, 1200).when(F.startswith(name, q), 220).when(F.contains(name, q), 80).otherwise(0)
 
 
-def fan_out(found: DataFrame, limit: int, bad: DataFrame | None = None) -> DataFrame:
+def fan_out(found: DataFrame, limit: int, bad: DataFrame | None = None, each: int | None = None) -> DataFrame:
     """found(q, type, id, name, raw_rank) of all types -> the best `limit` of each query text by score.
 
-    Of each type at most half the limit (five at least) by rank, then id, take part; of these, rows of bad(type, id) go, and
-    ids without a verdict stay.
+    All hits take part, or, if `each` is given, of each type the best `each` by rank, then id; of these, rows of bad(type, id)
+    go, and ids without a verdict stay.
     """
-    each = _relevant(top_n(boosted(found), ["q", "type"], [F.desc("rank"), F.desc("id")], max(5, -(-limit // 2)), "place").drop("place"))
+    hits = boosted(found)
+    if each is not None:
+        hits = top_n(hits, ["q", "type"], [F.desc("rank"), F.desc("id")], each, "place").drop("place")
     if bad is not None:
-        each = each.join(bad.select("type", "id"), ["type", "id"], "left_anti")
-    return top_n(each.withColumn("score", fan_out_score()), ["q"], [F.desc("score"), F.desc("relevance"), F.desc("id")], limit, "place")
+        hits = hits.join(bad.select("type", "id"), ["type", "id"], "left_anti")
+    return top_n(_relevant(hits).withColumn("score", fan_out_score()), ["q"], [F.desc("score"), F.desc("relevance"), F.desc("id")], limit, "place")
 
 
 def filter_only(masters: DataFrame, limit: int, after: tuple[int, int] | None = None, **wanted) -> DataFrame:

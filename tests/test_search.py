@@ -131,3 +131,13 @@ def test_headline(spark):
         got = {r["id"]: r["headline"] for r in S.headline(d, F.lit(q)).collect()}
         assert got.pop(999) is None
         assert got == {i: fragments(t, q.split()) for i, t in enumerate(texts)}
+
+
+def test_fan_out_takes_all_hits(spark):
+    """Every hit of a type takes part unless a number a type is asked for; bad rows go."""
+    found = spark.createDataFrame([("hot", "master", i, "hot ring", 1.0) for i in range(30)] + [("hot", "artist", 7, "a hot", 1.0)], "q string, type string, id long, name string, raw_rank double")
+    got = [(r["type"], r["id"]) for r in S.fan_out(found, 20).orderBy("place").collect()]
+    assert got == [("master", i) for i in range(29, 9, -1)]
+    bad = spark.createDataFrame([("master", 29)], "type string, id long")
+    got = [(r["type"], r["id"]) for r in S.fan_out(found, 20, bad, 3).orderBy("place").collect()]
+    assert got == [("master", 28), ("master", 27), ("artist", 7)]

@@ -49,3 +49,12 @@ def test_match_cascade_equal_names(spark):
     got, most = joined(V.match_cascade(rows, known))
     assert sorted((r["key"], r["id"], r["method"], r["candidates"]) for r in got) == [(i, 6, "exact_ambiguous", 300) for i in range(300)]
     assert max(most) <= 3000
+
+
+def test_dealt_join_spreads_one_key(spark):
+    """Rows of a single key are joined by many tasks; the result is the plain join's."""
+    left = spark.createDataFrame([(i, "k" if i else None) for i in range(40)], "a long, w string")
+    right = spark.createDataFrame([(i, "k") for i in range(1000)] + [(7, "k"), (1, None)], "b long, w string")
+    df = R.dealt_join(left, right, ["w"], 50)
+    assert sorted(map(tuple, df.select("a", "b").collect())) == sorted((a, b) for a in range(1, 40) for b in [*range(1000), 7])
+    assert df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 39 * 1001 / 2

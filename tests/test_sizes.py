@@ -51,6 +51,16 @@ def test_match_cascade_equal_names(spark):
     assert max(most) <= 3000
 
 
+def test_merge_candidates_makes_pairs_once(spark):
+    """The pairs come out of one join, in the first block that both share, and go through no other."""
+    known = spark.createDataFrame([(i, "domaine red bolt" if i % 2 else "red bolt", None, "FR", i % 5) for i in range(120)], "id long, key string, title string, country string, weight int")
+    evidence = spark.createDataFrame([(i, "north", ["x"]) for i in range(0, 120, 3)] + [(i, None, None) for i in range(1, 120, 3)], "id long, region string, subs array<string>")
+    got, most = joined(V.merge_candidates(known, evidence))
+    assert len(got) == len({(r["keep_id"], r["merge_id"]) for r in got}) == 120 * 119 // 2
+    assert sum(r["rule"] == "same_norm" for r in got) == 60 * 59 and sum(r["class"] == "auto" for r in got) == 40 * 39 // 2
+    assert sum(n >= len(got) for n in most) == 1
+
+
 def test_dealt_join_spreads_one_key(spark):
     """Rows of a single key are joined by many tasks; the result is the plain join's."""
     left = spark.createDataFrame([(i, "k" if i else None) for i in range(40)], "a long, w string")

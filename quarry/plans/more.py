@@ -151,9 +151,11 @@ def doc_split(s, d):
     head = lambda n: F.concat(F.lit("\n Cahier des charges de l'appellation d'origine contrôlée « "), F.lit(n), F.lit(" »\n"))
     one = F.concat(head("Côtes de Bourg"), F.lit("x\n"), head("Côtes de Bourg"), body)
     text = F.when(k == 0, F.repeat(F.lit("#% 12 "), 500)).when(k == 1, F.concat(head("Bourg"), F.lit("too short " * 25))).when(k == 2, one).otherwise(F.concat(one, head("Bourg"), body))
-    rows = V.split_sections(t(s, d, "events").select("event_id", text.alias("text")), "event_id")
+    # the texts are long and the table is small, so its rows are dealt over all tasks before they are made
+    events = t(s, d, "events").select("event_id").repartition(int(s.conf.get("spark.sql.shuffle.partitions")))
+    rows = V.split_sections(events.select("event_id", text.alias("text")), "event_id")
     named = rows.groupBy("event_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "slug"))), lambda x: x["slug"]), ",").alias("sections"))
-    out = t(s, d, "events").select("event_id", V.garbled(text).alias("bad")).join(named, "event_id", "left")
+    out = events.select("event_id", V.garbled(text).alias("bad")).join(named, "event_id", "left")
     return out.select("event_id", F.when(F.col("bad"), "garbled").otherwise(F.coalesce("sections", F.lit("short"))).alias("sections"))
 
 

@@ -68,3 +68,17 @@ def test_dealt_join_spreads_one_key(spark):
     df = R.dealt_join(left, right, ["w"], 50)
     assert sorted(map(tuple, df.select("a", "b").collect())) == sorted((a, b) for a in range(1, 40) for b in [*range(1000), 7])
     assert df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 39 * 1001 / 2
+
+
+def test_split_sections_shuffles_no_text(spark):
+    """Repeated heads and short books, each document in its own row, without a shuffle; garbled counts as before."""
+    head, body = "\nCahier des charges de l'appellation d'origine contrôlée « {} »\n", "Texte du cahier. " * 200
+    texts = [head.format("Côtes") + "x" + head.format("Côtes") + body + head.format("Bourg  A") + body, head.format("B") + body + head.format("C") + "x" + head.format("B") + body, head.format("B") + "x", "none", None]
+    df = V.split_sections(spark.createDataFrame(list(enumerate(texts)), "doc long, text string"), "doc")
+    got = sorted((r["doc"], r["start"], r["slug"], r["names"], r["section"]) for r in df.collect())
+    b, c, a = (head.format(x)[1:] for x in ("B", "Côtes", "Bourg  A"))
+    assert [g[:4] for g in got] == [(0, 0, "cotes", ["Côtes"]), (0, 2, "bourg-a", ["Bourg A"]), (1, 0, "b", ["B"]), (1, 2, "b", ["B"])]
+    assert [g[4].strip() for g in got] == [(c + "x\n" + c + body).strip(), (a + body).strip(), (b + body).strip(), (b + body).strip()]
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    odd = ["é" * 199, "é" * 200, "#% 12 " * 500, "a \t\n\x0b\f\r1" * 120 + "a" * 70, "ab1\u00a0" * 99, None]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in odd], "t string").select(V.garbled(F.col("t"))).collect()] == [True, False, True, False, True, None]

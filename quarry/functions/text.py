@@ -172,28 +172,38 @@ def strip_colour(key: Column) -> Column:
     return F.array_join(_without(key, COLOUR_WORDS), " ")
 
 
+def _bound(x: Column, f) -> Column:
+    """f(x) with x made once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _is_legal(token: Column) -> Column:
     """An abbreviation counts only when written as one: in capitals or with dots, without an apostrophe."""
-    key = name_key(token)
     letters = F.regexp_replace(token, r"[^\p{L}]", "")
     written = token.contains(".") | ((letters != "") & (letters == F.upper(letters)))
-    return key.isin(LEGAL_WORDS) | (key.isin(LEGAL_ABBREVIATIONS) & ~token.rlike("['’]") & written)
+    return _bound(name_key(token), lambda key: key.isin(LEGAL_WORDS) | (key.isin(LEGAL_ABBREVIATIONS) & ~token.rlike("['’]") & written))
 
 
 def strip_legal(name: Column) -> Column:
     """A name without legal grades at both ends; null if nothing changes or fewer than three letters are left."""
     tokens = F.filter(F.split(name, r"\s+"), lambda w: w != "")
     flagged = F.transform(tokens, lambda w: F.struct(w.alias("w"), _is_legal(w).alias("legal")))
-    n = F.size(flagged)
-    # the first word always stays for the strip at the end, the last for that at the start
-    tail = F.aggregate(F.reverse(flagged), F.lit(0), lambda a, x: F.when((a >= 0) & x["legal"], a + 1).otherwise(F.when(a >= 0, -a - 1).otherwise(a)))
-    tail = F.when(tail < 0, -tail - 1).otherwise(tail)
-    kept = F.slice(flagged, 1, F.greatest(n - tail, F.lit(1)))
-    lead = F.aggregate(kept, F.lit(0), lambda a, x: F.when((a >= 0) & x["legal"], a + 1).otherwise(F.when(a >= 0, -a - 1).otherwise(a)))
-    lead = F.least(F.when(lead < 0, -lead - 1).otherwise(lead), F.size(kept) - 1)
-    rest = F.array_join(F.transform(F.slice(kept, lead + 1, F.greatest(F.size(kept), F.lit(1))), lambda x: x["w"]), " ")
-    out = F.regexp_replace(rest, r"^[\s,-]+|[\s,-]+$", "")
-    return F.when((n > 0) & (F.size(kept) - lead < n) & (F.length(name_key(out)) >= 3) & (out != name), out)
+    # the number of legal words before the first other one
+    legal = lambda words: F.aggregate(words, F.lit(0), lambda a, x: F.when((a >= 0) & x["legal"], a + 1).otherwise(F.when(a >= 0, -a - 1).otherwise(a)), lambda a: F.when(a < 0, -a - 1).otherwise(a))
+
+    def plain(kept: Column, lead: Column) -> Column:
+        rest = F.array_join(F.transform(F.slice(kept, lead + 1, F.greatest(F.size(kept), F.lit(1))), lambda x: x["w"]), " ")
+        out = F.regexp_replace(rest, r"^[\s,-]+|[\s,-]+$", "")
+        return _bound(out, lambda o: F.when((F.length(name_key(o)) >= 3) & (o != name), o))
+
+    def both(words: Column) -> Column:
+        # the first word always stays for the strip at the end, the last for that at the start
+        n = F.size(words)
+        kept = F.slice(words, 1, F.greatest(n - legal(F.reverse(words)), F.lit(1)))
+        lead = lambda k: F.least(legal(k), F.size(k) - 1)
+        return _bound(kept, lambda k: _bound(lead(k), lambda i: F.when((n > 0) & (F.size(k) - i < n), plain(k, i))))
+
+    return _bound(flagged, both)
 
 
 def trigrams(text: Column, keyed: bool = False) -> Column:

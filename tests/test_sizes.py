@@ -82,3 +82,13 @@ def test_split_sections_shuffles_no_text(spark):
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     odd = ["é" * 199, "é" * 200, "#% 12 " * 500, "a \t\n\x0b\f\r1" * 120 + "a" * 70, "ab1\u00a0" * 99, None]
     assert [r[0] for r in spark.createDataFrame([(x,) for x in odd], "t string").select(V.garbled(F.col("t"))).collect()] == [True, False, True, False, True, None]
+
+
+def test_strip_legal_makes_its_words_once(spark):
+    """The split into words stands once in the expression; odd names stay as they were."""
+    from quarry.functions import text as T
+
+    cases = [("AOC Cahors DOC", "Cahors"), ("DOC DOCG", "DOC"), ("", None), ("  ", None), (None, None), ("Cahors, - DOC", "Cahors"), ("IGP xy", None), ("Chianti D.O.C.G. AOC", "Chianti D.O.C.G.")]
+    df = spark.createDataFrame([(x,) for x, _ in cases], "n string").select("n", T.strip_legal(F.col("n")).alias("x"))
+    assert [r["x"] for r in df.collect()] == [w for _, w in cases]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 5

@@ -92,3 +92,13 @@ def test_strip_legal_makes_its_words_once(spark):
     df = spark.createDataFrame([(x,) for x, _ in cases], "n string").select("n", T.strip_legal(F.col("n")).alias("x"))
     assert [r["x"] for r in df.collect()] == [w for _, w in cases]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 5
+
+
+def test_dealt_bounds_the_rows_of_a_task(spark):
+    """Rows are dealt over as many partitions as they need, a join on the key keeps them, and adaptive execution does not join them again."""
+    rows = spark.range(20000).select((F.col("id") % 5000).alias("k"), "id")
+    other = spark.range(5000).select(F.col("id").alias("k"), F.lit(1).alias("one")).hint("merge")
+    most = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    dealt = R.dealt(rows, "k", most=500).join(other, "k")
+    assert dealt.count() == 20000 and most(dealt) < 1000 < most(rows.join(other, "k"))
+    assert R.dealt(rows, "k", most=20000) is rows

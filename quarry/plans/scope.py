@@ -17,7 +17,7 @@ def _credits(s, d) -> DataFrame:
     """Credits with the master's artist: one shuffled join on the master, columns pruned at the scan."""
     o = t(s, d, "orders").select(F.col("o_orderkey").alias("master"), F.col("o_custkey").alias("artist"), F.col("o_totalprice").alias("weight"), F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("status"))
     li = t(s, d, "lineitem").select(F.col("l_orderkey").alias("master"), F.col("l_suppkey").alias("label"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("role"))
-    return li.join(o, "master")
+    return R.dealt(li, "master").join(o, "master")
 
 
 _CREDITS = "c AS (SELECT l_orderkey AS master, l_suppkey AS label, l_partkey AS part, l_linenumber AS line, l_returnflag AS role, o_custkey AS artist, o_totalprice AS weight, year(o_orderdate) AS year, o_orderstatus AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"

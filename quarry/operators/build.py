@@ -58,7 +58,8 @@ def canonical_release(scope: DataFrame, releases: DataFrame) -> DataFrame:
 
 def master_tracks(canonical: DataFrame, tracks: DataFrame, credits: DataFrame) -> DataFrame:
     """Tracks of the canonical releases that have a title, with the distinct names credited on each."""
-    names = credits.groupBy("release", "position").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("artists_text"))
+    own = credits.join(canonical, "release", "left_semi")  # names of other releases' tracks are not made
+    names = own.groupBy("release", "position").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("artists_text"))
     rows = tracks.filter("title IS NOT NULL").join(canonical, "release")
     return rows.join(names, ["release", "position"], "left").select("master", "position", "title", "duration", "artists_text", F.col("release").alias("source_release"))
 

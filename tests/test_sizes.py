@@ -102,3 +102,11 @@ def test_dealt_bounds_the_rows_of_a_task(spark):
     dealt = R.dealt(rows, "k", most=500).join(other, "k")
     assert dealt.count() == 20000 and most(dealt) < 1000 < most(rows.join(other, "k"))
     assert R.dealt(rows, "k", most=20000) is rows
+
+
+def test_scope_queries_derive_releases_once(spark):
+    """The rest of a scope's plan reads the releases that were written, and no line again."""
+    from quarry.plans import build
+
+    for q in (build.master_tracks, build.scope_prune, build.scope_sizes, build.videos_unified):
+        assert "l_shipdate" not in q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString(), q.__name__

@@ -110,3 +110,15 @@ def test_scope_queries_derive_releases_once(spark):
 
     for q in (build.master_tracks, build.scope_prune, build.scope_sizes, build.videos_unified):
         assert "l_shipdate" not in q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString(), q.__name__
+
+
+def test_listed_pairs_shuffle_lists_only(spark):
+    """The pairs of an asked id lie in one partition: they are those of the plain join, and grouping them shuffles none."""
+    left = spark.createDataFrame([(g, i) for g in range(4) for i in range(g, 30, 5)] + [(9, 1)], "g long, id long")
+    right = spark.createDataFrame([(g, a) for g in range(4) for a in range(g * 60, 400)], "g long, a long")
+    got = R.listed_pairs(left, right, "g", "id", "a", most=50, pairs=500)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "g").select("id", "a").collect()))
+    n = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert n(got.groupBy("id", "a").count()) == n(got.select("id"))  # neither has run, so each plan is printed once
+    none = R.listed_pairs(left.filter("g > 8"), right, "g", "id", "a")
+    assert none.count() == 0

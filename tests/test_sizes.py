@@ -122,3 +122,12 @@ def test_listed_pairs_shuffle_lists_only(spark):
     assert n(got.groupBy("id", "a").count()) == n(got.select("id"))  # neither has run, so each plan is printed once
     none = R.listed_pairs(left.filter("g > 8"), right, "g", "id", "a")
     assert none.count() == 0
+
+
+def test_group_bandmates_lie_by_mate(spark):
+    """Rows of a mate follow each other, so that their columns are runs in a file."""
+    from quarry.plans import entities
+
+    rows = entities.group_bandmates(spark, "/root/testdata/sf0.01").select("mate").collect()
+    runs = 1 + sum(a["mate"] != b["mate"] for a, b in zip(rows, rows[1:]))
+    assert runs == len({r["mate"] for r in rows})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
-from ..operators import resolve as V
+from ..operators import relational as R, resolve as V
 from ..sources.io import read_table as t
 from .catalog import query
 
@@ -190,7 +190,8 @@ def document_titles(s, d):
     """Documents to places by title variants within the country: unique names before shared ones, then the earlier variant."""
     p = t(s, d, "part")
     titles = F.array(F.lit("Annexe"), F.concat(F.lit("Le "), "p_name"), F.col("p_name"), F.concat(F.split("p_name", " ")[0], F.lit(" bolt")))
-    docs = p.select(F.col("p_partkey").alias("doc"), F.col("p_type").alias("country"), titles.alias("titles"))
+    docs = R.dealt(p.select(F.col("p_partkey").alias("doc"), "p_type", "p_name"), "doc", most=1 << 17)
+    docs = docs.select("doc", F.col("p_type").alias("country"), titles.alias("titles"))
     return V.document_titles(docs, p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("country"), F.col("p_name").alias("key")))
 
 

@@ -21,7 +21,7 @@ SELECT label, artist, masters, first_year, last_year, place, CASE WHEN total > 2
 def label_roster_years(s, d):
     """The twenty artists with most masters on each label, with their years; the total is -1 where the list is cut."""
     o = t(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("artist"), F.year("o_orderdate").alias("year"))
-    m = t(s, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("label")).distinct().join(o, "l_orderkey")
+    m = R.dealt(t(s, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("label")), "l_orderkey").distinct().join(o, "l_orderkey")
     g = m.groupBy("label", "artist").agg(F.count("*").alias("masters"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
     total = g.groupBy("label").agg(F.count("*").alias("total"))
     named = g.join(t(s, d, "customer").select(F.col("c_custkey").alias("artist"), "c_name"), "artist")

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import search as S
+from quarry.operators import covers as V, search as S
 
 
 def covers(n, doc):
@@ -85,6 +85,45 @@ def test_early_stop(spark, data, monkeypatch, tmp_path, block):
     assert sorted((r["q"], r["place"], r["id"]) for r in got) == want_rows
 
 
+@pytest.mark.parametrize("words", [20, 1 << 21])
+def test_top_covers(spark, data, monkeypatch, words):
+    """Shares of the texts give the best rows of ranking all, whatever number of words is inverted at once; blocks of queries add up."""
+    entities, texts, want = data
+    monkeypatch.setattr(V, "QUERIES", 20)
+    odd = entities.union(spark.createDataFrame([("x", None, "zz", "zzz"), (None, -1, None, "zz")], entities.schema))
+    got = V.top_covers(spark.createDataFrame([("zz",)], "q string"), odd, {"title": "A", "body": "C"}, 5).collect()
+    best = {}
+    for (q, k, d), r in want.items():
+        best.setdefault(q, []).append((-r, -d, k))
+    want_rows = {(q, i + 1, -d): -r for q, rows in best.items() for i, (r, d, _) in enumerate(sorted(rows)[:5])}
+    assert [(r["id"], round(r["raw_rank"], 9), r["place"]) for r in got] == [(None, 1.2, 1), (-1, 0.2, 2)]
+    plain = V.top_covers(spark.createDataFrame([(t,) for t in texts], "q string"), entities, {"title": "A", "body": "C"}, 5, words).collect()
+    assert {(r["q"], r["place"], r["id"]): r["raw_rank"] for r in plain} == pytest.approx(want_rows)
+    assert V.top_covers(spark.createDataFrame([], "q string"), entities, {"title": "A"}, 5).collect() == []
+    assert V.top_covers(spark.createDataFrame([("an",)], "q string"), entities.limit(0), {"title": "A"}, 5).collect() == []
+
+
+def test_covers_stop_early():
+    """Texts that can't reach the last of the best are not ranked."""
+    import pyarrow as pa
+
+    held = V.Postings([(pa.array([["a", "b"] * 50] * 10 + [["a", "x", "b"]] * 500, pa.list_(pa.string())), 1.0)], 510)
+    ranked = []
+    plain = held.ranks
+    held.ranks = lambda tokens, docs: ranked.append(len(docs)) or plain(tokens, docs)
+    docs, rank = V.best_of(held, ["a", "b"], 10, 0.0, 1.0)
+    assert docs.tolist() == list(range(10)) and rank.tolist() == [99.0] * 10
+    assert sum(ranked) == 40
+
+
+def test_search_covers_builds_no_index(spark):
+    """The texts are cut into words in one place of the plan; no list of blocks is written before it."""
+    from quarry.plans import search
+
+    plan = search.search_covers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "block" not in plan
+
+
 def test_bounds_hold(spark, data):
     """No entity ranks above n * forms * bound of a block that holds it."""
     entities, texts, want = data

@@ -135,3 +135,12 @@ def test_group_bandmates_lie_by_mate(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     runs = 1 + sum(a["mate"] != b["mate"] for a, b in zip(rows, rows[1:]))
     assert runs == len({r["mate"] for r in rows})
+
+
+def test_artist_groups_deals_its_pairs(spark):
+    """However well the bandmates compress, their pairs are placed by many tasks, not by the one that adaptive execution would leave."""
+    from quarry.plans import entities
+
+    rows = entities.artist_groups(spark, "/root/testdata/sf0.01").filter("kind = 'bandmate'")
+    parts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) >= 6 and max(parts) < sum(parts) / 3

@@ -20,6 +20,8 @@ FUZZY = {"artist": (0.3, 10), "label": (0.5, 5), "master": (0.5, 5)}
 TYPE_WEIGHT = {"master": 200, "artist": 150, "label": 60}
 #: Entities of a block of an index list, and of a run of blocks.
 BLOCK, PART = 128, 1 << 16
+#: Pairs of a query and an entity that a task compares.
+PAIRS = 1 << 19
 #: Sums of doubles may lie this much above a product that bounds them.
 ROUNDING = 1 + 1e-9
 FILTERS = ("genre", "style", "year", "yearMin", "country")
@@ -162,10 +164,15 @@ def _ranked(found: DataFrame, words: DataFrame) -> DataFrame:
 def match_texts(texts: DataFrame, index: Index) -> DataFrame:
     """texts(q) of distinct queries -> q, type, id, raw_rank: all tokens occur, the last one as a prefix.
 
-    The entities of each query's rarest token are looked up in the lists; only these are compared with the other tokens.
+    The entities of each query's rarest token are looked up in the lists; only these are compared with the other tokens. They
+    are dealt by entity over tasks of some PAIRS, since their compressed bytes say little about their number.
     """
-    found = _anchors(texts, index.lists).join(index.lists.select("token", "docs"), "token").select("q", "t", F.explode("docs").alias("x"))
-    return _ranked(found.select("q", "t", "x.type", "x.id"), index.words)
+    anchors = written(_anchors(texts, index.lists), "anchors")
+    total = anchors.join(index.lists.select("token", F.size("docs").alias("n")), "token").agg(F.sum("n")).first()[0] or 0
+    found = anchors.join(index.lists.select("token", "docs"), "token").select("q", "t", F.explode("docs").alias("x")).select("q", "t", "x.type", "x.id")
+    if total > PAIRS:
+        found = found.repartition(max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PAIRS)), "type", "id")
+    return _ranked(found, index.words)
 
 
 def match(queries: DataFrame, index: Index) -> DataFrame:
@@ -204,9 +211,12 @@ def _relevant(top: DataFrame) -> DataFrame:
 def ranked(queries: DataFrame, entities: DataFrame, fields: dict[str, str], name: str, limit: int) -> DataFrame:
     """The best `limit` of each query and type by rank, then id, both descending, with has_more; relevance is at most 1.
 
-    Distinct texts are matched and ranked once. Keyset pages go by the ordered pair (rank, id), so no boosted row is skipped
-    or repeated.
+    Distinct texts are matched and ranked once. Of entities that agree in all fields, which rank alike whatever is asked, only
+    the `limit` + 1 highest ids can be among the best or tell that there are more. Keyset pages go by the ordered pair
+    (rank, id), so no boosted row is skipped or repeated.
     """
+    alike = list(dict.fromkeys(["type", *fields, name]))
+    entities = written(top_n(entities.select("id", *alike), alike, [F.desc("id")], limit + 1, "_rn").drop("_rn"), "entities")
     names = entities.select("type", "id", F.col(name).alias("name"))
     found = boosted(match_texts(queries.select("q").distinct(), index(entities, fields)).join(names, ["type", "id"]))
     top = top_n(found, ["q", "type"], [F.desc("rank"), F.desc("id")], limit + 1, "place")

@@ -180,3 +180,32 @@ def test_fan_out_takes_all_hits(spark):
     bad = spark.createDataFrame([("master", 29)], "type string, id long")
     got = [(r["type"], r["id"]) for r in S.fan_out(found, 20, bad, 3).orderBy("place").collect()]
     assert got == [("master", 28), ("master", 27), ("artist", 7)]
+
+
+def test_ranked_indexes_what_can_be_shown(spark, monkeypatch):
+    """Of equal entities only as many as a page and its has_more need are indexed; the pages are those of all."""
+    made = []
+    plain = S.index
+    monkeypatch.setattr(S, "index", lambda e, f: made.append(e.count()) or plain(e, f))
+    names = ["hot ring", "hot rink", "cold ring"]
+    entities = spark.createDataFrame([("x" if i % 2 else "y", i, names[i % 3], "a" if i < 300 else "b") for i in range(600)], "type string, id long, name string, note string")
+    got = S.ranked(spark.createDataFrame([(1, "hot rin"), (2, "hot rin"), (3, "ring"), (4, "cold rink")], "qid long, q string"), entities, {"name": "A"}, "name", 5)
+    rows = sorted((r["qid"], r["type"], r["place"], r["id"], r["has_more"]) for r in got.collect())
+    want = []
+    for qid, ok in ((1, lambda i: i % 3 < 2), (2, lambda i: i % 3 < 2), (3, lambda i: i % 3 != 1)):
+        for kind, odd in (("x", 1), ("y", 0)):
+            # a name that begins with the query gets a boost; "ring" begins none
+            ids = sorted((i for i in range(600) if i % 2 == odd and ok(i)), reverse=True)[:5]
+            want += [(qid, kind, k + 1, i, True) for k, i in enumerate(ids)]
+    assert rows == sorted(want) and made == [2 * 3 * 6]
+
+
+def test_match_deals_its_pairs(spark, monkeypatch):
+    """Pairs above the number of a task are dealt by entity over many; the matches stay."""
+    entities = spark.createDataFrame([("x", i, f"hot r{i}") for i in range(400)], "type string, id long, name string")
+    asked, made = spark.createDataFrame([("hot r",), ("r1 hot",)], "q string"), S.index(entities, {"name": "A"})
+    plain = sorted(map(tuple, S.match_texts(asked, made).collect()))
+    monkeypatch.setattr(S, "PAIRS", 50)
+    got = S.match_texts(asked, made)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sorted(map(tuple, got.collect())) == plain and len(plain) == 401 and len(sizes) >= 8 and max(sizes) < 150

@@ -144,3 +144,14 @@ def test_artist_groups_deals_its_pairs(spark):
     rows = entities.artist_groups(spark, "/root/testdata/sf0.01").filter("kind = 'bandmate'")
     parts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert len(parts) >= 6 and max(parts) < sum(parts) / 3
+
+
+def test_collaborators_meet_once(spark):
+    """The meetings are written before they are counted, so the rest of the plan joins no credits again; aliases and repeated roles as before."""
+    from quarry.operators import entities as E
+    from quarry.plans import entities
+
+    assert "l_orderkey" not in entities.collaborators(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    credits = spark.createDataFrame([(1, 1, "A"), (2, 1, "B"), (3, 1, "B"), (3, 1, "B"), (3, 1, "A"), (2, 2, "A"), (4, 2, "C"), (3, 2, "B"), (5, 3, "A"), (None, 1, "A")], "artist_id long, master_id long, role string")
+    aliases = spark.createDataFrame([(1, 1), (1, 2), (5, 5), (7, 7)], "id long, other long")
+    assert sorted(map(tuple, E.collaborators(credits, aliases).collect())) == [(1, 3, 2, "B,A", 1), (1, 4, 1, "C", 2)]

@@ -1,5 +1,6 @@
 """Work grows with the distinct names, not with the square of the rows that carry them: rows that the joins give out."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.operators import relational as R, resolve as V
@@ -155,3 +156,34 @@ def test_collaborators_meet_once(spark):
     credits = spark.createDataFrame([(1, 1, "A"), (2, 1, "B"), (3, 1, "B"), (3, 1, "B"), (3, 1, "A"), (2, 2, "A"), (4, 2, "C"), (3, 2, "B"), (5, 3, "A"), (None, 1, "A")], "artist_id long, master_id long, role string")
     aliases = spark.createDataFrame([(1, 1), (1, 2), (5, 5), (7, 7)], "id long, other long")
     assert sorted(map(tuple, E.collaborators(credits, aliases).collect())) == [(1, 3, 2, "B,A", 1), (1, 4, 1, "C", 2)]
+
+
+def test_labelmates_of_big_labels(spark):
+    """A label of nine hundred masters, of which the asked artist has two: all its artists are mates but the barred one; smaller blocks say the same."""
+    from quarry.operators import entities as E
+
+    masters = [("big", 100 + i // 3, i) for i in range(900)] + [("big", 1, 900), ("big", 1, 901), ("low", 1, 902), ("low", 1, 903), ("low", 100, 904), ("low", 100, 905), ("low", 100, 905), ("one", 1, 906), ("one", 7, 907), (None, 1, 908), ("low", None, 909)]
+    frames = [spark.createDataFrame(x, y) for x, y in ((masters, "label string, artist_id long, master_id long"), ([(1,), (2,)], "id long"), ([(1, 101), (2, 102), (1, 5)], "id long, other long"))]
+    got = {(r["id"], r["mate"]): tuple(r)[2:] for r in E.labelmates(*frames).collect()}
+    assert sorted(got) == [(1, 100 + i) for i in range(300) if i != 1]
+    assert got[1, 100][:2] == (2, 4) and got[1, 100][3] == "big,low" and abs(got[1, 100][2] - (2 / 902**0.5 + 2 / 5**0.5)) < 1e-9
+    assert got[1, 102][:2] == (1, 2) and got[1, 102][3] == "big"
+
+
+def test_meetings_are_the_plain_join(spark):
+    """Any number of blocks and units at once, keys and units on many rows, nulls, rows that meet nothing: each unit and key together, once."""
+    from quarry.operators.meetings import meetings
+
+    asked = spark.createDataFrame([(f"g{i % 7}" if i % 11 else None, i % 23, i) for i in range(300)], "g string, id long, x long")
+    rows = spark.createDataFrame([(f"g{i % 9}" if i % 13 else None, i % 31, i) for i in range(500)], "g string, u long, y long")
+
+    def fold(met):
+        first = met.grouped()
+        many = [len(x) for x in np.split(met.r, first[1:])]
+        return [met.row["u"].to_numpy()[met.r[first]], met.keys[met.key[met.a[first]]], many, np.add.reduceat(met.asked["x"][met.a] * met.row["y"].to_numpy()[met.r], first)]
+
+    want = asked.join(rows, "g").groupBy("u", "id").agg(F.count("*"), F.sum(F.col("x") * F.col("y"))).collect()
+    for block, most in ((1 << 20, 1 << 20), (40, 1), (100, 500)):
+        got = meetings(asked, rows, "g", "id", "u", fold, "u long, id long, n long, s long", block=block, pairs=1000, most=most).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert meetings(asked.filter("id < 0"), rows, "g", "id", "u", fold, "u long, id long, n long, s long").collect() == []

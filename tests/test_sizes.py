@@ -187,3 +187,15 @@ def test_meetings_are_the_plain_join(spark):
         got = meetings(asked, rows, "g", "id", "u", fold, "u long, id long, n long, s long", block=block, pairs=1000, most=most).collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert meetings(asked.filter("id < 0"), rows, "g", "id", "u", fold, "u long, id long, n long, s long").collect() == []
+
+
+def test_labelmates_idf_shuffles_no_lists(spark):
+    """Pairs are made where an artist's labels lie: no list of artists is made, sent or unfolded."""
+    from quarry.operators import entities as E
+    from quarry.plans import entities
+
+    plan = entities.labelmates_idf(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "explode" not in plan
+    asked = spark.createDataFrame([("a", 20, 0.5), ("b", 20, 2.0), ("b", 40, 2.0), (None, 20, 1.0)], "label string, id long, idf double")
+    members = spark.createDataFrame([("a", 20), ("a", 3), ("b", 3), ("b", 20), ("b", 40), ("c", 5), (None, 3), ("b", None)], "label string, artist long")
+    assert sorted(map(tuple, E.labelmates_idf(asked, members).collect())) == [(20, 3, 2, 2.5), (20, 40, 1, 2.0), (40, 3, 1, 2.0), (40, 20, 1, 2.0)]

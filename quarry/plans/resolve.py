@@ -160,13 +160,15 @@ SELECT doc, grape, CASE WHEN bool_or(hit) OVER (PARTITION BY doc) THEN hit END A
 def varieties_named(s, d):
     """Varieties that a rule text names whole; unknown where it names none."""
     o = t(s, d, "orders").select(F.col("o_orderkey").alias("doc"))
-    li = t(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("grape")).distinct()
-    v = li.join(o, "doc").join(t(s, d, "part").select(F.col("p_partkey").alias("grape"), F.col("p_name").alias("name"), "p_size"), "grape")
+    li = t(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("grape"))
+    n = R.shares(li, 1 << 17)
+    v = li.repartition(n, "doc").distinct().join(o, "doc").join(t(s, d, "part").select(F.col("p_partkey").alias("grape"), F.col("p_name").alias("name"), "p_size"), "grape")
     said = F.when((F.col("doc") % 3 > 0) & (F.col("p_size") > 20), F.concat(F.lit("From "), F.initcap("name"), F.lit(", and ")))
-    # in a fixed order, since the text is read more than once and a shuffle brings its rows in any order
-    parts = F.sort_array(F.collect_list(F.struct("grape", F.coalesce(said, F.lit("nothing, ")).alias("said"))))
-    texts = v.groupBy("doc").agg(parts.alias("x")).select("doc", F.array_join("x.said", "").alias("text"))
-    return V.named_in_rules(texts, v.select("doc", "grape", "name"))
+    # in a fixed order, since a shuffle brings the rows in any order; texts and names come out of one row, so they are shuffled once
+    parts = F.sort_array(F.collect_list(F.struct("grape", "name", F.coalesce(said, F.lit("nothing, ")).alias("said"))))
+    docs = v.repartition(n, "doc").groupBy("doc").agg(parts.alias("x"))
+    texts = docs.select("doc", F.array_join("x.said", "").alias("text"))
+    return V.named_in_rules(texts, docs.select("doc", F.explode("x").alias("x")).select("doc", "x.grape", "x.name"))
 
 
 @query("""SELECT s_suppkey, '[' || CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'Vins rouges:' || (40 + s_suppkey % 30) || ':' || (50 + s_suppkey % 30) || CASE WHEN s_suppkey % 4 = 1 THEN ',Vins blancs:45:55' ELSE '' END END || ']' AS rules, s_suppkey % 4 > 0 AND (s_suppkey % 5 = 0 OR abs(50 + s_suppkey % 30 - 60) / 60.0 <= 0.25 OR (s_suppkey % 4 = 1 AND 5 / 60.0 <= 0.25)) AS trusted FROM supplier""")

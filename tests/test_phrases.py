@@ -76,3 +76,13 @@ def test_rule_texts_do_not_depend_on_row_order(spark, monkeypatch, tmp_path):
             df.coalesce(1).sortWithinPartitions(getattr(F, way)(key)).write.parquet(str(tmp_path / way / f"{name}.parquet"))
         P.varieties_named(spark, str(tmp_path / way))
     assert texts[0] == texts[1] and len(texts[0]) > 100
+
+
+def test_named_in_rules_shuffles_no_words(spark):
+    """Forms are looked up in their own text where both lie; parts of words, repeated grapes, missing texts and null names as before."""
+    texts = spark.createDataFrame([(1, "Pinot noir, Pinots blancs."), (2, None), (4, "Merlot")], "doc long, text string")
+    varieties = spark.createDataFrame([(1, 1, "Pinot noir N"), (1, 1, "zzzzzz"), (1, 2, "Pinots blanc"), (1, 3, None), (1, 4, "Pino"), (2, 1, "Merlot"), (3, 1, "Merlot"), (4, 1, "merlot")], "doc long, grape long, name string")
+    df = V.named_in_rules(texts, varieties)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join") == 1
+    assert sorted(map(tuple, df.collect()), key=str) == [(1, 1, True), (1, 2, True), (1, 3, False), (1, 4, False), (2, 1, None), (3, 1, None), (4, 1, True)]
